@@ -105,7 +105,7 @@ def binned_mutual_info(
 
 
 def rfe(
-    df: DataFrame, features: list[str], target: str, n: int, model: str = "linear", max_iter: int = 50
+    df: DataFrame, features: list[str], target: str, n: int, model: str = "linear", max_iter: int = 20
 ) -> DataFrame:
     """Fit, drop the feature with the smallest |coefficient|, repeat until ``n`` remain.
 
@@ -131,7 +131,7 @@ def rfe(
                 weights = np.linalg.lstsq(g[np.ix_(at, at)], g[at, -1], rcond=None)[0]
             else:
                 vectors = VectorAssembler(inputCols=left, outputCol="_x").transform(data)
-                fitted = LinearSVC(featuresCol="_x", labelCol=target, maxIter=max_iter).fit(vectors)
+                fitted = LinearSVC(featuresCol="_x", labelCol=target, maxIter=max_iter, tol=1e-4).fit(vectors)
                 weights = fitted.coefficients.toArray()
             dropped.append(left.pop(int(np.argmin(np.abs(weights)))))
     finally:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,22 +48,19 @@ def scan_csv(
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Text lines as (file, split, line_no, text), numbered from 1 in every file.
+    """Text lines as (file, split, seq, line_no, text), numbered from 1 in every file.
 
-    A large file is read as many splits. ``split`` is the byte offset a split starts
-    at, so a line's number is its rank inside the split plus the lines of earlier
-    splits of the file; no file has to pass through one task.
+    A large file is read as many splits. ``split`` is the byte offset a split starts at and
+    ``seq`` rises inside it, so a line's number is its rank in the split plus the lines of
+    earlier splits of the file; no file has to pass through one task.
     """
-    raw = (
-        spark.read.text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("split"),
-            F.monotonically_increasing_id().alias("_seq"),
-            F.col("value").alias("text"),
-        )
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("seq"),
+        F.col("value").alias("text"),
     )
-    inside = Window.partitionBy("file", "split").orderBy("_seq")
+    inside = Window.partitionBy("file", "split").orderBy("seq")
     ranked = raw.withColumn("_rank", F.row_number().over(inside).cast("bigint"))
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -73,8 +68,9 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
-    return ranked.join(offsets, ["file", "split"]).select(
-        "file", "split", (F.col("_rank") + F.col("_before")).alias("line_no"), "text"
+    # a left join: Spark drops it where no line number is asked for
+    return ranked.join(offsets, ["file", "split"], "left").select(
+        "file", "split", "seq", (F.col("_rank") + F.col("_before")).alias("line_no"), "text"
     )
 
 
@@ -132,7 +128,7 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Files directly below a folder as (name, path, length, modified); contents are not read."""
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", False)
-        .load(posixpath.join(path, "*"))
+        .load(path)
         .select(
             F.regexp_extract("path", r"[^/]+$", 0).alias("name"),
             "path", "length", F.col("modificationTime").alias("modified"),

@@ -29,24 +29,29 @@ def tag_sections(lines: DataFrame) -> DataFrame:
     ``read_lines`` when present, else ranges of line numbers) and completed with the
     sums of the earlier blocks, so one large file spreads over many tasks.
     """
-    block = F.col("split") if "split" in lines.columns else F.floor(F.col("line_no") / BLOCK_LINES)
+    split = {"split", "seq"} <= set(lines.columns)
+    block = F.col("split") if split else F.floor(F.col("line_no") / BLOCK_LINES)
+    # the order read_lines leaves behind, so that its sort serves again
+    place = "seq" if split else "line_no"
     kind = F.when(F.col("text").startswith("I,"), "I").when(F.col("text").startswith("C,"), "C").otherwise(
         F.substring("text", 1, 1))
-    is_head, is_note = F.col("kind") == "I", F.col("kind") == "C"
-    inside = Window.partitionBy("file", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    is_head, is_note = F.col("_header").isNotNull(), F.col("kind") == "C"
+    inside = Window.partitionBy("file", "_block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     counted = (
         lines.withColumn("_block", block).withColumn("kind", kind)
+        # header text apart, so that the branch of the block sums does not shuffle whole lines
+        .withColumn("_header", F.when(F.col("kind") == "I", F.col("text")))
         .withColumns({"_i": F.sum(is_head.cast("bigint")).over(inside),
                       "_c": F.sum(is_note.cast("bigint")).over(inside)})
         .withColumn("_head", F.last(
-            F.when(is_head, F.struct(F.col("text").alias("header"), F.col("_c").alias("c"))), ignorenulls=True
+            F.when(is_head, F.struct(F.col("_header").alias("header"), F.col("_c").alias("c"))), ignorenulls=True
         ).over(inside))
     )
 
     per_block = counted.groupBy("file", "_block").agg(
         F.sum(is_head.cast("bigint")).alias("_ni"),
         F.sum(is_note.cast("bigint")).alias("_nc"),
-        F.max_by(F.when(is_head, F.col("_head")), F.when(is_head, F.col("line_no"))).alias("_last"),
+        F.max_by(F.when(is_head, F.col("_head")), F.when(is_head, F.col(place))).alias("_last"),
     )
     order = Window.partitionBy("file").orderBy("_block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -135,10 +140,12 @@ def read_sections(
         body = body.filter(F.col("table").isin(tables))
     if headers is None:
         # distinct header lines: as many as there are layouts, not files
-        found = body.filter(F.col("kind") == "I").select("table", "header").distinct().orderBy("table", "header")
+        found = lines.filter(F.col("text").startswith("I,")).select("text").distinct().orderBy("text")
         layouts: dict[str, list[str]] = {}
         for row in found.toLocalIterator():
-            layouts.setdefault(row["table"], []).append(row["header"])
+            name = [*row["text"].split(",", 3), "", ""][2]
+            if tables is None or name in tables:
+                layouts.setdefault(name, []).append(row["text"])
     else:
         layouts = {name: [",".join(fields)] for name, fields in headers.items()}
 
