@@ -151,10 +151,16 @@ def test_zip_tables(spark, tmp_path, monkeypatch):
         with zipfile.ZipFile(tmp_path / f"PUBLIC#{n}.zip", "w") as archive:
             archive.writestr("a.CSV", REPORT)
             archive.writestr("readme.txt", "I,no,no,1")
-    found = sections.read_zip_tables(spark, str(tmp_path), schemas={"PRICE": {"RRP": "double"}})
+    found = sections.read_zip_tables(str(tmp_path), spark, schemas={"PRICE": {"RRP": "double"}})
     assert rows(found["price"].groupBy("region").count(), "region") == [
         (None, 2), ("NSW", 2), ("QLD", 2), ("VIC", 2)]
-    kept = sections.read_zip_tables(spark, str(tmp_path), drop_metadata=False)
+    # tags made while unzipping are those made by windows
+    lines = sections.read_zip_lines(spark, str(tmp_path))
+    tagged = sections.tag_sections(lines.select("file", "line_no", "text"))
+    assert frames_equal(tagged, lines.select(*tagged.columns))
+    only = sections.read_zip_lines(spark, str(tmp_path), tables=["LOAD"])
+    assert rows(only.select("table", "kind").distinct(), "kind") == [("LOAD", "D"), ("LOAD", "I")]
+    kept = sections.read_zip_tables(str(tmp_path), spark, drop_metadata=False)
     assert kept["load"].columns == ["i", "dispatch", "load", "1", "unit", "mw"]
 
 

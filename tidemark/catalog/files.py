@@ -162,9 +162,7 @@ def _archives(spark, sf):
 
 @query(SALES_SQL)
 def zip_tables(spark, sf):
-    lines = sections.unzip_lines(_archives(spark, sf))
-    found = sections.read_sections(
-        lines, tables=["ORDERS"], schemas=SALES_TYPES, drop_metadata=True)
+    found = sections.read_zip_tables(_archives(spark, sf), tables=["ORDERS"], schemas=SALES_TYPES)
     return found["orders"]
 
 

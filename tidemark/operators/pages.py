@@ -36,48 +36,57 @@ class Selector:
     strip: bool = False
 
 
+class _Element:
+    """A start tag with the span of its text pieces."""
+
+    __slots__ = ("tag", "attrs", "start", "end", "parent")
+
+    def __init__(self, tag, attrs, start, parent):
+        self.tag, self.attrs, self.start, self.end, self.parent = tag, attrs, start, start, parent
+
+
 class _Outline(HTMLParser):
-    """Elements of a page in document order, each with the span of its text pieces."""
+    """Elements of a page in document order."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.elements, self.texts, self._open = [], [], []
+        self.elements, self.texts, self._open, self._muted = [], [], [], 0
         self.feed(html)
         self.close()
         for element in self._open:
-            element["end"] = len(self.texts)
+            element.end = len(self.texts)
 
     def handle_starttag(self, tag, attrs):
-        element = {
-            "tag": tag, "attrs": dict(attrs), "start": len(self.texts), "end": len(self.texts),
-            "parent": id(self._open[-1]) if self._open else None,
-        }
+        element = _Element(tag, dict(attrs) if attrs else {}, len(self.texts), self._open[-1] if self._open else None)
         self.elements.append(element)
         if tag not in VOID:
             self._open.append(element)
+            self._muted += tag in NOT_TEXT
 
     def handle_endtag(self, tag):
+        # the nearest open element of that name ends, and all inside it; a stray end tag is ignored
         for depth in range(len(self._open) - 1, -1, -1):
-            if self._open[depth]["tag"] == tag:
+            if self._open[depth].tag == tag:
                 for element in self._open[depth:]:
-                    element["end"] = len(self.texts)
+                    element.end = len(self.texts)
+                    self._muted -= element.tag in NOT_TEXT
                 del self._open[depth:]
                 return
 
     def handle_data(self, data):
-        if not any(e["tag"] in NOT_TEXT for e in self._open):
+        if not self._muted:
             self.texts.append(data)
 
     def text(self, element) -> str:
-        return "".join(self.texts[element["start"]:element["end"]])
+        return "".join(self.texts[element.start:element.end])
 
 
 def _fits(element, tag: str | None, cls: str | None) -> bool:
-    if tag is not None and element["tag"] != tag:
+    if tag is not None and element.tag != tag:
         return False
     if cls is None:
         return True
-    given = element["attrs"].get("class") or ""
+    given = element.attrs.get("class") or ""
     return given == cls or (" " not in cls and cls in given.split())
 
 
@@ -88,11 +97,11 @@ def _take(page: _Outline, scope: list, selector: Selector, missing: str | None):
     first = next(hits, None)
     if first is not None and selector.take == "next":
         later = scope[next(i for i, e in enumerate(scope) if e is first) + 1:]
-        first = next((e for e in later if e["parent"] == first["parent"] and _fits(e, *selector.after)), None)
+        first = next((e for e in later if e.parent is first.parent and _fits(e, *selector.after)), None)
     if first is None:
         return missing
     if selector.take == "attr":
-        value = first["attrs"].get(selector.attr)
+        value = first.attrs.get(selector.attr)
         return missing if value is None else value
     return _clean(page.text(first), selector)
 
@@ -132,7 +141,7 @@ def page_fields(
                         if _fits(e, within.tag, within.cls):
                             inner, inside = {id(e)}, []
                             for child in page.elements[i + 1:]:
-                                if child["parent"] not in inner:
+                                if child.parent is None or id(child.parent) not in inner:
                                     break
                                 inner.add(id(child))
                                 inside.append(child)
@@ -189,8 +198,8 @@ def _anchors(pages: DataFrame, link: Selector, keep: list[str]) -> DataFrame:
             for source, *kept in pdf[["html", *keep]].itertuples(index=False, name=None):
                 page = _Outline(source or "")
                 for e in page.elements:
-                    if _fits(e, link.tag, link.cls) and e["attrs"].get("href") is not None:
-                        rows.append((*kept, e["attrs"]["href"], page.text(e)))
+                    if _fits(e, link.tag, link.cls) and e.attrs.get("href") is not None:
+                        rows.append((*kept, e.attrs["href"], page.text(e)))
             yield pd.DataFrame(rows, columns=shape.names)
 
     return pages.select("html", *keep).mapInPandas(parse, shape)

@@ -288,10 +288,11 @@ def controlled_round(
                           T.StructField("objective", T.LongType())])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot(index=row, columns=col, values=value).sort_index().fillna(0.0)
-        chosen, cost = _solve_matrix(grid.to_numpy(float), tol, col_w, row_w, elem_w, col_step_penalty, elem_penalty)
-        at_row = grid.index.get_indexer(pdf[row])
-        at_col = grid.columns.get_indexer(pdf[col])
+        at_row = np.unique(pdf[row].to_numpy(), return_inverse=True)[1]
+        at_col = np.unique(pdf[col].to_numpy(), return_inverse=True)[1]
+        grid = np.zeros((at_row.max() + 1, at_col.max() + 1))
+        grid[at_row, at_col] = pdf[value].to_numpy(float)
+        chosen, cost = _solve_matrix(grid, tol, col_w, row_w, elem_w, col_step_penalty, elem_penalty)
         return pdf.assign(x=chosen[at_row, at_col], objective=cost)[shape.names]
 
     solved = df.groupBy(*keys).applyInPandas(solve, shape)

@@ -56,15 +56,15 @@ def listing_items(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
-def _script_json(prefix: str, tail: str, schema: str) -> Column:
-    body = F.regexp_extract("html", f"(?is){re.escape(prefix)}{tail}", 1)
-    return F.from_json(F.when(body != "", body), schema)
+def _script_text(prefix: str, tail: str) -> Column:
+    return F.regexp_extract("html", f"(?is){re.escape(prefix)}{tail}", 1)
 
 
 def listing_details(pages: DataFrame, url: str = "url") -> DataFrame:
     """Colour, registration, postcode, price guide and price history of each detail page.
 
-    The JSON parts are read by built-in functions; one parse per page serves the three texts.
+    The JSON parts are cut out and read by built-in functions and pass the page parser as plain
+    text; one parse per page serves the three other fields.
     """
     texts = {
         "color": Selector(None, COLOUR, strip=True),
@@ -72,11 +72,13 @@ def listing_details(pages: DataFrame, url: str = "url") -> DataFrame:
         "last_modified": Selector(None, MODIFIED, strip=True),
     }
     staged = pages.select(
-        url, "html",
-        _script_json(TAGS_PREFIX, r"([^;<]*)", TAGS)["tags"].alias("_tags"),
-        _script_json(INSIGHTS_PREFIX, r"(.*?)\s*;?\s*</script>", INSIGHTS)["priceInsights"].alias("_insights"),
+        url, "html", _script_text(TAGS_PREFIX, r"([^;<]*)").alias("_tags"),
+        _script_text(INSIGHTS_PREFIX, r"(.*?)\s*;?\s*</script>").alias("_insights"),
     )
-    found = page_fields(staged, texts, keep=[url, "_tags", "_insights"])
+    found = page_fields(staged, texts, keep=[url, "_tags", "_insights"]).withColumns({
+        "_tags": F.from_json(F.nullif("_tags", F.lit("")), TAGS)["tags"],
+        "_insights": F.from_json(F.nullif("_insights", F.lit("")), INSIGHTS)["priceInsights"],
+    })
     history = F.col("_insights.priceChangeHistory.content")
     guide = F.col("_insights.estimatedPriceGuide.content")
     events = F.transform(

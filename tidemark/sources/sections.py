@@ -115,6 +115,17 @@ def _typed(frame: DataFrame, schema: dict[str, str] | None) -> DataFrame:
     return frame.withColumns({c: F.col(c).try_cast(t) for c, t in schema.items() if c in frame.columns})
 
 
+def _layouts(lines: DataFrame, tables: list[str] | None = None) -> dict[str, list[str]]:
+    """Header lines by table name: as many as there are layouts, not files."""
+    found = lines.filter(F.col("text").startswith("I,")).select("text").distinct().orderBy("text")
+    layouts: dict[str, list[str]] = {}
+    for row in found.toLocalIterator():
+        name = [*row["text"].split(",", 3), "", ""][2]
+        if tables is None or name in tables:
+            layouts.setdefault(name, []).append(row["text"])
+    return layouts
+
+
 def read_sections(
     lines: DataFrame,
     tables: list[str] | None = None,
@@ -124,30 +135,26 @@ def read_sections(
     lower: bool = True,
     headers: dict[str, list[str]] | None = None,
     drop_metadata: bool | int = False,
+    layouts: dict[str, list[str]] | None = None,
 ) -> dict[str, DataFrame]:
-    """One DataFrame per table over all files.
+    """One DataFrame per table over all files, from plain or tagged lines.
 
     ``tables``, ``columns`` and ``schemas`` go by the name in the file, ``conditions`` by
     the lower-cased name when ``lower`` is on. Sections of one name are read together; where
     their headers differ, a column a section lacks is null. Unlisted types stay strings; a cell
     that does not fit its type becomes null; surplus fields are dropped. ``drop_metadata`` leaves
     out the leading fields of a line: kind, id, table and version, or as many as it says.
-    ``headers`` names the fields of a table and saves the pass that looks them up.
+    ``headers`` names the fields of a table, ``layouts`` its header lines; either saves the pass
+    that looks them up.
     """
-    tagged = tag_sections(lines)
+    tagged = lines if "section_id" in lines.columns else tag_sections(lines)
     body = tagged.filter(F.col("section_id").isNotNull())
     if tables is not None:
         body = body.filter(F.col("table").isin(tables))
-    if headers is None:
-        # distinct header lines: as many as there are layouts, not files
-        found = lines.filter(F.col("text").startswith("I,")).select("text").distinct().orderBy("text")
-        layouts: dict[str, list[str]] = {}
-        for row in found.toLocalIterator():
-            name = [*row["text"].split(",", 3), "", ""][2]
-            if tables is None or name in tables:
-                layouts.setdefault(name, []).append(row["text"])
-    else:
+    if headers is not None:
         layouts = {name: [",".join(fields)] for name, fields in headers.items()}
+    elif layouts is None:
+        layouts = _layouts(lines, tables)
 
     result: dict[str, DataFrame] = {}
     for name, variants in layouts.items():
@@ -179,51 +186,84 @@ def read_sections(
     return result
 
 
-def _unzip(batches):
-    """Lines of the archives in ``batches``, in bounded pieces."""
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for member in archive.namelist():
-                    if not member.lower().endswith(".csv"):
-                        continue
-                    with archive.open(member) as raw:
-                        texts, done = [], 0
-                        for line in io.TextIOWrapper(raw, encoding="utf-8", newline="\n"):
-                            texts.append(line.rstrip("\r\n"))
-                            if len(texts) == LINES_PER_BATCH:
-                                yield _numbered(path, member, done, texts)
-                                texts, done = [], done + len(texts)
-                        if texts:
-                            yield _numbered(path, member, done, texts)
+ZIP_LINES = T.StructType([
+    T.StructField("archive", T.StringType()), T.StructField("member", T.StringType()),
+    T.StructField("line_no", T.LongType()), T.StructField("text", T.StringType()),
+    T.StructField("kind", T.StringType()), T.StructField("section_id", T.LongType()),
+    T.StructField("table", T.StringType()), T.StructField("header", T.StringType()),
+])
+
+
+def _unzip(tables: frozenset[str] | None, heads_only: bool):
+    """Mapper from archives to tagged lines, in bounded pieces.
 
+    A member is read in order anyway, so its sections are told apart on the way: once for the
+    place of its last header, which decides where a 'C,' line ends a section, and once for the lines.
+    """
+    def opened(archive, member):
+        return io.TextIOWrapper(archive.open(member), encoding="utf-8", newline="\n")
+
+    def run(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for member in archive.namelist():
+                        if not member.lower().endswith(".csv"):
+                            continue
+                        with opened(archive, member) as text:
+                            last = sum(line.startswith("I,") for line in text)
+                        section, header, name, ended, found = 0, None, None, False, []
+                        with opened(archive, member) as text:
+                            for number, line in enumerate(text, 1):
+                                line = line.rstrip("\r\n")
+                                head = line.startswith("I,")
+                                note = line.startswith("C,")
+                                if head:
+                                    section, header = section + 1, line
+                                    name = [*line.split(",", 3), "", ""][2]
+                                elif note and section == last:
+                                    ended = True
+                                inside = section > 0 and not ended
+                                if (head or not heads_only) and (tables is None or (inside and name in tables)):
+                                    found.append((
+                                        path, member, number, line, "I" if head else "C" if note else line[:1],
+                                        *((section, name, header) if inside else (None, None, None))))
+                                if len(found) == LINES_PER_BATCH:
+                                    yield pd.DataFrame(found, columns=ZIP_LINES.names)
+                                    found = []
+                        if found:
+                            yield pd.DataFrame(found, columns=ZIP_LINES.names)
 
-def _numbered(path: str, member: str, done: int, texts: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({
-        "archive": path, "member": member, "line_no": range(done + 1, done + len(texts) + 1), "text": texts,
-    })
+    return run
 
 
-def unzip_lines(archives: DataFrame) -> DataFrame:
-    """Lines of every CSV member of archives(path, content) as (file, archive, member, line_no, text).
+def unzip_lines(archives: DataFrame, tables: list[str] | None = None, heads_only: bool = False) -> DataFrame:
+    """Lines of every CSV member of archives(path, content), tagged as by ``tag_sections``.
 
-    A zip cannot be split, so each is opened once in some task; its lines leave in small batches.
+    A zip cannot be split, so each is opened in one task; its lines leave in small batches and,
+    with ``tables``, only those of the named sections. Nothing is shuffled.
     """
-    shape = T.StructType([
-        T.StructField("archive", T.StringType()), T.StructField("member", T.StringType()),
-        T.StructField("line_no", T.LongType()), T.StructField("text", T.StringType()),
-    ])
-    lines = archives.select("path", "content").mapInPandas(_unzip, shape)
-    return lines.select(F.concat_ws("!", "archive", "member").alias("file"), "*")
+    wanted = None if tables is None else frozenset(tables)
+    lines = archives.select("path", "content").mapInPandas(_unzip(wanted, heads_only), ZIP_LINES)
+    typed = lines.withColumn("section_id", F.col("section_id").cast("bigint"))
+    return typed.select(F.concat_ws("!", "archive", "member").alias("file"), "*")
 
 
-def read_zip_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_zip_lines(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """The lines of zip archives in a folder or by path; see ``unzip_lines``."""
-    return unzip_lines(spark.read.format("binaryFile").load(path))
+    return unzip_lines(spark.read.format("binaryFile").load(path), **options)
 
 
 def read_zip_tables(
-    spark: SparkSession, path: str | list[str], drop_metadata: bool | int = True, **options
+    source: DataFrame | str | list[str], spark: SparkSession | None = None, drop_metadata: bool | int = True,
+    tables: list[str] | None = None, headers: dict[str, list[str]] | None = None, **options,
 ) -> dict[str, DataFrame]:
-    """The tables of all archives; see ``read_sections`` for the options."""
-    return read_sections(read_zip_lines(spark, path), drop_metadata=drop_metadata, **options)
+    """The tables of all archives, given as paths or as archives(path, content).
+
+    The options are those of ``read_sections``; the tables are chosen while unzipping.
+    """
+    archives = source if isinstance(source, DataFrame) else spark.read.format("binaryFile").load(source)
+    layouts = None if headers is not None else _layouts(unzip_lines(archives, tables, heads_only=True))
+    lines = unzip_lines(archives, tables)
+    return read_sections(
+        lines, tables=tables, headers=headers, layouts=layouts, drop_metadata=drop_metadata, **options)
