@@ -157,7 +157,10 @@ def _archives(spark, sf):
             archive.writestr("report.csv", "\n".join(pdf["text"]) + "\n")
         return pd.DataFrame({"path": [f"report{pdf['chunk'].iloc[0]}.zip"], "content": [buffer.getvalue()]})
 
-    return _order_sections(spark, sf).groupBy("chunk").applyInPandas(pack, "path STRING, content BINARY")
+    packed = _order_sections(spark, sf).groupBy("chunk").applyInPandas(pack, "path STRING, content BINARY")
+    path = scratch_path(spark, "archives")
+    files.write_parquet(packed, path)
+    return files.scan_parquet(spark, path)
 
 
 @query(SALES_SQL)

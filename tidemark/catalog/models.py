@@ -8,19 +8,13 @@ from tidemark.catalog import query, table
 from tidemark.catalog.relational import PER_CUSTOMER, _rfm
 from tidemark.operators import distance, rounding
 from tidemark.plans import features, rfm as segments
-from tidemark.session import shared_dir
+from tidemark.session import stored
 
 RFM_COLUMNS = ["recency", "frequency", "monetary_value"]
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 TARGET = "l_extendedprice"
 
 
-def kept(df):
-    """Solved once and stored in the shared folder, as several branches read it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _scaled(spark, sf):
     return segments.standardize(_rfm(spark, sf, True), RFM_COLUMNS)
 
@@ -156,7 +150,7 @@ FROM m GROUP BY ALL
 def _round_1col(spark, sf, limit):
     keys = ["l_returnflag", "l_linestatus"]
     solved = rounding.controlled_round_1col(_monthly(spark, sf), keys, ["month"], "total", max_group_rows=limit)
-    solved = kept(solved)
+    solved = stored(solved)
     audit = rounding.rounding_audit(solved.withColumn("one", F.lit(1)), keys, "month", "one", "total", "x")
     totals = solved.groupBy(*keys).agg(F.count(F.lit(1)).alias("months"), F.sum("rounded").alias("rounded"))
     return totals.join(audit, keys).select(*keys, "months", "rounded", "bands_met")
@@ -181,7 +175,7 @@ SELECT l_suppkey, CAST(sum(floor(total)) + ceil(sum(total - floor(total))) AS BI
 FROM m GROUP BY l_suppkey
 """)
 def round_2d(spark, sf):
-    solved = kept(rounding.controlled_round(_quarterly(spark, sf), ["l_suppkey"], "quarter", "l_linestatus", "total"))
+    solved = stored(rounding.controlled_round(_quarterly(spark, sf), ["l_suppkey"], "quarter", "l_linestatus", "total"))
     audit = rounding.rounding_audit(solved, ["l_suppkey"], "quarter", "l_linestatus", "total", "x").withColumnRenamed(
         "objective", "audited")
     totals = solved.groupBy("l_suppkey").agg(F.sum("rounded").alias("rounded"), F.max("objective").alias("objective"))

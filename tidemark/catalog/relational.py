@@ -103,6 +103,15 @@ def table_shapes(spark, sf):
     return frame_from_rows(spark, lines, "name STRING, n_rows BIGINT, n_columns BIGINT")
 
 
+@query("SELECT count(DISTINCT o_custkey) AS n, true AS close FROM orders")
+def distinct_count(spark, sf):
+    """The exact count, and whether the sketch comes within a tenth of it."""
+    orders = table(spark, sf, "orders")
+    exact = aggregate.distinct_count(orders, "o_custkey")
+    sketch = aggregate.distinct_count(orders, "o_custkey", approximate=True).withColumnRenamed("n", "about")
+    return exact.join(sketch, F.lit(True)).select("n", (F.abs(F.col("about") - F.col("n")) <= F.col("n") / 10).alias("close"))
+
+
 @query("""
 SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, count(*) AS lines, max(l_quantity) AS most,
        CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DOUBLE) AS total

@@ -100,30 +100,27 @@ def math_scalars(spark, sf):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') AS event_date,
-       CAST(floor(l_extendedprice) AS BIGINT) AS price, strftime(max(l_shipdate) OVER o, '%Y-%m-%d') AS newest,
-       CAST(count(*) OVER o AS BIGINT) AS n, CAST(-500 AS BIGINT) AS amount
-FROM lineitem WINDOW o AS (PARTITION BY l_orderkey)
+WITH e AS (SELECT *, o_orderkey % 5 AS n, unnest(generate_series(1, o_orderkey % 5)) AS i FROM orders WHERE o_orderkey % 5 > 0)
+SELECT o_orderkey, strftime(o_orderdate + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS event_date,
+       CAST(floor(o_totalprice) AS BIGINT) + i AS price, strftime(o_orderdate + to_days(CAST(n AS INTEGER)), '%Y-%m-%d') AS newest,
+       n, CAST(-500 AS BIGINT) AS amount
+FROM e
 """)
 def event_encode_decode(spark, sf):
-    """The lines of an order as price events, written as text and read back."""
-    lines = table(spark, sf, "lineitem").select(
-        "l_orderkey", F.struct(
-            F.col("l_shipdate").cast("date").alias("event_date"), F.col("l_linenumber").alias("line"),
-            F.floor("l_extendedprice").alias("price")).alias("e"))
-    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    stored = orders.select(
-        "l_orderkey", F.transform("es", lambda e: e["line"]).alias("numbers"),
-        events.price_change_text(F.size("es"), F.lit(-500), events.encode_events(F.col("es"))).alias("stored"))
+    """Price events of each order, up to four, written as text and read back as rows."""
+    entry = lambda i: F.struct(
+        F.date_add(F.col("o_orderdate").cast("date"), i).alias("event_date"),
+        (F.floor("o_totalprice") + i).alias("price"))
+    count = (F.col("o_orderkey") % 5).cast("int")
+    made = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), entry)).otherwise(
+        F.array().cast("array<struct<event_date: date, price: bigint>>"))
+    stored = table(spark, sf, "orders").select(
+        "o_orderkey", events.price_change_text(count, F.lit(-500), events.encode_events(made)).alias("stored"))
     decoded = stored.withColumn("d", events.decode_price_change(F.col("stored")))
-    last = F.element_at("d.events", -1)["event_date"]
     return decoded.select(
-        "l_orderkey", F.date_format(last, "yyyy-MM-dd").alias("newest"), F.col("d.count").alias("n"),
-        F.col("d.amount").alias("amount"), F.inline(F.arrays_zip(F.col("numbers"), F.col("d.events").alias("event"))),
-    ).select(
-        "l_orderkey", F.col("numbers").alias("l_linenumber"),
-        F.date_format("event.event_date", "yyyy-MM-dd").alias("event_date"), F.col("event.price").alias("price"),
-        "newest", "n", "amount")
+        "o_orderkey", F.try_element_at("d.events", F.lit(-1))["event_date"].alias("newest"), F.col("d.count").alias("n"),
+        F.col("d.amount").alias("amount"), F.inline("d.events"),
+    ).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("event_date", "newest")})
 
 
 @query("""

@@ -1,4 +1,4 @@
-"""Stored pages: the driver's, and listing pages that Spark writes from orders and lines."""
+"""Stored pages: the driver's, and listing pages that Spark writes from orders."""
 
 from __future__ import annotations
 
@@ -66,16 +66,26 @@ def script_calls(spark, sf):
 
 
 def _lines(spark, sf):
-    """Lines of each order, at most a handful, as one array per order."""
-    lines = table(spark, sf, "lineitem").select(
-        "l_orderkey", F.struct(
-            F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
-            F.floor("l_quantity").alias("qty"), F.floor("l_extendedprice").alias("price"),
-            F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), F.date_format("l_shipdate", "dd MMM yyyy").alias("shown"),
-            F.col("l_returnflag").alias("flag")).alias("e"))
-    return lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("e")).alias("es")).withColumn(
-        "url", F.concat(F.lit("https://example.org/cars/2015-kluger-"), F.col("l_orderkey").cast("string"),
-                        F.lit("/AD-"), F.col("l_orderkey").cast("string"), F.lit("/")))
+    """One to four entries per order, all made of its own row: no page gathers other rows."""
+    entry = lambda i: F.struct(
+        i.alias("n"), F.col("o_custkey").alias("part"), (F.col("o_orderkey") % 1000).alias("supp"),
+        (F.col("o_custkey") % 50 + i).alias("qty"), (F.floor("o_totalprice") + i * 10).alias("price"),
+        F.date_format(F.date_add(F.col("o_orderdate").cast("date"), i), "yyyy-MM-dd").alias("day"),
+        F.date_format(F.date_add(F.col("o_orderdate").cast("date"), i), "dd MMM yyyy").alias("shown"),
+        F.col("o_orderstatus").alias("flag"))
+    count = (F.col("o_orderkey") % 4 + 1).cast("int")
+    return table(spark, sf, "orders").select(
+        "o_orderkey", F.transform(F.sequence(F.lit(1), count), entry).alias("es"),
+        F.concat(F.lit("https://example.org/cars/2015-kluger-"), F.col("o_orderkey").cast("string"),
+                 F.lit("/AD-"), F.col("o_orderkey").cast("string"), F.lit("/")).alias("url"))
+
+
+# the same entries: k of them per order, i from 1 to k
+ENTRIES_SQL = """
+WITH o AS (SELECT *, o_orderkey % 4 + 1 AS k, CAST(floor(o_totalprice) AS BIGINT) AS down, o_custkey % 50 AS size FROM orders),
+e AS (SELECT *, size + i AS qty, down + i * 10 AS price FROM (SELECT *, unnest(generate_series(1, k)) AS i FROM o))
+"""
+URL_SQL = "'https://example.org/cars/2015-kluger-' || o_orderkey || '/AD-' || o_orderkey || '/'"
 
 
 def _number(c):
@@ -83,32 +93,29 @@ def _number(c):
 
 
 def result_pages(spark, sf):
-    """A page of results per order: a JSON-LD block with one item per line."""
+    """A page of results per order: a JSON-LD block with its entries as items."""
     item = lambda e: F.struct(F.struct(
         F.concat(F.lit("https://example.org/x/"), _number(e["part"]), F.lit("-"), _number(e["n"]), F.lit("/")).alias("url"),
-        F.concat(F.lit("2015 Toyota Kluger "), F.when(e["flag"] == "A", "Grande AWD").when(e["flag"] == "R", "GXL")
+        F.concat(F.lit("2015 Toyota Kluger "), F.when(e["flag"] == "F", "Grande AWD").when(e["flag"] == "P", "GXL")
                  .otherwise("KX-R")).alias("name"),
         F.struct((e["qty"] * 5000).alias("value")).alias("mileageFromOdometer"),
         F.struct(e["price"].alias("price")).alias("offers"),
-        F.when(e["flag"] == "N", F.array().cast("array<struct<url: string>>")).otherwise(
-            F.array(F.struct(F.when(e["flag"] == "A", "https://img/private/1").otherwise("https://img/d/1").alias("url")))
+        F.when(e["flag"] == "O", F.array().cast("array<struct<url: string>>")).otherwise(
+            F.array(F.struct(F.when(e["flag"] == "F", "https://img/private/1").otherwise("https://img/d/1").alias("url")))
         ).alias("image"),
     ).alias("item"))
     block = F.to_json(F.struct(F.struct(
         F.size("es").alias("numberOfItems"), F.transform("es", item).alias("itemListElement")).alias("mainEntity")))
     html = F.concat(F.lit('<html><head><script type="application/ld+json">'), block, F.lit("</script></head></html>"))
-    return _lines(spark, sf).select(F.col("l_orderkey").alias("page_id"), html.alias("html"))
-
-
-ITEMS_SQL = """
-WITH i AS (
-  SELECT l_orderkey AS page_id, count(*) OVER (PARTITION BY l_orderkey) AS number_of_items,
-    '2015-' || l_partkey || '-' || l_linenumber AS id,
-    '2015 Toyota Kluger ' || CASE l_returnflag WHEN 'A' THEN 'Grande AWD' WHEN 'R' THEN 'GXL' ELSE 'KX-R' END AS name,
-    '2015' AS year, CAST(floor(l_quantity) * 5000 AS BIGINT) AS odokm, CAST(floor(l_extendedprice) AS BIGINT) AS price,
-    CASE WHEN l_returnflag = 'R' THEN 'dealer' ELSE 'private' END AS owner,
-    'https://example.org/x/' || l_partkey || '-' || l_linenumber || '/' AS url
-  FROM lineitem)
+    return _lines(spark, sf).select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+
+
+ITEMS_SQL = ENTRIES_SQL + """, i AS (
+  SELECT o_orderkey AS page_id, k AS number_of_items, '2015-' || o_custkey || '-' || i AS id,
+    '2015 Toyota Kluger ' || CASE o_orderstatus WHEN 'F' THEN 'Grande AWD' WHEN 'P' THEN 'GXL' ELSE 'KX-R' END AS name,
+    '2015' AS year, qty * 5000 AS odokm, price, CASE WHEN o_orderstatus = 'P' THEN 'dealer' ELSE 'private' END AS owner,
+    'https://example.org/x/' || o_custkey || '-' || i || '/' AS url
+  FROM e)
 """
 
 
@@ -156,28 +163,23 @@ def detail_pages(spark, sf):
         F.lit(f'<div class="col features-item-value features-item-value-{kind}"> '), value, F.lit(" </div>"))
     html = F.concat(
         F.lit("<html><body>"), cell("colour", first["flag"]),
-        F.when(first["flag"] == "N", F.lit("")).otherwise(cell("registration-expiry", last["shown"])),
+        F.when(first["flag"] == "O", F.lit("")).otherwise(cell("registration-expiry", last["shown"])),
         cell("last-modified", last["shown"]),
         F.lit("<script>window.Csn.PageData.advertTags = "), tags, F.lit("; other = 1;</script>"),
         F.lit("<script>var price_insights_data = "), insights, F.lit(";</script></body></html>"))
     return _lines(spark, sf).select("url", html.alias("html"))
 
 
-@query("""
-WITH l AS (
-  SELECT l_orderkey, l_linenumber AS n, CAST(floor(l_quantity) AS BIGINT) AS qty, CAST(floor(l_extendedprice) AS BIGINT) AS price,
-         l_partkey AS part, l_suppkey AS supp, l_shipdate AS day, l_returnflag AS flag FROM lineitem),
-o AS (
-  SELECT l_orderkey, list({'n': n, 'part': part, 'supp': supp, 'qty': qty, 'price': price, 'day': day, 'flag': flag}
-         ORDER BY n, part, supp, qty, price, day, flag) AS es FROM l GROUP BY l_orderkey)
-SELECT 'https://example.org/cars/2015-kluger-' || l_orderkey || '/AD-' || l_orderkey || '/' AS url,
-  strftime(es[-1].day, '%Y-%m-%d') AS last_price_date, es[-1].price AS last_price_value, es[1].flag AS color,
-  CASE WHEN es[1].flag = 'N' THEN 'None' ELSE strftime(es[-1].day, '%d %b %Y') END AS registration,
-  CAST(es[1].supp AS VARCHAR) AS post_code, strftime(es[-1].day, '%Y-%m-%d') AS last_modified,
-  (es[1].qty + 10) || '(' || (es[1].qty + 10) || '.' || (es[1].qty + 30) || ')-' || es[-1].price || '(' || (es[1].qty + 20)
-    || '.' || (es[1].qty + 40) || ')' AS price_guide,
-  'cnt:' || len(es) || '-amt:-250-evts:[' ||
-    array_to_string(list_transform(es, lambda e: strftime(e.day, '%Y-%m-%d') || ':' || e.price), ';') || ']' AS price_change
+@query(ENTRIES_SQL + f"""
+SELECT {URL_SQL} AS url, strftime(o_orderdate + to_days(CAST(k AS INTEGER)), '%Y-%m-%d') AS last_price_date,
+  down + k * 10 AS last_price_value, o_orderstatus AS color,
+  CASE WHEN o_orderstatus = 'O' THEN 'None' ELSE strftime(o_orderdate + to_days(CAST(k AS INTEGER)), '%d %b %Y') END AS registration,
+  CAST(o_orderkey % 1000 AS VARCHAR) AS post_code,
+  strftime(o_orderdate + to_days(CAST(k AS INTEGER)), '%Y-%m-%d') AS last_modified,
+  (size + 11) || '(' || (size + 11) || '.' || (size + 31) || ')-' || (down + k * 10) || '(' || (size + 21) || '.' || (size + 41)
+    || ')' AS price_guide,
+  'cnt:' || k || '-amt:-250-evts:[' || array_to_string(list_transform(generate_series(1, k),
+    lambda i: strftime(o_orderdate + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') || ':' || (down + i * 10)), ';') || ']' AS price_change
 FROM o
 """)
 def listing_details(spark, sf):
@@ -185,10 +187,7 @@ def listing_details(spark, sf):
     return found.withColumn("last_price_date", F.date_format("last_price_date", "yyyy-MM-dd"))
 
 
-@query("""
-SELECT 'https://example.org/cars/2015-kluger-' || l_orderkey || '/AD-' || l_orderkey || '/' AS url, count(*) AS changes,
-       CAST(-250 AS BIGINT) AS amount FROM lineitem GROUP BY l_orderkey
-""")
+@query(ENTRIES_SQL + f"SELECT {URL_SQL} AS url, k AS changes, CAST(-250 AS BIGINT) AS amount FROM o")
 def script_values(spark, sf):
     found = web.script_value(detail_pages(spark, sf), listings.INSIGHTS_PREFIX, listings.INSIGHTS, "v", keep=["url"])
     content = F.col("v.priceInsights.priceChangeHistory.content")
@@ -203,25 +202,21 @@ def sale_pages(spark, sf):
     dated = lambda e: F.concat(F.lit('<div class="text-secondary"> '), e["shown"], F.lit("</div>"))
     priced = lambda kind, value: F.concat(
         F.lit(f'<div class="xlText bold600 PropertyHistory__{kind}">'), value, F.lit("</div>"))
-    sold = F.when(first["flag"] == "N", F.lit("")).otherwise(F.concat(
+    sold = F.when(first["flag"] == "O", F.lit("")).otherwise(F.concat(
         priced("salePrice--sNxkh", F.concat(F.lit(" $"), F.format_number(first["price"], 0), F.lit(" "))), F.lit("<br>"),
         dated(first)))
     rent = F.concat(priced("rentPrice--b9D1U", F.concat(F.lit("$"), _number(last["qty"]), F.lit("/w"))),
-                    F.when(last["flag"] == "N", F.lit("")).otherwise(dated(last)))
+                    F.when(last["flag"] == "P", F.lit("")).otherwise(dated(last)))
     return _lines(spark, sf).select(
-        F.concat(F.lit("/property/qld/area/7-some-st-"), _number(F.col("l_orderkey"))).alias("url"),
+        F.concat(F.lit("/property/qld/area/7-some-st-"), _number(F.col("o_orderkey"))).alias("url"),
         F.concat(F.lit("<section><div>"), sold, F.lit("</div><div>"), rent, F.lit("</div></section>")).alias("html"))
 
 
-@query("""
-WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_partkey AS part, l_suppkey AS supp, CAST(floor(l_quantity) AS BIGINT) AS qty,
-                  CAST(floor(l_extendedprice) AS BIGINT) AS price, l_shipdate AS day, l_returnflag AS flag FROM lineitem),
-o AS (SELECT l_orderkey, list({'n': n, 'part': part, 'supp': supp, 'qty': qty, 'price': price, 'day': day, 'flag': flag}
-             ORDER BY n, part, supp, qty, price, day, flag) AS es FROM l GROUP BY l_orderkey)
-SELECT CAST(es[1].price AS VARCHAR) AS sold_price, strftime(es[1].day, '%Y-%m-%d') AS sold_date,
-       CAST(es[-1].qty AS VARCHAR) AS rent_price, strftime(es[-1].day, '%Y-%m-%d') AS rent_date,
-       '7 some st ' || l_orderkey AS house_address
-FROM o WHERE es[1].flag <> 'N' AND es[-1].flag <> 'N'
+@query(ENTRIES_SQL + """
+SELECT CAST(down + 10 AS VARCHAR) AS sold_price, strftime(o_orderdate + to_days(1), '%Y-%m-%d') AS sold_date,
+       CAST(size + k AS VARCHAR) AS rent_price, strftime(o_orderdate + to_days(CAST(k AS INTEGER)), '%Y-%m-%d') AS rent_date,
+       '7 some st ' || o_orderkey AS house_address
+FROM o WHERE o_orderstatus = 'F'
 """)
 def price_history(spark, sf):
     report = listings.rent_report(web.price_history(sale_pages(spark, sf)))
@@ -229,26 +224,25 @@ def price_history(spark, sf):
 
 
 def card_pages(spark, sf):
-    """A page per order with one card per line; some parts are left out."""
+    """A page per order with its entries as cards; some parts are left out."""
     part = lambda tag, cls, value: F.concat(F.lit(f'<{tag} class="{cls}">'), value, F.lit(f"</{tag}>"))
     icon = "general-features__icon general-features__"
     card = lambda e: F.concat(
         F.lit('<div class="residential-card__content"><a class="details-link residential-card__details-link" href="/p-'),
         _number(e["part"]), F.lit('">go</a>'),
         part("h2", "residential-card__address-heading", F.concat(F.lit("<b>"), _number(e["n"]), F.lit("</b> Some &amp; St"))),
-        F.when(e["flag"] == "A", F.lit("")).otherwise(part("span", "property-price", F.concat(F.lit("$"), _number(e["price"])))),
+        F.when(e["flag"] == "F", F.lit("")).otherwise(part("span", "property-price", F.concat(F.lit("$"), _number(e["price"])))),
         part("span", f"{icon}beds", _number(e["qty"])), part("span", f"{icon}cars", F.lit("2")),
         part("span", "residential-card__property-type", e["flag"]), F.lit("</div>"))
     html = F.concat(F.lit("<main>"), F.array_join(F.transform("es", card), "\n"), F.lit("</main>"))
-    return _lines(spark, sf).select(F.col("l_orderkey").alias("page_id"), html.alias("html"))
+    return _lines(spark, sf).select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
 
 
-@query("""
-SELECT l_orderkey AS page_id, 'https://example.org/p-' || l_partkey AS link, l_linenumber || ' Some & St' AS address,
-       CASE WHEN l_returnflag = 'A' THEN 'None' ELSE '$' || CAST(floor(l_extendedprice) AS BIGINT) END AS price,
-       CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) AS num_beds, 'None' AS num_baths, '2' AS num_cars,
-       'None' AS property_area, 'None' AS land_area, l_returnflag AS property_type
-FROM lineitem
+@query(ENTRIES_SQL + """
+SELECT o_orderkey AS page_id, 'https://example.org/p-' || o_custkey AS link, i || ' Some & St' AS address,
+       CASE WHEN o_orderstatus = 'F' THEN 'None' ELSE '$' || price END AS price, CAST(qty AS VARCHAR) AS num_beds,
+       'None' AS num_baths, '2' AS num_cars, 'None' AS property_area, 'None' AS land_area, o_orderstatus AS property_type
+FROM e
 """)
 def listing_cards(spark, sf):
     return web.listing_cards(card_pages(spark, sf), "https://example.org")

@@ -44,6 +44,12 @@ def time_stats(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def distinct_count(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
+    """Number of distinct values, exact or within a few percent by a sketch that needs no shuffle of values."""
+    count = F.approx_count_distinct if approximate else F.count_distinct
+    return df.agg(count(column).alias("n"))
+
+
 def distinct_per_group(df: DataFrame, key: str, column: str, name: str = "n") -> DataFrame:
     """Distinct values per group, largest first.
 

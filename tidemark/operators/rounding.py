@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numeric import fraction
 from tidemark.plans.ordered import BLOCK, fits_window, ordered_blocks, running_sums
+from tidemark.session import stored
 
 TOL = 1e-4
 SCALE = 10_000
@@ -146,7 +147,8 @@ def _solve_blocks(summed: DataFrame, keys: list[str], order: list[str], tol: flo
 
     ways = summed.groupBy(*by_block).applyInPandas(paths, paths_shape)
 
-    # 2. from the last block back: the cost from each count after a block to the end of the group
+    # 2. from the last block back: the cost from each count after a block to the end of the group;
+    # at most three lines per block, stored as two later steps read them
     ends_shape = T.StructType([*key_fields, whole_number("s_out"), real("ahead")])
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,7 +169,7 @@ def _solve_blocks(summed: DataFrame, keys: list[str], order: list[str], tol: flo
             out.insert(at, name, pdf[name].iloc[0])
         return out
 
-    goals = ways.groupBy(*keys).applyInPandas(ends, ends_shape)
+    goals = stored(ways.groupBy(*keys).applyInPandas(ends, ends_shape))
 
     # 3. where each count before a block leads when the choices in it are the first cheapest ones
     leads_shape = T.StructType([*key_fields, whole_number("s_in"), whole_number("s_out")])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import uniform
+from tidemark.session import stored
 
 GROUP_ROWS = 100_000
 
@@ -165,9 +166,11 @@ def permutation_importance(
 
     The forest is fitted once. To shuffle, rows fall into random groups of bounded size and pass
     their values on to the next row of a random order, the last to the first, so each value is used
-    once and no task ranks the whole frame. The score is R^2, or accuracy for classes.
+    once and no task ranks the whole frame. The groups go by a stored row number, so copies of a row
+    spread evenly and a retry draws the same groups. The score is R^2, or accuracy for classes.
     """
-    vectors = _vectors(df, features, target).persist()
+    rows = stored(_doubles(df, [*features, target]).dropna().withColumn("_row", F.monotonically_increasing_id()))
+    vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(rows).persist()
     forest = RandomForestRegressor if task == "regression" else RandomForestClassifier
     try:
         model = forest(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
@@ -176,10 +179,9 @@ def permutation_importance(
         truth = F.col(target)
 
         def shuffled(repeat: int) -> DataFrame:
-            where = [F.col(c) for c in [*features, target]]
-            drawn = vectors.withColumns({
-                "_g": F.floor(uniform(*where, F.lit(seed), F.lit(repeat), F.lit("g")) * groups),
-                "_o": uniform(*where, F.lit(seed), F.lit(repeat), F.lit("o")),
+            drawn = rows.withColumns({
+                "_g": F.floor(uniform(F.col("_row"), F.lit(seed), F.lit(repeat), F.lit("g")) * groups),
+                "_o": uniform(F.col("_row"), F.lit(seed), F.lit(repeat), F.lit("o")),
             })
             ring, whole = Window.partitionBy("_g").orderBy("_o"), Window.partitionBy("_g")
             first = F.first(F.struct(*features)).over(

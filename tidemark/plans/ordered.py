@@ -16,7 +16,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_dir
+from tidemark.session import stored
 
 MAX_GROUP_ROWS = 5_000_000
 BLOCK = "_block"
@@ -45,13 +45,12 @@ def ordered_blocks(
 ) -> DataFrame:
     """``df`` with a block number; blocks follow (keys, order) and none spans two partitions.
 
-    Range bounds come from a sample, so the result is checkpointed: every later branch,
+    Range bounds come from a sample, so the result is stored: every later branch,
     and every retry, sees the same blocks. Rows that tie on keys and order share a block.
     """
-    shared_dir(df.sparkSession)
     columns = [*[F.col(k) for k in keys], *as_columns(order)]
     ranged = df.repartitionByRange(partitions, *columns) if partitions else df.repartitionByRange(*columns)
-    return ranged.withColumn(BLOCK, F.spark_partition_id()).checkpoint()
+    return stored(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.calendar import seconds_between
+from tidemark.session import stored
 
 
 def rfm(
@@ -23,22 +24,25 @@ def rfm(
     any customer's largest one; ``per_customer`` compares with the customer's own. Frequency and
     money count the rows that stay.
 
-    Rows are first added up by (customer, recency), so neither the filter nor the joins ever
-    carry single purchases, and a large customer is summed before the shuffle.
+    Rows are first added up by (customer, recency), so no join carries single purchases and a large
+    customer is summed before the shuffle. Per customer one aggregate then does; as written, the
+    sums are stored once, since the filter and the totals read them again.
     """
     qty = F.col(qty) if isinstance(qty, str) else qty
     price = F.col(price) if isinstance(price, str) else price
     start = F.lit(from_date).cast("timestamp")
     moments = df.select(
         F.col(customer).alias("customer"),
-        seconds_between(start, F.col(ts).cast("timestamp")).alias("recency"),
-        F.col(ts).isNotNull().cast("bigint").alias("_one"), (qty * price).alias("_money"),
-    ).groupBy("customer", "recency").agg(F.sum("_one").alias("_rows"), F.sum("_money").alias("_money"))
-    newest = moments.groupBy("customer").agg(F.max("recency").alias("recency"))
+        seconds_between(start, F.col(ts).cast("timestamp")).alias("recency"), (qty * price).alias("_money"),
+    ).filter("recency IS NOT NULL").groupBy("customer", "recency").agg(
+        F.count("recency").alias("_rows"), F.sum("_money").alias("_money"))
     if per_customer:
-        kept = moments.join(newest, ["customer", "recency"], "left_semi")
-    else:
-        kept = moments.join(newest.select("recency").distinct(), "recency", "left_semi")
+        return moments.filter("customer IS NOT NULL").groupBy("customer").agg(
+            F.max("recency").alias("recency"), F.max_by("_rows", "recency").alias("frequency"),
+            F.max_by("_money", "recency").alias("monetary_value"))
+    moments = stored(moments)
+    newest = moments.groupBy("customer").agg(F.max("recency").alias("recency")).select("recency").distinct()
+    kept = moments.join(newest, "recency", "left_semi")
     totals = kept.groupBy("customer").agg(
         F.sum("_rows").alias("frequency"), F.sum("_money").alias("monetary_value"))
     return kept.select("customer", "recency").join(totals, "customer")

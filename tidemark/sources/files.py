@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,6 +113,11 @@ def frame_from_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType
     return spark.createDataFrame(rows, schema)
 
 
+def dated_path(base: str, day: datetime.date) -> str:
+    """``base`` for the snapshot of one day, a folder that partition discovery reads as ``date``."""
+    return f"{base.rstrip('/')}/date={day.isoformat()}"
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header line, UTF-8, quotes doubled; one file per partition."""
     df.write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)

@@ -12,7 +12,8 @@ from tidemark.functions.numeric import uniform
 
 DEFAULT_POOL = 10
 DEFAULT_LENGTH = (5, 5)
-FREQUENCIES = {"D": "1 day", "H": "1 hour", "30min": "30 minutes", "MS": "1 month"}
+# fixed values: unit and length of the steps
+FREQUENCIES = {"D": ("DAY", 1), "H": ("HOUR", 1), "30min": ("MINUTE", 30), "MS": ("MONTH", 1)}
 
 
 def _spread(spec: dict | int | None, prefix: str) -> list[dict]:
@@ -42,13 +43,18 @@ def _pick(options: list[str], draw: Column) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), (F.floor(draw * len(options)) + 1).cast("int"))
 
 
-def _steps(start: str, end: str, freq: str) -> Column:
-    step = FREQUENCIES.get(freq, freq)
-    first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    if freq == "MS":
+def _grid(spec: dict) -> tuple[Column, str, int, Column]:
+    """First timestamp, unit, length and number of the steps in [start, end)."""
+    unit, length = FREQUENCIES[spec.get("freq") or "D"]
+    first = F.lit(spec.get("start_date") or "2024-01-01").cast("timestamp")
+    end = F.lit(spec.get("end_date") or "2025-01-01").cast("timestamp")
+    if unit == "MONTH":
         month = F.date_trunc("month", first)
-        first = F.when(month < first, F.add_months(month, 1).cast("timestamp")).otherwise(month)
-    return F.sequence(first, last - F.expr("interval 1 microsecond"), F.expr(f"interval {step}"))
+        first = F.when(month < first, F.timestamp_add("MONTH", F.lit(1), month)).otherwise(month)
+    whole = F.timestamp_diff(unit, first, end)
+    exact = F.timestamp_add(unit, whole, first) == end
+    steps = F.when(exact, F.ceil(whole / length)).otherwise(F.floor(whole / length) + 1)
+    return first, unit, length, steps.cast("bigint")
 
 
 def random_columns(
@@ -82,9 +88,8 @@ def random_columns(
             f"{rand_seed}/{spec['name']}", spec.get("str_count"), spec.get("str_len"), spec.get("str_chars"))
         put(spec, _pick(pool, draw(spec["name"])))
     for spec in _spread(ts_cols, "t"):
-        options = _steps(spec.get("start_date") or "2024-01-01", spec.get("end_date") or "2025-01-01",
-                         spec.get("freq") or "D")
-        put(spec, F.element_at(options, (F.floor(draw(spec["name"]) * F.size(options)) + 1).cast("int")))
+        first, unit, length, steps = _grid(spec)
+        put(spec, F.timestamp_add(unit, (F.floor(draw(spec["name"]) * steps) * length).cast("int"), first))
     for spec in _spread(int_cols, "i"):
         low, high = spec.get("low") or 0, 2 if spec.get("high") is None else spec["high"]
         put(spec, (F.floor(draw(spec["name"]) * (high - low)) + low).cast("bigint"))
@@ -116,12 +121,11 @@ def random_table(
     for spec in sampled:
         frame = random_columns(frame, "_row", None, {"count": 1, **spec}, rand_seed=rand_seed)
     for spec in running:
-        options = _steps(spec.get("start_date") or "2024-01-01", spec.get("end_date") or "2025-01-01",
-                         spec.get("freq") or "D")
-        steps = spark.range(1).select(F.size(options)).first()[0]
+        first, unit, length, count = _grid(spec)
+        steps = spark.range(1).select(count).first()[0]
         if steps < nrow:
             raise ValueError(f"{spec['name']}: {steps} timestamps for {nrow} rows")
-        value = F.element_at(options, (F.col("_row") + 1).cast("int"))
+        value = F.timestamp_add(unit, (F.col("_row") * length).cast("int"), first)
         share = spec.get("missing_pct")
         if share is not None and 0 < share < 1:
             gap = uniform(F.col("_row"), F.lit(rand_seed), F.lit(spec["name"]), F.lit("missing"))
