@@ -72,11 +72,36 @@ def vif(spark, sf):
     return features.vif(table(spark, sf, "lineitem"), [*FEATURES, TARGET])
 
 
+@query("""
+WITH g AS (SELECT sum(q * q) AS qq, sum(q * d) AS qd, sum(q * t) AS qt, sum(d * d) AS dd, sum(d * t) AS dt, sum(t * t) AS tt
+           FROM (SELECT l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem)),
+x AS (SELECT *, qq * (dd * tt - dt * dt) - qd * (qd * tt - dt * qt) + qt * (qd * dt - dd * qt) AS det FROM g)
+SELECT 'l_quantity' AS feature, round(qq * (dd * tt - dt * dt) / det, 4) AS vif FROM x
+UNION ALL SELECT 'l_discount', round(dd * (qq * tt - qt * qt) / det, 4) FROM x
+UNION ALL SELECT 'l_tax', round(tt * (qq * dd - qd * qd) / det, 4) FROM x
+""")
+def vif_of_three(spark, sf):
+    """Three features, for which the inverse has a short closed form."""
+    return features.vif(table(spark, sf, "lineitem"), FEATURES[:3]).withColumn("vif", F.round("vif", 4))
+
+
 @query()
 def rfe_linear(spark, sf):
     return features.rfe(table(spark, sf, "lineitem"), FEATURES, TARGET, 2)
 
 
+@query(f"""
+WITH s AS (SELECT covar_pop(l_quantity, {TARGET}) AS qy, covar_pop(l_discount, {TARGET}) AS dy, covar_pop(l_quantity, l_discount) AS qd,
+                  var_pop(l_quantity) AS qq, var_pop(l_discount) AS dd FROM lineitem),
+w AS (SELECT abs((qy * dd - dy * qd) / (qq * dd - qd * qd)) AS q, abs((dy * qq - qy * qd) / (qq * dd - qd * qd)) AS d FROM s)
+SELECT 'l_quantity' AS feature, q >= d AS selected, CAST(CASE WHEN q >= d THEN 1 ELSE 2 END AS INTEGER) AS rank FROM w
+UNION ALL SELECT 'l_discount', d > q, CAST(CASE WHEN d > q THEN 1 ELSE 2 END AS INTEGER) FROM w
+""")
+def rfe_of_two(spark, sf):
+    """Two features, for which the coefficients have a short closed form."""
+    return features.rfe(table(spark, sf, "lineitem"), FEATURES[:2], TARGET, 1)
+
+
 @query()
 def rfe_svc(spark, sf):
     dear = table(spark, sf, "lineitem").withColumn("dear", (F.col(TARGET) > 50_000).cast("double"))
@@ -88,6 +113,16 @@ def lasso(spark, sf):
     return features.lasso(table(spark, sf, "lineitem"), FEATURES, TARGET, 0.01)
 
 
+@query(f"""
+SELECT 'l_quantity' AS feature, round(sign(c) * greatest(abs(c) - 200, 0) / v, 3) AS coefficient
+FROM (SELECT covar_pop(l_quantity, {TARGET}) AS c, var_pop(l_quantity) AS v FROM lineitem)
+""")
+def lasso_of_one(spark, sf):
+    """One feature, for which the penalty just shortens the covariance."""
+    found = features.lasso(table(spark, sf, "lineitem"), FEATURES[:1], TARGET, 200.0)
+    return found.withColumn("coefficient", F.round("coefficient", 3))
+
+
 @query()
 def tree_importance(spark, sf):
     return features.tree_importance(table(spark, sf, "lineitem"), FEATURES, TARGET, rounds=5)

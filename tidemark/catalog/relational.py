@@ -84,6 +84,26 @@ def orders_summary(spark, sf):
     return aggregate.quartiles(table(spark, sf, "orders"), ["o_custkey", "o_totalprice"])
 
 
+@query("""
+SELECT 'o_custkey' AS "column", true AS q25_near, true AS q50_near, true AS q75_near
+UNION ALL SELECT 'o_totalprice', true, true, true
+""")
+def orders_summary_ranks(spark, sf):
+    """Whether each quartile cuts off its share of the rows, to a thousandth."""
+    orders = table(spark, sf, "orders")
+    names = ["o_custkey", "o_totalprice"]
+    marks = {r["column"]: r for r in aggregate.quartiles(orders, names).collect()}
+
+    def near(name, mark, share):
+        at = F.lit(marks[name][mark])
+        below, upto = F.avg((F.col(name) < at).cast("double")), F.avg((F.col(name) <= at).cast("double"))
+        return ((below <= share + 0.001) & (upto >= share - 0.001)).alias(f"{mark}_near")
+
+    lines = [F.struct(F.lit(n).alias("column"), *[near(n, m, s) for m, s in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+             .alias(n) for n in names]
+    return orders.agg(*lines).select(F.inline(F.array(*names)))
+
+
 @query("""
 SELECT strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS mn, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS mx,
        round(avg(epoch(o_orderdate)), 4) AS ag, sum(epoch(o_orderdate)) AS sm FROM orders

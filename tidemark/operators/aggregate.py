@@ -38,7 +38,9 @@ def quartiles(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> Data
 
 def time_stats(df: DataFrame, column: str) -> DataFrame:
     """min, max, mean and sum of a timestamp; mean and sum in epoch seconds."""
-    seconds = F.col(column).cast("timestamp").cast("double")
+    kind = df.schema[column].dataType
+    epoch = F.lit("1970-01-01 00:00:00" + ("" if isinstance(kind, T.TimestampNTZType) else "+00:00")).cast(kind)
+    seconds = F.timestamp_diff("MICROSECOND", epoch, F.col(column)) / 1_000_000
     return df.agg(
         F.min(column).alias("mn"), F.max(column).alias("mx"), F.avg(seconds).alias("ag"), F.sum(seconds).alias("sm")
     )

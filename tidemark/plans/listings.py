@@ -84,7 +84,8 @@ def listing_details(pages: DataFrame, url: str = "url") -> DataFrame:
     events = F.transform(
         history["priceChangeEvents"],
         lambda e: F.struct(
-            F.to_date(F.try_to_timestamp(e["eventDateTimeUtc"])).alias("event_date"),
+            # the day in UTC, whatever the session's zone
+            F.substring(e["eventDateTimeUtc"], 1, 10).try_cast("date").alias("event_date"),
             first_digits(e["price"]).alias("price"),
         ),
     )

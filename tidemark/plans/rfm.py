@@ -30,10 +30,11 @@ def rfm(
     """
     qty = F.col(qty) if isinstance(qty, str) else qty
     price = F.col(price) if isinstance(price, str) else price
-    start = F.lit(from_date).cast("timestamp")
+    # a start of the column's own kind, so that no time zone enters the difference
+    start = F.lit(from_date).cast(df.schema[ts].dataType)
     moments = df.select(
         F.col(customer).alias("customer"),
-        seconds_between(start, F.col(ts).cast("timestamp")).alias("recency"), (qty * price).alias("_money"),
+        seconds_between(start, F.col(ts)).alias("recency"), (qty * price).alias("_money"),
     ).filter("recency IS NOT NULL").groupBy("customer", "recency").agg(
         F.count("recency").alias("_rows"), F.sum("_money").alias("_money"))
     if per_customer:
@@ -66,9 +67,10 @@ def kmeans_sweep(df: DataFrame, ks: range | list[int] = range(2, 10), seed: int
                  features: str = "standardized") -> DataFrame:
     """Training cost and silhouette for each number of clusters.
 
-    Each fit is a distributed job over the same cached vectors; only one line per k returns.
+    The vectors are stored once and cached; each fit is a distributed job over them, and only one line
+    per k returns.
     """
-    vectors = df.select(features).persist()
+    vectors = stored(df.select(features)).persist()
     judge = ClusteringEvaluator(predictionCol="prediction", featuresCol=features, metricName="silhouette",
                                 distanceMeasure="squaredEuclidean")
     try:
@@ -88,12 +90,13 @@ def kmeans_sweep(df: DataFrame, ks: range | list[int] = range(2, 10), seed: int
 
 def kmeans_predict(df: DataFrame, k: int = 5, seed: int = 1, features: str = "standardized") -> DataFrame:
     """Rows with the number of their cluster."""
-    vectors = df.persist()
+    rows = stored(df)
+    vectors = rows.select(features).persist()
     try:
         model = KMeans(featuresCol=features, k=k, seed=seed).fit(vectors)
     finally:
         vectors.unpersist()
-    return model.transform(df)
+    return model.transform(rows)
 
 
 def cluster_profile(df: DataFrame, columns: list[str], cluster: str = "prediction") -> DataFrame:
