@@ -1,5 +1,12 @@
 """Listing, market-data and segmentation operators as Spark DataFrame functions."""
 
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel to the Python workers themselves, so that executors need no copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 from tidemark.functions.calendar import month_starts, parse_date, parse_time, seconds_between, stepped
 from tidemark.functions.events import (
     decode_price_change, decode_price_guide, encode_events, price_change_text, price_guide_text,

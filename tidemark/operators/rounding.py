@@ -42,7 +42,7 @@ def _best(low, high, cost, end: dict[int, float]) -> list[dict[int, float]]:
         before = {}
         for s, v in ahead.items():
             before[s] = min(before.get(s, NEVER), v)
-            if cost[i] is not NEVER:
+            if cost[i] != NEVER:
                 before[s - 1] = min(before.get(s - 1, NEVER), v + cost[i])
         # a count before row i must be allowed after row i - 1; the block's start is checked by its caller
         ahead = before if i == 0 else {s: v for s, v in before.items() if low[i - 1] <= s <= high[i - 1]}
@@ -57,7 +57,7 @@ def _walk(cost, table, at: int) -> tuple[list[int], int]:
     for i in range(len(cost)):
         ahead = table[i + 1]
         stay = ahead.get(at, NEVER)
-        rise = ahead.get(at + 1, NEVER) + cost[i] if cost[i] is not NEVER else NEVER
+        rise = ahead.get(at + 1, NEVER) + cost[i] if cost[i] != NEVER else NEVER
         if stay <= rise:
             chosen.append(0)
         else:
