@@ -191,7 +191,7 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("limit, partitions", [(None, None), (0, 1), (0, 4), (0, 13)])
+@pytest.mark.parametrize("limit, partitions", [(None, None), (0, 1), (0, 4), (0, 13), (5, 3)])
 def test_round_1col_is_optimal(spark, limit, partitions):
     solved = rounding.controlled_round_1col(
         vector_frame(spark, CASES), ["g"], ["i"], "v", max_group_rows=limit, partitions=partitions)
@@ -213,6 +213,15 @@ def test_round_1col_long_group_by_blocks(spark):
     assert plain == blocks
 
 
+def test_round_1col_with_a_null_group(spark):
+    frame = vector_frame(spark, CASES).withColumn("g", F.when(F.col("g") != "r0", F.col("g")))
+    for limit in (None, 4, 0):
+        solved = rounding.controlled_round_1col(frame, ["g"], ["i"], "v", max_group_rows=limit)
+        assert solved.count() == frame.count()
+        got = [r["x"] for r in solved.filter("g IS NULL").orderBy("i").collect()]
+        assert tuple(got) == brute_1col(CASES["r0"])[1]
+
+
 def test_feasible_start(spark):
     got = rounding.feasible_round_1col(vector_frame(spark, CASES), ["g"], ["i"], "v")
     audit = rounding.rounding_audit(got.withColumn("c", F.lit(0)), ["g"], "i", "c", "v", "x")

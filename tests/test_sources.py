@@ -23,6 +23,12 @@ def test_csv_strings_keep_doubled_quotes(spark, tmp_path):
     assert rows(frame) == [('x, "y"', "1")]
 
 
+def test_csv_round_trip_of_awkward_texts(spark, tmp_path):
+    frame = spark.createDataFrame([(1, ' a, "b" '), (2, "x\ny\r\nz"), (3, "back\\slash"), (4, None)], "k INT, t STRING")
+    files.write_csv(frame, str(tmp_path / "t"))
+    assert frames_equal(frame, files.scan_csv(spark, str(tmp_path / "t"), "k INT, t STRING", multi_line=True))
+
+
 def test_csv_typed_and_tolerant(spark, tmp_path):
     path = write(tmp_path / "a.csv", "k,v\n1,2\nbad,3,surplus\n4,\n")
     frame = files.scan_csv(spark, path, "k INT, v DOUBLE")

@@ -40,18 +40,13 @@ def csv_inferred(spark, sf):
     return files.scan_csv(spark, _customer_csv(spark, sf), infer=True)
 
 
-@query("""
-SELECT doc_id, text, lang FROM documents WHERE NOT contains(text, chr(10)) AND NOT contains(text, chr(13))
-  AND text = trim(text) AND length(text) > 0 AND NOT contains(text, chr(92))
-""")
-def csv_quoted_text(spark, sf):
-    """Whole texts with commas and quotes."""
-    plain = table(spark, sf, "documents").filter(
-        ~F.col("text").contains("\n") & ~F.col("text").contains("\r") & (F.col("text") == F.trim("text"))
-        & (F.length("text") > 0) & ~F.col("text").contains("\\")).select("doc_id", "text", "lang")
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_whole_texts(spark, sf):
+    """Texts with commas, quotes and line breaks, in as many files as there are tasks."""
     path = scratch_path(spark, "documents-csv")
-    files.write_csv(plain, path)
-    return files.scan_csv(spark, path, "doc_id BIGINT, text STRING, lang STRING")
+    documents = table(spark, sf, "documents")
+    files.write_csv(documents, path)
+    return files.scan_csv(spark, path, documents.schema, multi_line=True)
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderdate IS NULL AS bad FROM orders")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,7 @@ TOL = 1e-4
 SCALE = 10_000
 DEV_WEIGHT = 10
 MAX_GROUP_ROWS = 200_000
+BUCKET_ROWS = 50_000
 MAX_CELLS = 400
 MAX_STATES = 200_000
 NEVER = math.inf
@@ -92,29 +95,67 @@ def controlled_round_1col(
     smallest. A group without a solution fails the job.
 
     A running sum has at most three values per row, so the least cost is a shortest path through
-    three states. Groups above ``max_group_rows`` are cut into blocks that are solved for
+    three states. Only the groups above ``max_group_rows`` are cut into blocks, which are solved for
     every entry state at once; the entry states are then fixed along each group's blocks.
     """
     limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    windowed = fits_window(df, keys, limit)
     base = df.withColumn("_f", fraction(F.col(value)))
-    parts = base if windowed else ordered_blocks(base, keys, order, partitions)
-    summed = running_sums(parts, keys, order, {"_cum": F.col("_f")}, windowed)
     shape = T.StructType([*df.schema.fields, T.StructField("x", T.IntegerType())])
-    if windowed:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order)
-            cum = pdf["_cum"].to_numpy()
-            low, high, cost = _steps(pdf["_f"].to_numpy(), cum, tol)
-            table = _best(low, high, cost, {math.ceil(cum[-1] - tol): 0})
+    small, large, small_rows, large_rows = _by_size(base, keys, limit)
+    solved = []
+    if small is not None:
+        summed = running_sums(small, keys, order, {"_cum": F.col("_f")}, True)
+        solved.append(_solve_whole(_bucketed(summed, keys, small_rows), keys, order, tol, shape))
+    if large is not None:
+        blocks = partitions or (-(-large_rows // limit) if limit else None)
+        parts = ordered_blocks(large, keys, order, blocks)
+        summed = running_sums(parts, keys, order, {"_cum": F.col("_f")}, False)
+        solved.append(_solve_blocks(summed, keys, order, tol, shape))
+    both = solved[0] if len(solved) == 1 else solved[0].unionByName(solved[1])
+    return both.withColumn("rounded", (F.floor(F.col(value)) + F.col("x")).cast("bigint"))
+
+
+def _by_size(df: DataFrame, keys: list[str], limit: int):
+    """Rows of groups up to ``limit`` rows, rows of larger groups (either None), and their counts."""
+    sizes = df.groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    is_large = F.col("_n") > limit
+    rows, of_large = sizes.agg(F.sum("_n"), F.sum(F.when(is_large, F.col("_n")))).first()
+    if not of_large:
+        return df, None, rows or 0, 0
+    if of_large == rows:
+        return None, df, 0, rows
+    hot = stored(sizes.filter(is_large))
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
+    return df.join(hot, match, "left_anti"), df.join(hot, match, "left_semi"), rows - of_large, of_large
+
+
+def _bucketed(df: DataFrame, keys: list[str], rows: int):
+    """Whole groups hashed together, so that one Python call serves many small ones."""
+    buckets = max(1, -(-rows // BUCKET_ROWS))
+    return df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"))
+
+
+def _group_rows(pdf: pd.DataFrame, keys: list[str]):
+    """Row positions of each group, in the order of ``pdf``."""
+    codes = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+    by_group = np.argsort(codes, kind="stable")
+    return np.split(by_group, np.flatnonzero(np.diff(codes[by_group])) + 1) if len(pdf) else []
+
+
+def _solve_whole(grouped, keys: list[str], order: list[str], tol: float, shape: T.StructType) -> DataFrame:
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        fracs, cums = pdf["_f"].to_numpy(), pdf["_cum"].to_numpy()
+        x = np.zeros(len(pdf), dtype=np.int32)
+        for at in _group_rows(pdf, keys):
+            low, high, cost = _steps(fracs[at], cums[at], tol)
+            table = _best(low, high, cost, {math.ceil(cums[at[-1]] - tol): 0})
             if table[0].get(0, NEVER) == NEVER:
                 raise ValueError("no rounding meets the running totals")
-            return pdf.assign(x=_walk(cost, table, 0)[0])[shape.names]
+            x[at] = _walk(cost, table, 0)[0]
+        return pdf.assign(x=x)[shape.names]
 
-        solved = summed.groupBy(*keys).applyInPandas(whole, shape)
-    else:
-        solved = _solve_blocks(summed, keys, order, tol, shape)
-    return solved.withColumn("rounded", (F.floor(F.col(value)) + F.col("x")).cast("bigint"))
+    return grouped.applyInPandas(whole, shape)
 
 
 def _solve_blocks(summed: DataFrame, keys: list[str], order: list[str], tol: float, shape: T.StructType) -> DataFrame:
@@ -283,21 +324,26 @@ def controlled_round(
     matrices. Their sizes are counted first; a matrix above ``max_cells`` is an error, never cut.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    large = counts.filter(F.col("n") > max_cells).agg(F.count(F.lit(1)), F.max("n")).first()
+    above = F.count(F.when(F.col("n") > max_cells, 1))
+    large = counts.agg(above, F.max("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if large[0]:
         raise ValueError(f"{large[0]} matrices above {max_cells} cells, the largest has {large[1]}")
     shape = T.StructType([*df.schema.fields, T.StructField("x", T.IntegerType()),
                           T.StructField("objective", T.LongType())])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        at_row = np.unique(pdf[row].to_numpy(), return_inverse=True)[1]
-        at_col = np.unique(pdf[col].to_numpy(), return_inverse=True)[1]
-        grid = np.zeros((at_row.max() + 1, at_col.max() + 1))
-        grid[at_row, at_col] = pdf[value].to_numpy(float)
-        chosen, cost = _solve_matrix(grid, tol, col_w, row_w, elem_w, col_step_penalty, elem_penalty)
-        return pdf.assign(x=chosen[at_row, at_col], objective=cost)[shape.names]
-
-    solved = df.groupBy(*keys).applyInPandas(solve, shape)
+        rows, cols, values = pdf[row].to_numpy(), pdf[col].to_numpy(), pdf[value].to_numpy(float)
+        x, objective = np.zeros(len(pdf), dtype=np.int32), np.zeros(len(pdf), dtype=np.int64)
+        for at in _group_rows(pdf, keys):
+            at_row = np.unique(rows[at], return_inverse=True)[1]
+            at_col = np.unique(cols[at], return_inverse=True)[1]
+            grid = np.zeros((at_row.max() + 1, at_col.max() + 1))
+            grid[at_row, at_col] = values[at]
+            chosen, cost = _solve_matrix(grid, tol, col_w, row_w, elem_w, col_step_penalty, elem_penalty)
+            x[at], objective[at] = chosen[at_row, at_col], cost
+        return pdf.assign(x=x, objective=objective)[shape.names]
+
+    solved = _bucketed(df, keys, large[2]).applyInPandas(solve, shape)
     return solved.withColumn("rounded", (F.floor(F.col(value)) + F.col("x")).cast("bigint"))
 
 

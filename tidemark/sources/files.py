@@ -24,6 +24,7 @@ def scan_csv(
     date_cols: list[str] | None = None,
     fmt: str | list[str] | None = None,
     tolerant: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Delimited text as a DataFrame.
 
@@ -31,9 +32,10 @@ def scan_csv(
     (``sample`` is the share of rows looked at). A schema saves that extra pass.
     ``date_cols`` are read as strings and parsed by ``fmt``, a pattern or a list of
     patterns tried in turn. ``tolerant`` turns bad cells into nulls and drops
-    surplus fields; otherwise such a row fails the job.
+    surplus fields; otherwise such a row fails the job. ``multi_line`` allows line breaks in
+    quoted fields, at the price of one task per file. An empty field is null, quoted or not.
     """
-    reader = spark.read.option("header", header).option("escape", escape)
+    reader = spark.read.option("header", header).option("escape", escape).option("multiLine", multi_line)
     reader = reader.option("mode", "PERMISSIVE" if tolerant else "FAILFAST")
     dates = list(date_cols or [])
     patterns = [fmt] if isinstance(fmt, str) else list(fmt or ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"])
@@ -119,8 +121,10 @@ def dated_path(base: str, day: datetime.date) -> str:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header line, UTF-8, quotes doubled; one file per partition."""
-    df.write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+    """Header line, UTF-8, quotes doubled, blanks kept; one file per partition."""
+    options = {"header": True, "escape": '"', "encoding": "UTF-8",
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**options).csv(path)
 
 
 def write_parquet(
