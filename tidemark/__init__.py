@@ -43,7 +43,7 @@ from tidemark.plans.features import (
 )
 from tidemark.plans.listings import listing_details, listing_items, listing_report, listing_table, rent_report
 from tidemark.plans.rfm import cluster_profile, kmeans_predict, kmeans_sweep, rfm, scaled_columns, standardize
-from tidemark.session import build_session, scratch_path, shared_dir, stored
+from tidemark.session import build_session, scratch_path, shared_dir, spread, stored
 from tidemark.sources.files import (
     dated_path, file_inventory, frame_from_rows, read_lines, scan_csv, scan_csv_range, scan_parquet, size_mb, sql_over,
     write_csv, write_parquet,

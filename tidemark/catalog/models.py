@@ -8,7 +8,7 @@ from tidemark.catalog import query, table
 from tidemark.catalog.relational import PER_CUSTOMER, _rfm
 from tidemark.operators import distance, rounding
 from tidemark.plans import features, rfm as segments
-from tidemark.session import stored
+from tidemark.session import spread, stored
 
 RFM_COLUMNS = ["recency", "frequency", "monetary_value"]
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -102,15 +102,20 @@ def rfe_of_two(spark, sf):
     return features.rfe(table(spark, sf, "lineitem"), FEATURES[:2], TARGET, 1)
 
 
+def _training(spark, sf):
+    """Features and target on all cores, for the iterative fits."""
+    return spread(table(spark, sf, "lineitem").select(*FEATURES, TARGET))
+
+
 @query()
 def rfe_svc(spark, sf):
-    dear = table(spark, sf, "lineitem").withColumn("dear", (F.col(TARGET) > 50_000).cast("double"))
+    dear = _training(spark, sf).withColumn("dear", (F.col(TARGET) > 50_000).cast("double"))
     return features.rfe(dear, FEATURES, "dear", 2, model="svc")
 
 
 @query()
 def lasso(spark, sf):
-    return features.lasso(table(spark, sf, "lineitem"), FEATURES, TARGET, 0.01)
+    return features.lasso(_training(spark, sf), FEATURES, TARGET, 0.01)
 
 
 @query(f"""
@@ -125,12 +130,12 @@ def lasso_of_one(spark, sf):
 
 @query()
 def tree_importance(spark, sf):
-    return features.tree_importance(table(spark, sf, "lineitem"), FEATURES, TARGET, rounds=5)
+    return features.tree_importance(_training(spark, sf), FEATURES, TARGET, rounds=5)
 
 
 @query()
 def permutation_importance(spark, sf):
-    return features.permutation_importance(table(spark, sf, "lineitem"), FEATURES, TARGET, repeats=3, trees=20)
+    return features.permutation_importance(_training(spark, sf), FEATURES, TARGET, repeats=3, trees=20)
 
 
 DISTANCE_SQL = """

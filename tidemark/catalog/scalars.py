@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query, table
 from tidemark.functions import calendar, events, numeric, text
+from tidemark.session import spread
 
 
 @query("""
@@ -114,7 +115,8 @@ def event_encode_decode(spark, sf):
     count = (F.col("o_orderkey") % 5).cast("int")
     made = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), entry)).otherwise(
         F.array().cast("array<struct<event_date: date, price: bigint>>"))
-    stored = table(spark, sf, "orders").select(
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    stored = spread(orders).select(
         "o_orderkey", events.price_change_text(count, F.lit(-500), events.encode_events(made)).alias("stored"))
     decoded = stored.withColumn("d", events.decode_price_change(F.col("stored")))
     return decoded.select(

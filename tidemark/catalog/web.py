@@ -8,6 +8,7 @@ from tidemark.catalog import query, table
 from tidemark.operators import pages as web
 from tidemark.operators.pages import Selector
 from tidemark.plans import listings
+from tidemark.session import spread, stored
 
 
 @query("""
@@ -29,7 +30,10 @@ def page_links_text(spark, sf):
 
 
 def _unescaped(expr):
-    return f"replace(replace(replace(replace(replace({expr}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+    """Entities as a browser reads them: a cut-off one may lack its semicolon."""
+    for entity, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("amp", "&")):
+        expr = f"regexp_replace({expr}, '&{entity};?', '{sign}', 'g')"
+    return expr
 
 
 @query(f"""
@@ -74,7 +78,8 @@ def _lines(spark, sf):
         F.date_format(F.date_add(F.col("o_orderdate").cast("date"), i), "dd MMM yyyy").alias("shown"),
         F.col("o_orderstatus").alias("flag"))
     count = (F.col("o_orderkey") % 4 + 1).cast("int")
-    return table(spark, sf, "orders").select(
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus")
+    return spread(orders).select(
         "o_orderkey", F.transform(F.sequence(F.lit(1), count), entry).alias("es"),
         F.concat(F.lit("https://example.org/cars/2015-kluger-"), F.col("o_orderkey").cast("string"),
                  F.lit("/AD-"), F.col("o_orderkey").cast("string"), F.lit("/")).alias("url"))
@@ -136,7 +141,7 @@ FROM i WHERE odokm <= 150000
 """)
 def listing_report(spark, sf):
     items = listings.listing_items(result_pages(spark, sf), keep=["page_id"])
-    report = listings.listing_report(items, "Kluger", 2026)
+    report = listings.listing_report(stored(items), "Kluger", 2026)
     return report.select("page_id", "id", "owner", "grade", "drive", "age", F.round("year", 4).alias("year"), "lvlkm",
                          F.round("price", 4).alias("price"), F.round("odokm", 4).alias("odokm"))
 
@@ -219,7 +224,7 @@ SELECT CAST(down + 10 AS VARCHAR) AS sold_price, strftime(o_orderdate + to_days(
 FROM o WHERE o_orderstatus = 'F'
 """)
 def price_history(spark, sf):
-    report = listings.rent_report(web.price_history(sale_pages(spark, sf)))
+    report = listings.rent_report(stored(web.price_history(sale_pages(spark, sf))))
     return report.drop("url").withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("sold_date", "rent_date")})
 
 

@@ -132,7 +132,8 @@ def listing_report(
 
     Adds grade, drive, age (year minus the current year), the odometer bin, the year adjusted
     for grade and drive, and price and odometer in units of 10,000. Rows without a year go,
-    as a missing number counts as 0.
+    as a missing number counts as 0. Sorting reads its input twice, once for the ranges: ``stored``
+    listings spare parsing the pages again.
     """
     ladder = LADDERS[model.lower()]
     typed = listings.withColumns({
