@@ -3,10 +3,12 @@ import os
 import zipfile
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidemark.operators.compare import append_history, frames_equal
+from tidemark.session import shared_dir, spread, stored
 from tidemark.sources import files, sections, synth
 from tidemark.streaming.history import read_history, stream_history
 
@@ -96,7 +98,7 @@ def test_inventory_counts_direct_files_only(spark, tmp_path):
 
 SAMPLE = "D,x\nI,s,t,v\nD,s,t,2\nE,finished\n"
 REPORT = (
-    "C,NEMP,x\nI,DISPATCH,PRICE,1,Region,RRP\nD,DISPATCH,PRICE,1,QLD,10.5\nD,DISPATCH,PRICE,1,NSW,bad\n"
+    "C,HEAD,x\nI,DISPATCH,PRICE,1,Region,RRP\nD,DISPATCH,PRICE,1,QLD,10.5\nD,DISPATCH,PRICE,1,NSW,bad\n"
     "C,inside\nI,DISPATCH,LOAD,1,Unit,MW\nD,DISPATCH,LOAD,1,A,5,surplus\n"
     "I,DISPATCH,PRICE,1,Region,RRP\nD,DISPATCH,PRICE,1,VIC,7\nC,END,8\nD,DISPATCH,PRICE,1,LATE,1\n"
 )
@@ -218,3 +220,41 @@ def test_running_timestamps(spark):
     assert rows(frame) == [(dt.datetime(2024, 1, d),) for d in (1, 2, 3)]
     with pytest.raises(ValueError):
         synth.random_table(spark, 4, ts_cols={"count": 1, "start_date": "2024-01-01", "end_date": "2024-01-04"})
+
+
+def test_spread_leaves_large_input_alone(spark, sf):
+    frame = spark.read.parquet(f"{sf}/orders.parquet")
+    assert spread(frame).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        assert spread(frame) is frame
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "134217728")
+
+
+def test_stored_goes_to_the_shared_folder(spark):
+    folder = shared_dir(spark)
+    assert spark.sparkContext.getCheckpointDir().startswith(("file:" + folder, folder))
+    frame = stored(spark.range(3))
+    assert frame.count() == 3 and "RDD" in frame._jdf.queryExecution().toString()
+
+
+def test_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        def getCheckpointDir(self):  # noqa: E301
+            return None
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
+def test_functions_travel_by_value():
+    assert "tidemark" in cloudpickle.list_registry_pickle_by_value()

@@ -132,7 +132,7 @@ def rfe(
                 weights = np.linalg.lstsq(g[np.ix_(at, at)], g[at, -1], rcond=None)[0]
             else:
                 vectors = VectorAssembler(inputCols=left, outputCol="_x").transform(data)
-                fitted = LinearSVC(featuresCol="_x", labelCol=target, maxIter=max_iter, tol=1e-4).fit(vectors)
+                fitted = LinearSVC(featuresCol="_x", labelCol=target, maxIter=max_iter, tol=1e-3).fit(vectors)
                 weights = fitted.coefficients.toArray()
             dropped.append(left.pop(int(np.argmin(np.abs(weights)))))
     finally:
