@@ -16,7 +16,8 @@ TARGET = "l_extendedprice"
 
 
 def _scaled(spark, sf):
-    return segments.standardize(_rfm(spark, sf, True), RFM_COLUMNS)
+    # one line per customer, read by the fit and again by the scaling
+    return segments.standardize(stored(_rfm(spark, sf, True)), RFM_COLUMNS)
 
 
 @query(PER_CUSTOMER + "SELECT customer, " + ", ".join(
