@@ -112,8 +112,13 @@ def _training(spark, sf):
 SELECT unnest(['l_quantity', 'l_discount', 'l_tax', 'l_linenumber']) AS feature, unnest([true, false, false, false]) AS selected
 """)
 def rfe_svc(spark, sf):
-    """The class is whether the quantity is above 25, so the quantity must be the one that stays."""
-    many = _training(spark, sf).withColumn("many", (F.col("l_quantity") > 25).cast("double"))
+    """The class is whether the quantity is above 25, so the quantity must be the one that stays.
+
+    Coefficients are compared as they are, so the features are brought to one scale, 0 to 50.
+    """
+    many = _training(spark, sf).withColumns({
+        "many": (F.col("l_quantity") > 25).cast("double"), "l_discount": F.col("l_discount") * 500,
+        "l_tax": F.col("l_tax") * 600, "l_linenumber": F.col("l_linenumber") * 7})
     return features.rfe(many, FEATURES, "many", 1, model="svc").select("feature", "selected")
 
 
