@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import simhash_bk
+from tidemark.llm import langid_ecoc, sentencepiece_nbest, simhash_bk, toxicity_ftrl
+from tidemark.llm.text_arrays import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +28,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the vocabulary of the SentencePiece operator lies.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query()
+def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, the scores of its four best segmentations, and whether decoding gives the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (sentencepiece_nbest.encode(docs, sentencepiece_nbest.load(PIECE_MODEL))
+            .select("doc_id", F.size("pieces.ids").alias("n_pieces"), "pieces.ids", "pieces.scores", "pieces.exact"))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity_ftrl.Weights:
+    """Weights learnt outside the held-out fold of ids."""
+    return toxicity_ftrl.train(docs, labels.where(fold_of("doc_id", 5) != 0))
+
+
+@query()
+def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity_ftrl.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")), out="score")
+    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def language_codes(docs: DataFrame) -> langid_ecoc.Codes:
+    """Codes learnt outside the held-out fold of ids."""
+    return langid_ecoc.train(docs.where(fold_of("doc_id", 4) != 2))
+
+
+@query()
+def op7_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid_ecoc.identify(docs.select("doc_id", "text"), language_codes(docs))
+    return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+                        F.col("language.score").alias("score"), F.col("language.ambiguous").alias("ambiguous"))
+
+
 @query()
 def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""

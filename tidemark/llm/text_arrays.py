@@ -6,16 +6,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-PIECE = 1 << 20
+PIECE = 1 << 16
 ROWS = 256
 SPACE = frozenset(b" \t\n\x0b\x0c\r")
 
 
-def crc_of(column: str):
-    """crc32 of a key written as text; null counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+def fold_of(id_col: str, folds: int) -> Column:
+    """The fold of a row: crc32 of its id written as text, modulo ``folds``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def bounded_sample(rows: DataFrame, key: list[str], size: int) -> DataFrame:
+    """``size`` rows at most, those with the smallest hash of ``key``; all of them, if there are no more.
+
+    A first cut by the hash, at a share computed from the row count, leaves little more than ``size`` rows to order.
+    """
+    n = rows.count()
+    picked = rows.withColumn("__o", F.xxhash64(*[F.col(k).cast("string") for k in key]))
+    if n > size:
+        share = min(1.0, (size + 6 * size ** 0.5 + 36) / n)
+        picked = picked.where(F.pmod("__o", F.lit(1 << 40)) < int(share * (1 << 40)))
+    return picked.orderBy(F.pmod("__o", F.lit(1 << 40)), "__o", *key).limit(size).drop("__o")
 
 
 def byte_mask(alnum_only: bool) -> np.ndarray:
@@ -42,28 +55,40 @@ def joined(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mixed(a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(salt))
 
 
-def _hash_bytes(buf: np.ndarray, keep: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word of one buffer."""
-    inside = keep[buf]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+BASE = 0xD6E8FEB86659FD93
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
+
+
+def _hash_bytes(buf: np.ndarray, table: np.ndarray, powers: np.ndarray, undo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of a buffer that ends in a blank: sums of byte values times powers of the place.
+
+    Blanks have the value 0, so a word's sum may run to the next word; the inverse power of its first place takes
+    its position out again.
+    """
+    value = table[buf]
+    inside = value != 0
+    starts = np.flatnonzero(inside[1:] > inside[:-1]) + 1
+    if inside[0]:
+        starts = np.concatenate(([0], starts))
     if not len(starts):
         return np.empty(0, np.uint64), starts
-    lens = ends - starts
-    first = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    at = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(int(lens.max()), 0xD6E8FEB86659FD93, np.uint64))
-        return mixed(np.add.reduceat(table[buf[inside]] * powers[at], first)), starts
+    value *= powers[:len(buf)]
+    return mixed(np.add.reduceat(value, starts) * undo[starts]), starts
 
 
 def word_hashes(texts: list[bytes], alnum_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of ASCII-lower-cased texts, and where each text begins in them (one more entry at the end).
 
-    The hash of a word depends on its bytes only. Texts are joined into pieces of about a megabyte; a longer
+    The hash of a word depends on its bytes only. Texts are joined into small pieces; a longer
     one is cut at blanks, so memory stays with the longest word and the number of words.
     """
-    keep, table = byte_mask(alnum_only), _random_table(7, 256)
+    table = np.where(byte_mask(alnum_only), _random_table(7, 256), np.uint64(0))
+    powers, undo = _powers(BASE, 2 * PIECE), _powers(pow(BASE, -1, 1 << 64), 2 * PIECE)
     out: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
     todo: list[tuple[int, bytes]] = []
@@ -72,8 +97,11 @@ def word_hashes(texts: list[bytes], alnum_only: bool = False) -> tuple[np.ndarra
     def flush() -> None:
         if not todo:
             return
-        buf = np.frombuffer(b" ".join(t for _, t in todo).lower(), np.uint8)
-        h, starts = _hash_bytes(buf, keep, table)
+        nonlocal powers, undo
+        buf = np.frombuffer(b" ".join([t for _, t in todo]).lower() + b" ", np.uint8)
+        if len(buf) > len(powers):
+            powers, undo = _powers(BASE, len(buf)), _powers(pow(BASE, -1, 1 << 64), len(buf))
+        h, starts = _hash_bytes(buf, table, powers, undo)
         bounds = np.cumsum([0, *(len(t) + 1 for _, t in todo)])
         per = np.diff(np.searchsorted(starts, bounds))
         np.add.at(counts, [i for i, _ in todo], per)
@@ -89,7 +117,7 @@ def word_hashes(texts: list[bytes], alnum_only: bool = False) -> tuple[np.ndarra
             flush()
             size, at = 0, cut
         todo.append((i, text[at:]))
-        size += len(text) - at
+        size += len(text) - at + 1
         if size > PIECE:
             flush()
             size = 0
@@ -115,3 +143,19 @@ def mapped(step: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = ROWS):
         for part in sliced(batches, rows):
             yield step(part)
     return run
+
+
+def with_computed(docs: DataFrame, text_col: str, out: str, kind: T.DataType, step: Callable, per_task: bool = False) -> DataFrame:
+    """``docs`` plus a column computed from whole texts, a few rows at a time; an old column ``out`` is replaced.
+
+    ``step`` turns a list of UTF-8 texts into an Arrow array; with ``per_task`` it is called once per task and returns such a function.
+    """
+    @F.arrow_udf(returnType=kind)
+    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        run = step() if per_task else step
+        for texts in batches:
+            values = texts.cast(pa.binary())
+            parts = [run([b"" if v is None else v for v in values.slice(at, ROWS).to_pylist()]) for at in range(0, len(values), ROWS)]
+            yield pa.concat_arrays(parts) if parts else run([])
+
+    return docs.withColumn(out, compute(F.col(text_col)))
