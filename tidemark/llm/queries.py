@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import langid_ecoc, sentencepiece_nbest, simhash_bk, toxicity_ftrl
+from tidemark.llm import decontaminate_lsa, langid_ecoc, sentencepiece_nbest, simhash_bk, toxicity_ftrl
 from tidemark.llm.text_arrays import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op2_decontaminate_lsa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, word for word or as a paraphrase."""
+    return decontaminate_lsa.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Where the vocabulary of the SentencePiece operator lies.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 

@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 PIECE = 1 << 16
 ROWS = 256
+SLICE = 1 << 20
 SPACE = frozenset(b" \t\n\x0b\x0c\r")
 
 
@@ -130,17 +132,28 @@ def plain(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [b"" if v is None else v for v in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to a few rows each, so that the arrays of a step stay small."""
+def cuts(values: pa.Array, rows: int = ROWS, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of at most ``rows`` texts and about ``size`` bytes; a longer text is a run of its own."""
+    lens = np.nan_to_num(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.float64))
+    total = np.concatenate(([0], np.cumsum(lens)))
+    at = 0
+    while at < len(lens):
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1))
+        yield at, stop - at
+        at = stop
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "t", rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that the texts of each part, and the arrays made of them, stay small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        for at, n in cuts(batch.column(column), rows):
+            yield batch.slice(at, n)
 
 
-def mapped(step: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = ROWS):
-    """A function for ``mapInArrow`` that applies ``step`` to small slices."""
+def mapped(step: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "t"):
+    """A function for ``mapInArrow`` that applies ``step`` to small slices, cut by the texts in ``column``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, rows):
+        for part in sliced(batches, column):
             yield step(part)
     return run
 
@@ -155,7 +168,7 @@ def with_computed(docs: DataFrame, text_col: str, out: str, kind: T.DataType, st
         run = step() if per_task else step
         for texts in batches:
             values = texts.cast(pa.binary())
-            parts = [run([b"" if v is None else v for v in values.slice(at, ROWS).to_pylist()]) for at in range(0, len(values), ROWS)]
+            parts = [run([b"" if v is None else v for v in values.slice(at, n).to_pylist()]) for at, n in cuts(values)]
             yield pa.concat_arrays(parts) if parts else run([])
 
     return docs.withColumn(out, compute(F.col(text_col)))
