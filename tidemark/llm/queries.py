@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate_lsa, langid_ecoc, sentencepiece_nbest, simhash_bk, toxicity_ftrl
+from tidemark.llm import (
+    chat_parts, decontaminate_lsa, langid_ecoc, sentencepiece_nbest, shard_propagation, simhash_bk, topk_nra, toxicity_ftrl,
+)
 from tidemark.llm.text_arrays import fold_of
+from tidemark.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,12 +31,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_shard_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal row counts; equal texts are linked."""
+    text = F.coalesce("text", F.lit(""))
+    rows = stored(table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64("text").alias("g1"), F.xxhash64(F.lit(1), "text").alias("g2")))
+    placed = shard_propagation.balanced_shards(rows, 16)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard",
+                         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query()
 def op2_decontaminate_lsa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, word for word or as a paraphrase."""
     return decontaminate_lsa.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op3_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best other vectors of every hundredth one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk_nra.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
 #: Where the vocabulary of the SentencePiece operator lies.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -74,6 +106,29 @@ def op7_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("language.score").alias("score"), F.col("language.ambiguous").alias("ambiguous"))
 
 
+@query(r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+e AS (
+  SELECT *, replace(replace(role, '\', '\s'), '<', '\l') AS er, replace(replace(text, '\', '\s'), '<', '\l') AS et FROM m)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, et)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, et) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(20 + length(er) + length(et)) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation read back from its formatted text, and of one whose texts hold control strings."""
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                    F.lit("\\### Assistant: </turn> ok").alias("text"))
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    chats = chat_parts.format_chats(messages.withColumn("parts", chat_parts.text_part(F.col("text"))))
+    return chat_parts.digests(chats)
+
+
 @query()
 def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
