@@ -17,19 +17,18 @@ compared whole, an item without words is never found.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.text_arrays import plain, sliced, word_hashes
+from tidemark.llm.text_arrays import RUN as PART, add_by_term, part_sums, plain, sliced, summed_blocks, word_hashes
 
 TERM_BITS = 14
 TERMS = 1 << TERM_BITS
 #: A passage is ``SPAN`` successive parts of ``PART`` words and one begins with every part.
-PART, SPAN = 8, 3
+SPAN = 3
 #: Words of a window of a benchmark item; so many successive words, and one more, always lie within a passage.
 WINDOW = 16
 #: Power of the inverse document frequency; frequent words say little about a passage.
@@ -82,35 +81,6 @@ def spans(rows: np.ndarray, text: np.ndarray, back: bool = False) -> np.ndarray:
     return out
 
 
-def part_sums(table: np.ndarray, term: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Per part the sum of its words' rows of ``table``: word by word of all parts, some thousand parts at a time."""
-    out = np.zeros((len(start), table.shape[1]), table.dtype)
-    for at in range(0, len(start), 1024):
-        first, stop, some = start[at:at + 1024], end[at:at + 1024], out[at:at + 1024]
-        full = bool((stop - first == PART).all())
-        for k in range(PART):
-            if full:
-                some += table[term[first + k]]
-            else:
-                real = np.flatnonzero(first + k < stop)
-                some[real] += table[term[first[real] + k]]
-    return out
-
-
-def add_by_term(out: np.ndarray, term: np.ndarray, rows: np.ndarray, row: np.ndarray) -> None:
-    """Add rows[row[k]] to out[term[k]] for every word k: in runs of up to ``PART`` words of one term, then run by run."""
-    for lo in range(0, len(term), 1 << 16):
-        order = np.argsort(term[lo:lo + (1 << 16)].astype(np.uint16), kind="stable") + lo
-        of, at = term[order], row[order]
-        heads = np.flatnonzero(np.diff(of, prepend=-1))
-        size = np.diff(np.append(heads, len(of)))
-        n = -(-size // PART)
-        first = np.repeat(heads, n) + PART * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-        stop = np.minimum(first + PART, np.repeat(heads + size, n))
-        sums = part_sums(rows, at, first, stop)
-        out[of[heads]] += np.add.reduceat(sums, np.cumsum(n) - n, axis=0)
-
-
 def idf_of(docs: DataFrame, text_col: str) -> np.ndarray:
     """Weight of every term by its inverse document frequency, a passage counting as a document; bounded by the term space."""
     def count(batches):
@@ -141,21 +111,6 @@ def idf_of(docs: DataFrame, text_col: str) -> np.ndarray:
     return (np.log((1 + total) / (1 + df)) ** SHARPNESS).astype(np.float32)
 
 
-def _added(blocks: DataFrame) -> list:
-    """Per block the sum of its float64 arrays, added up in two steps so that no task holds those of all tasks."""
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for raw in batch.column("data").to_pylist():
-                part = np.frombuffer(raw, np.float64)
-                total = part.copy() if total is None else total + part
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()])],
-                                         ["block", "part", "data"])
-
-    kind = "block int, part int, data binary"
-    return blocks.groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind).select("block", "data").collect()
-
-
 def latent_space(docs: DataFrame, text_col: str = "text", rank: int = RANK, oversample: int = OVERSAMPLE) -> Space:
     """The latent space of all passages of ``docs``. What reaches the driver is as large as the term space."""
     idf = idf_of(docs, text_col)
@@ -179,7 +134,7 @@ def latent_space(docs: DataFrame, text_col: str = "text", rank: int = RANK, over
                                           pa.array(parts, pa.binary())], ["block", "part", "data"])
 
     found = {b: np.frombuffer(d, np.float64) for b, d in
-             _added(docs.select(F.col(text_col).alias("t")).mapInArrow(project, "block int, part int, data binary"))}
+             summed_blocks(docs.select(F.col(text_col).alias("t")).mapInArrow(project, "block int, part int, data binary"))}
     if not found:
         return Space(np.zeros((TERMS, rank), np.float32))
     gram = found[0].reshape(width, width)

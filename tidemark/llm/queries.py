@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (
-    chat_parts, decontaminate_lsa, langid_ecoc, sentencepiece_nbest, shard_propagation, simhash_bk, topk_nra, toxicity_ftrl,
+    chat_parts, decontaminate_lsa, html_tree, langid_ecoc, lm_masked, sentencepiece_nbest, shard_propagation, simhash_bk, topk_nra, toxicity_ftrl,
 )
 from tidemark.llm.text_arrays import fold_of
 from tidemark.session import stored
@@ -92,6 +92,13 @@ def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query()
+def op6_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_tree.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def language_codes(docs: DataFrame) -> langid_ecoc.Codes:
     """Codes learnt outside the held-out fold of ids."""
     return langid_ecoc.train(docs.where(fold_of("doc_id", 4) != 2))
@@ -133,3 +140,12 @@ def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash_bk.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_lm_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab, net = lm_masked.train(docs)
+    return lm_masked.score(docs, vocab, net).select("doc_id", F.col("pll.words").alias("n_words"), F.col("pll.log_prob").alias("log_prob"),
+                                                    F.col("pll.mean").alias("mean_log_prob"))

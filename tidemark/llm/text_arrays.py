@@ -172,3 +172,51 @@ def with_computed(docs: DataFrame, text_col: str, out: str, kind: T.DataType, st
             yield pa.concat_arrays(parts) if parts else run([])
 
     return docs.withColumn(out, compute(F.col(text_col)))
+
+
+def summed_blocks(blocks: DataFrame) -> list:
+    """(block, data) with the sum of the float64 arrays of each block; added up by part first, so no task reads those of all tasks."""
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for raw in batch.column("data").to_pylist():
+                part = np.frombuffer(raw, np.float64)
+                total = part.copy() if total is None else total + part
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()])],
+                                         ["block", "part", "data"])
+
+    kind = "block int, part int, data binary"
+    return blocks.groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind).select("block", "data").collect()
+
+
+#: Rows that are added up one after the other, for all sums at once.
+RUN = 8
+
+
+def part_sums(table: np.ndarray, term: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Per part the sum of its words' rows of ``table``: word by word of all parts, some thousand parts at a time."""
+    out = np.zeros((len(start), table.shape[1]), table.dtype)
+    for at in range(0, len(start), 1024):
+        first, stop, some = start[at:at + 1024], end[at:at + 1024], out[at:at + 1024]
+        full = bool((stop - first == RUN).all())
+        for k in range(RUN):
+            if full:
+                some += table[term[first + k]]
+            else:
+                real = np.flatnonzero(first + k < stop)
+                some[real] += table[term[first[real] + k]]
+    return out
+
+
+def add_by_term(out: np.ndarray, term: np.ndarray, rows: np.ndarray, row: np.ndarray) -> None:
+    """Add rows[row[k]] to out[term[k]] for every word k: in runs of up to ``RUN`` words of one term, then run by run."""
+    for lo in range(0, len(term), 1 << 16):
+        order = np.argsort(term[lo:lo + (1 << 16)].astype(np.uint16), kind="stable") + lo
+        of, at = term[order], row[order]
+        heads = np.flatnonzero(np.diff(of, prepend=-1))
+        size = np.diff(np.append(heads, len(of)))
+        n = -(-size // RUN)
+        first = np.repeat(heads, n) + RUN * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        stop = np.minimum(first + RUN, np.repeat(heads + size, n))
+        sums = part_sums(rows, at, first, stop)
+        out[of[heads]] += np.add.reduceat(sums, np.cumsum(n) - n, axis=0)
