@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -33,9 +34,7 @@ SCOPE = frozenset("table ul ol dl select html body".split())
 NEVER = frozenset("nav footer aside form button select option menu dialog fieldset legend label input".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 # fixed values: words in class and id
-UNNOT_THE_ARTICLE = re.compile(r"comment|repl(?:y|ies)|related|recommend|promo|advert|sponsor|teaser|(?:^|[\s_-])ads?(?:$|[\s_-])", re.I)
-EDGE = frozenset("header top bottom".split())
-LIKELY = re.compile(
+UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|adslot|banner|sponsor\w*|promo\w*|comments?|commentlist|comment-?section|disqus|replies|respond|responses|"
     r"discussion|cookies?|consent|gdpr|notice|notices|notification\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|breadcrumbs?|"
     r"nav|navbar|navigation|menu|menubar|topbar|toolbar|sidebar|side|rail|widget\w*|footer|masthead|site-?header|page-?header|share|sharing|social|"
@@ -45,6 +44,9 @@ NOT_THE_ARTICLE = re.compile(r"comment|repl(?:y|ies)|related|recommend|promo|adv
 EDGE = frozenset("header top bottom".split())
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|articlebody|story|entry|post|content|main|body|text|prose|page)(?:$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+MENU_LIKE = frozenset("ul ol dl div td table section".split())
+#: Ancestors that a text's points reach.
+LEVELS = 6
 PARAGRAPHS = frozenset("p pre blockquote td li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -62,6 +64,7 @@ class Node:
     score: float = 0.0
     chars: int = 0
     link_chars: int = 0
+    links: int = 0
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -72,7 +75,16 @@ def parse(page: str) -> Node:
     """The tree of a page. Raw elements keep no content."""
     root = node = Node("#root")
     at, size = 0, len(page)
-    lower: str | None = None
+    open_tags: Counter[str] = Counter()
+
+    def leave(top: Node) -> Node:
+        """Close everything from the current element up to ``top``."""
+        inner = node
+        while inner is not top.parent:
+            open_tags[inner.tag] -= 1
+            inner = inner.parent
+        return top.parent
+
     while at < size:
         m = TOKEN.search(page, at)
         if m is None:
@@ -86,35 +98,33 @@ def parse(page: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             up = node
-            while up is not root and up.tag != tag and not (tag not in BLOCKS and up.tag in BLOCKS):
+            while open_tags[tag] and up is not root and up.tag != tag and not (tag not in BLOCKS and up.tag in BLOCKS):
                 up = up.parent
             if up is not root and up.tag == tag:
-                node = up.parent
+                node = leave(up)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             up = node
             while up is not root and up.tag != "p" and up.tag not in BLOCKS:
                 up = up.parent
             if up.tag == "p":
-                node = up.parent
+                node = leave(up)
         if tag in SIBLINGS:
             up = node
             while up is not root and up.tag not in SCOPE and up.tag not in SIBLINGS[tag]:
                 up = up.parent
             if up.tag in SIBLINGS[tag]:
-                node = up.parent
+                node = leave(up)
         child = Node(tag, node, attributes(m[3] or ""))
         node.parts.append(child)
         if tag in RAW and not (m[3] or "").rstrip().endswith("/"):
-            lower = page.lower() if lower is None else lower
-            stop = lower.find(f"</{tag}", at) if len(lower) == size else -1
-            if stop < 0:
-                found = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
-                stop = found.start() if found else size
+            found = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
+            stop = found.start() if found else size
             close = page.find(">", stop)
             at = size if stop >= size or close < 0 else close + 1
         elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
             node = child
+            open_tags[tag] += 1
     return root
 
 
@@ -209,7 +219,9 @@ def scored(order: list[Node]) -> None:
         for part in node.parts:
             n = len(SPACES.sub(" ", part).strip()) if isinstance(part, str) else part.chars
             node.chars += n
-            node.link_chars += 0 if isinstance(part, str) else part.chars if part.tag == "a" else part.link_chars
+            if not isinstance(part, str):
+                node.link_chars += part.chars if part.tag == "a" else part.link_chars
+                node.links += 1 if part.tag == "a" else part.links
     for node in order:
         own = [p for p in node.parts if isinstance(p, str) or p.tag not in BLOCKS]
         text = sum(len(p.strip()) if isinstance(p, str) else p.chars for p in own)
@@ -221,16 +233,23 @@ def scored(order: list[Node]) -> None:
             points *= 0.2
         up, share = (node.parent if node.tag in PARAGRAPHS and node.parent is not None else node), 1.0
         level = 1
-        while up is not None:
+        while up is not None and level <= LEVELS:
             up.score += points * share
             level += 1
             up, share = up.parent, 1 / (2 * level)
 
 
+def link_list(node: Node) -> bool:
+    """A menu by its looks: a list, cell or box of two links or more and hardly anything else."""
+    return node.tag in MENU_LIKE and node.links >= 2 and node.link_chars >= 0.9 * node.chars
+
+
 def article(root: Node) -> list[Node]:
     """The best container and the siblings that belong to it, in page order."""
     order = prune(root)
     scored(order)
+    for node in order:
+        node.parts = [p for p in node.parts if isinstance(p, str) or not link_list(p)]
 
     def worth(node: Node) -> float:
         weight = 1.25 if node.tag in ("article", "main") else 1.0
