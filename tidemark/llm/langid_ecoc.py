@@ -34,9 +34,11 @@ class Codes:
 
 def codewords(k: int) -> np.ndarray:
     """k codewords: all distinct two-way splits up to 6 languages, else random ones of 15 bits per doubling."""
+    if k < 2:
+        return np.zeros((k, 0))
     if k <= 6:
-        bits = [[1 if c == 0 else (1 if (s >> (c - 1)) & 1 else -1) for c in range(k)] for s in range((1 << max(k - 1, 0)) - 1)]
-        return np.array(bits, np.float64).reshape(-1, k).T
+        bits = [[1 if c == 0 else (1 if (s >> (c - 1)) & 1 else -1) for c in range(k)] for s in range((1 << (k - 1)) - 1)]
+        return np.array(bits, np.float64).T
     n = 15 * int(np.ceil(np.log2(k)))
     return np.where(np.random.default_rng(k).random((k, n)) < 0.5, -1.0, 1.0)
 
@@ -112,7 +114,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     words = codewords(len(langs))
     if found is None:
         return Codes(tuple(langs), words, np.zeros((1 << BITS, words.shape[1]), np.float32), np.zeros(words.shape[1]), np.ones(words.shape[1]))
-    return Codes(tuple(langs), words, np.frombuffer(found.w, np.float32).reshape(1 << BITS, -1), np.frombuffer(found.b), np.frombuffer(found.t))
+    return Codes(tuple(langs), words, np.frombuffer(found.w, np.float32).reshape(1 << BITS, words.shape[1]), np.frombuffer(found.b), np.frombuffer(found.t))
 
 
 def decoded(codes: Codes, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -48,8 +48,8 @@ def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(docs), np.concatenate(index)
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0,
-        l2: float = 0.1, epochs: int = 4) -> Weights:
+def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0,
+        l2: float = 0.1, epochs: int = 6) -> Weights:
     """FTRL-proximal over (distinct feature indices, label) pairs in the given order."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias_z = bias_n = 0.0
