@@ -129,12 +129,12 @@ def parse(page: str) -> Node:
 
 
 def holds_prose(form: Node) -> bool:
-    """Whether a form wraps an article, as on pages that are one form: it holds an article, a first heading or three paragraphs."""
+    """Whether a form wraps an article, as on pages that are one form: it holds an article, a first heading or two paragraphs of prose."""
     paragraphs, todo = 0, [form]
     while todo:
         node = todo.pop()
-        paragraphs += node.tag == "p"
-        if node.tag in ("article", "main", "h1") or paragraphs >= 3:
+        paragraphs += node.tag == "p" and sum(len(p) for p in node.parts if isinstance(p, str)) >= 40
+        if node.tag in ("article", "main", "h1") or paragraphs >= 2:
             return True
         todo.extend([p for p in node.parts if not isinstance(p, str)])
     return False

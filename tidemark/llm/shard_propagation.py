@@ -16,6 +16,8 @@ from tidemark.session import stored
 #: Hash chunks of a group's rows; a multiple of no shard count is needed.
 CHUNKS = 1024
 ROUNDS = 10
+#: Quotas fill a shard up to the first share of its capacity, as they are met on average only; beyond the second it takes no more moves.
+FILL, OPEN = 0.98, 0.95
 #: Rows of one window partition while rows are numbered, about.
 RUN = 50_000
 
@@ -29,7 +31,7 @@ def quotas(flow: dict[tuple[int, int], int], load: list[int], capacity: list[int
     """The share of each wanted (from, to) flow that may move: swaps between two shards, then what is left of a shard's room."""
     granted = {pair: min(n, flow.get(pair[::-1], 0)) for pair, n in flow.items()}
     for to in range(len(load)):
-        room = max(0, capacity[to] - load[to])
+        room = max(0, int(FILL * capacity[to]) - load[to])
         rest = sum(flow[p] - granted[p] for p in flow if p[1] == to)
         for p in flow:
             if p[1] == to and rest:
@@ -48,7 +50,7 @@ def propagate(atoms: DataFrame, shards: int, capacity: list[int], rounds: int =
             load = [0] * shards
             for row in loads:
                 load[row.shard] = row.n
-        open_ = [t for t in range(shards) if load[t] < capacity[t]]
+        open_ = [t for t in range(shards) if load[t] < OPEN * capacity[t]]
         liked = F.struct(F.col("here").alias("n"), F.xxhash64(*key, "shard").alias("o"), F.col("shard").alias("s"))
         best = held.where(F.col("shard").isin(open_) if open_ else F.lit(False)).groupBy(*key).agg(F.max(liked).alias("top"))
         named = (atoms.join(held, [*key, "shard"]).join(best, key, "left")
