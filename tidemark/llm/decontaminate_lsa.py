@@ -81,6 +81,19 @@ def spans(rows: np.ndarray, text: np.ndarray, back: bool = False) -> np.ndarray:
     return out
 
 
+def passage_counts(term: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Number of passages that hold each term. An occurrence adds the passages of its part that no earlier one has reached."""
+    part = np.repeat(np.arange(len(start)), end - start)
+    order = np.argsort(term.astype(np.uint16), kind="stable")
+    term, part = term[order], part[order]
+    heads = np.flatnonzero(np.diff(text, prepend=-1))
+    own = text[part]
+    new = np.minimum(part - heads[np.cumsum(np.diff(text, prepend=-1) != 0) - 1][part] + 1, SPAN)
+    same = np.flatnonzero((term[1:] == term[:-1]) & (own[1:] == own[:-1])) + 1
+    new[same] = np.minimum(new[same], part[same] - part[same - 1])
+    return np.bincount(term, new, TERMS).astype(np.int64)
+
+
 def idf_of(docs: DataFrame, text_col: str) -> np.ndarray:
     """Weight of every term by its inverse document frequency, a passage counting as a document; bounded by the term space."""
     def count(batches):
@@ -90,13 +103,7 @@ def idf_of(docs: DataFrame, text_col: str) -> np.ndarray:
             start, end, text = parts_of(bounds)
             if not len(start):
                 continue
-            part = np.repeat(np.arange(len(start)), end - start)
-            seen = [part * TERMS + term]
-            for k in range(1, SPAN):
-                inside = np.flatnonzero((part >= k) & (text[np.maximum(part - k, 0)] == text[part]))
-                seen.append(seen[0][inside] - k * TERMS)
-            key = np.unique(np.concatenate(seen))
-            df += np.bincount(key % TERMS, minlength=TERMS)
+            df += passage_counts(term, start, end, text)
             n += len(start)
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, TERMS)), pa.array(np.append(df[used], n))], ["term", "n"])
