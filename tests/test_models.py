@@ -279,10 +279,39 @@ def test_column_step_ignores_small_deviations(spark):
     assert audit["col_dev"] == 0 and audit["objective"] == plain.first()["objective"]
 
 
-def test_large_matrix_is_an_error(spark):
-    wide = [[0.5] * 3] * 3
-    with pytest.raises(ValueError, match="above 8 cells"):
-        rounding.controlled_round(matrix_frame(spark, a=wide), ["g"], "i", "j", "v", max_cells=8)
+@pytest.mark.parametrize("steps", [False, True])
+@pytest.mark.parametrize("elements", [False, True])
+def test_small_matrices_equal_brute_force(steps, elements):
+    rng = np.random.default_rng(5)
+    for shape in [(1, 1), (1, 5), (5, 1), (2, 3), (3, 3), (4, 2), (2, 5)]:
+        for _ in range(6):
+            values = np.where(rng.random(shape) < 0.2, rng.integers(0, 3, shape), rng.random(shape) * 3).round(4)
+            frac = values - np.floor(values)
+            n, m = shape
+            options = [np.array(bits).reshape(shape) for bits in itertools.product((0, 1), repeat=n * m)]
+            costs = [(c, x.ravel().tolist()) for x in options
+                     if (c := rounding._objective(x, frac, rounding.TOL, 1e4, 1e3, 10, steps, elements)) is not None]
+            if not costs:
+                with pytest.raises(ValueError):
+                    rounding._solve_matrix(values, rounding.TOL, 1e4, 1e3, 10, steps, elements)
+                continue
+            x, cost = rounding._solve_matrix(values, rounding.TOL, 1e4, 1e3, 10, steps, elements)
+            assert (cost, x.ravel().tolist()) == min(costs)
+
+
+def test_large_matrices(spark):
+    rng = np.random.default_rng(6)
+    grids_ = {f"g{n}": rng.random(shape).round(4).tolist() for n, shape in enumerate([(12, 6), (1, 40), (20, 20), (40, 1)])}
+    solved = rounding.controlled_round(matrix_frame(spark, **grids_), ["g"], "i", "j", "v").cache()
+    audit = {r["g"]: r for r in rounding.rounding_audit(solved, ["g"], "i", "j", "v", "x").collect()}
+    cost = {r["g"]: r["objective"] for r in solved.collect()}
+    assert all(audit[g]["total_met"] and audit[g]["bands_met"] and audit[g]["objective"] == cost[g] for g in grids_)
+
+
+def test_two_rows_for_one_cell_fail(spark):
+    frame = matrix_frame(spark, a=[[0.5, 0.5]])
+    with pytest.raises(Exception, match="two rows for one cell"):
+        rounding.controlled_round(frame.union(frame), ["g"], "i", "j", "v").collect()
 
 
 def test_infeasible_group_fails(spark):

@@ -235,6 +235,23 @@ def test_block_plan_broadcasts_block_totals_only(spark):
     assert found.select(ordered.BLOCK).distinct().count() > 4
 
 
+def test_head_tail_with_ties(spark):
+    frame = spark.createDataFrame([(1, c) for c in "abcd"] + [(None, "z")], "k INT, v STRING")
+    got = sorted((r["part"], r["position"], r["v"]) for r in windows.head_tail(frame, ["k"], 2).collect())
+    assert got == [("head", 1, "z"), ("head", 2, "a"), ("tail", 1, "d"), ("tail", 2, "c")]
+    same = spark.createDataFrame([(1,)] * 4, "k INT")
+    assert sorted((r["part"], r["position"]) for r in windows.head_tail(same, ["k"], 1).collect()) == [("head", 1), ("tail", 1)]
+    assert windows.head_tail(same, ["k"], 3).count() == 4
+
+
+def test_nan_has_no_bin_and_months_need_free_names(spark):
+    frame = spark.createDataFrame([(float("nan"),), (5.0,), (float("inf"),)], "v DOUBLE")
+    got = [r["b"] for r in clean.bin_values(frame, "b", "v", [0, 10, float("inf")], ["low", "high"]).collect()]
+    assert got == [None, "low", "high"]
+    with pytest.raises(ValueError, match="year or month"):
+        expand.year_months(spark.createDataFrame([("x",)], "year STRING"), "a", "b")
+
+
 def test_head_tail(spark):
     got = rows(windows.head_tail(spark.range(5).toDF("v"), ["v"], 3), "v")
     assert got == [(0, "head", 1), (1, "head", 2), (2, "head", 3), (3, "tail", 2), (4, "tail", 1)]

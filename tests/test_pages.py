@@ -37,6 +37,27 @@ def test_missing_as_null_and_empty_pages(spark):
     assert rows(got, "page_id") == [(0, None, []), (1, None, [])]
 
 
+def test_links_agree_with_the_parser(spark):
+    frame = pages_of(spark, '<a data-href="/x1" href="/e1?a=1&amp;b=2">t</a><a href=/e3>u</a><!-- <a href="/gone">v</a> -->',
+                     "<script>var a='<a href=/gone2>';</script><A\n class='c' title=\"href='/no' > x\" HREF = '/e4&#233;'>w</A><abbr href=/no3>",
+                     "<a href='/e3'>again</a><a name=x>none</a><a href=\"/e1?a=1&amp;b=2\"/>", None, "")
+    want = {"/e1?a=1&b=2", "/e3", "/e4\xe9"}
+    assert {r["href"] for r in web.page_links(frame).collect()} == want
+    assert {r["href"] for r in web.page_links_by(frame).collect()} == want
+    assert {r["href"] for r in web.page_links(frame, "/e3").collect()} == {"/e3"}
+
+
+def test_jsonld_numbers_as_text_and_decimals(spark):
+    def block(items):
+        return ('<script type="application/ld+json">{"mainEntity": {"numberOfItems": 3, "itemListElement": [' + items + "]}}</script>")
+
+    item = '{"item": {"url": "u/2015-x-%s/", "name": "n", "mileageFromOdometer": {"value": %s}, "offers": {"price": %s}, "image": []}}'
+    pages = pages_of(spark, block(", ".join([item % (1, "5000.0", "20990.5"), item % (2, '"5000"', '"20990"'), item % (3, "7", "null")])), block(""))
+    got = rows(listings.listing_items(pages, keep=["page_id"]).select("odokm", "price"), "price")
+    assert got == [(7, None), (5000, 20990), (5000, 20990)]
+    assert [(r["page_id"], r["item"]) for r in web.jsonld_items(pages).where("item IS NULL").collect()] == [(1, None)]
+
+
 def test_calls_and_links(spark):
     frame = pages_of(spark, BROKEN, '<a class="page-link k" href="/b?page=2">2</a><a href="/s/1">Sold on 06 Jun</a><a>no</a>')
     assert rows(frame.select(web.script_call(F.col("html"), "track"))) == [(7,), (None,)]

@@ -25,6 +25,12 @@ def test_csv_strings_keep_doubled_quotes(spark, tmp_path):
     assert rows(frame) == [('x, "y"', "1")]
 
 
+def test_csv_range_reads_doubled_quotes(spark, tmp_path):
+    path = write(tmp_path / "r.csv", 'junk\na,b\n1,"he said ""x"", twice"\n')
+    found = files.scan_csv_range(spark, path, skip=1, n=1, columns={1: "b"})
+    assert [r["b"] for r in found.collect()] == ['he said "x", twice']
+
+
 def test_csv_round_trip_of_awkward_texts(spark, tmp_path):
     frame = spark.createDataFrame([(1, ' a, "b" '), (2, "x\ny\r\nz"), (3, "back\\slash"), (4, None)], "k INT, t STRING")
     files.write_csv(frame, str(tmp_path / "t"))
@@ -193,7 +199,17 @@ def test_stream_equals_batch(spark, tmp_path):
     # nothing new: nothing changes
     stream_history(spark, source, history, "id INT, n STRING", checkpoint=state).awaitTermination()
     assert frames_equal(read_history(spark, history), folded)
-    assert sorted(d for d in os.listdir(history) if d.startswith("batch")) == ["batch=0", "batch=1", "batch=2"]
+    [stream] = [d for d in os.listdir(history) if d.startswith("stream=")]
+    assert sorted(d for d in os.listdir(f"{history}/{stream}") if d.startswith("batch")) == ["batch=0", "batch=1", "batch=2"]
+
+
+def test_two_checkpoints_share_a_history(spark, tmp_path):
+    history = str(tmp_path / "out")
+    for n, batch in enumerate([[(1, "a"), (2, "b"), (3, "c")], [(4, "d"), (1, "a")]]):
+        source = str(tmp_path / f"in{n}")
+        spark.createDataFrame(batch, "id INT, n STRING").coalesce(1).write.parquet(source)
+        stream_history(spark, source, history, "id INT, n STRING", checkpoint=str(tmp_path / f"state{n}")).awaitTermination()
+    assert rows(read_history(spark, history), "id") == [(1, "a"), (1, "a"), (2, "b"), (3, "c"), (4, "d")]
 
 
 def test_random_table_is_repeatable_and_in_range(spark):

@@ -24,10 +24,11 @@ def _customer_csv(spark, sf):
 
 
 @query("""
-SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_acctbal, c_mktsegment FROM customer
 """)
 def csv_strings(spark, sf):
-    return files.scan_csv(spark, _customer_csv(spark, sf)).drop("c_acctbal")
+    """All columns as text; the balance is read as a number afterwards, as engines write one number in different ways."""
+    return files.scan_csv(spark, _customer_csv(spark, sf)).withColumn("c_acctbal", F.col("c_acctbal").try_cast("double"))
 
 
 @query(CUSTOMER_SQL)
@@ -187,11 +188,17 @@ def parquet_partitions(spark, sf):
     return files.scan_parquet(spark, path, (F.col("year") == 1997) & (F.col("month") >= 6))
 
 
-@query("SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings")
+@query("""
+SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dims,
+       CAST(list_sum(list_transform(embedding, lambda e, i: i * CAST(floor(CAST(e AS DOUBLE) * 1048576) AS BIGINT))) AS BIGINT) AS checksum
+FROM embeddings
+""")
 def parquet_zstd(spark, sf):
     path = scratch_path(spark, "embeddings")
     files.write_parquet(table(spark, sf, "embeddings"), path, "zstd")
-    return files.scan_parquet(spark, path).select("vec_id", "label", F.size("embedding").alias("dims"))
+    weighed = F.transform("embedding", lambda e, i: (i + 1) * F.floor(e.cast("double") * 1048576))
+    checksum = F.aggregate(weighed, F.lit(0).cast("bigint"), lambda total, e: total + e)
+    return files.scan_parquet(spark, path).select("vec_id", "label", F.size("embedding").alias("dims"), checksum.alias("checksum"))
 
 
 @query()
@@ -204,12 +211,12 @@ def file_inventory(spark, sf):
 def _label_batches(spark, sf):
     labels = table(spark, sf, "labels")
     return (labels.filter("doc_id % 2 = 0").unionByName(labels.filter("doc_id % 4 = 0")),
-            labels.filter("doc_id % 3 = 0").unionByName(labels.filter("doc_id % 9 = 0")))
+            labels.filter("doc_id % 2 = 1").unionByName(labels.filter("doc_id % 9 = 0")))
 
 
 @query("""
 SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 2 = 0
-UNION ALL SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 2 = 1
 UNION ALL SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 9 = 0
 """)
 def stream_history_batches(spark, sf):

@@ -554,12 +554,12 @@ def frames_equal(spark, sf):
 SELECT doc_id, quality, toxic FROM (SELECT DISTINCT * FROM (
   SELECT * FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT * FROM labels WHERE doc_id % 3 = 0))
 UNION ALL SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 3 = 0
-UNION ALL SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 2 = 1
 """)
 def history_append(spark, sf):
     labels = table(spark, sf, "labels")
     old = labels.filter("doc_id % 2 = 0").unionByName(labels.filter("doc_id % 3 = 0"))
-    new = labels.filter("doc_id % 3 = 0").unionByName(labels.filter("doc_id % 5 = 0"))
+    new = labels.filter("doc_id % 3 = 0").unionByName(labels.filter("doc_id % 2 = 1"))
     return compare.append_history(old, new)
 
 
@@ -590,26 +590,27 @@ def half_hour_range(spark, sf):
 
 
 TOKENS_SQL = """
-WITH t AS (SELECT lang, list_filter(string_split(text, ' '), lambda w: length(w) >= 14) AS words FROM documents)
-SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({words}) AS word FROM t) GROUP BY lang, word
+WITH t AS (SELECT lang, {words} AS words FROM documents)
+SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({kept}) AS word FROM t) GROUP BY lang, word
 """
 
 
-def _tokens(spark, sf, keep):
-    words = table(spark, sf, "documents").select(
-        "lang", F.filter(F.split("text", " "), lambda w: F.length(w) >= 14).alias("words"))
+def _tokens(spark, sf, words, keep):
+    words = table(spark, sf, "documents").select("lang", words.alias("words"))
     spread = expand.explode_list(words, "words", keep_empty=keep, name="word")
     return spread.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(TOKENS_SQL.format(words="words"))
+@query(TOKENS_SQL.format(words="string_split(text, ' ')", kept="words"))
 def explode_tokens_drop(spark, sf):
-    return _tokens(spark, sf, False)
+    """All words of all texts."""
+    return _tokens(spark, sf, F.split("text", " "), False)
 
 
-@query(TOKENS_SQL.format(words="CASE WHEN len(words) = 0 THEN [NULL] ELSE words END"))
+@query(TOKENS_SQL.format(words="regexp_extract_all(text, '[0-9]+')", kept="CASE WHEN len(words) = 0 THEN [NULL] ELSE words END"))
 def explode_tokens_keep(spark, sf):
-    return _tokens(spark, sf, True)
+    """All numbers of all texts; a text without any counts as one missing number."""
+    return _tokens(spark, sf, F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), True)
 
 
 PAGE_PLAN_SQL = """

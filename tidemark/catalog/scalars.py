@@ -101,14 +101,15 @@ def math_scalars(spark, sf):
 
 
 @query("""
-WITH e AS (SELECT *, o_orderkey % 5 AS n, unnest(generate_series(1, o_orderkey % 5)) AS i FROM orders WHERE o_orderkey % 5 > 0)
+WITH e AS (SELECT *, o_orderkey % 5 AS n, unnest(CASE WHEN o_orderkey % 5 = 0 THEN [NULL] ELSE generate_series(1, o_orderkey % 5) END) AS i FROM orders)
 SELECT o_orderkey, strftime(o_orderdate + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS event_date,
-       CAST(floor(o_totalprice) AS BIGINT) + i AS price, strftime(o_orderdate + to_days(CAST(n AS INTEGER)), '%Y-%m-%d') AS newest,
+       CAST(floor(o_totalprice) AS BIGINT) + i AS price,
+       CASE WHEN n > 0 THEN strftime(o_orderdate + to_days(CAST(n AS INTEGER)), '%Y-%m-%d') END AS newest,
        n, CAST(-500 AS BIGINT) AS amount
 FROM e
 """)
 def event_encode_decode(spark, sf):
-    """Price events of each order, up to four, written as text and read back as rows."""
+    """Price events of each order, up to four, written as text and read back as rows; an order without any has one row."""
     entry = lambda i: F.struct(
         F.date_add(F.col("o_orderdate").cast("date"), i).alias("event_date"),
         (F.floor("o_totalprice") + i).alias("price"))
@@ -121,7 +122,7 @@ def event_encode_decode(spark, sf):
     decoded = stored.withColumn("d", events.decode_price_change(F.col("stored")))
     return decoded.select(
         "o_orderkey", F.try_element_at("d.events", F.lit(-1))["event_date"].alias("newest"), F.col("d.count").alias("n"),
-        F.col("d.amount").alias("amount"), F.inline("d.events"),
+        F.col("d.amount").alias("amount"), F.inline_outer("d.events"),
     ).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("event_date", "newest")})
 
 

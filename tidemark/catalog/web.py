@@ -57,12 +57,42 @@ def first_text(spark, sf):
 
 
 @query(f"SELECT page_id, {_unescaped('''regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')''')} AS heading FROM pages")
+def article_heading(spark, sf):
+    """The heading inside the article."""
+    return web.page_fields(table(spark, sf, "pages"), {"heading": Selector("h1")}, within=Selector("article"), missing=None)
+
+
+ARTICLE_SQL = "regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[a-z0-9/]+>', '', 'g')"
+
+
+@query(f"SELECT page_id, {_unescaped(ARTICLE_SQL)} AS value FROM pages")
 def sibling_text(spark, sf):
-    """The heading inside the article that follows the advertisement, whole text of its first line."""
-    found = web.page_fields(table(spark, sf, "pages"), {"heading": Selector("h1")},
-                            within=Selector("article"), missing=None)
-    return found
+    """The whole text of the article, the first one that follows the advertisement."""
+    return web.sibling_text(table(spark, sf, "pages"), "div", "ad", ("article", None))
+
 
+@query(f"""
+SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1, 's'),
+       lambda x: {_unescaped("regexp_replace(x, '<[^>]*>', '', 'g')")}), '|') AS texts FROM pages
+""")
+def all_text(spark, sf):
+    """The texts of all list items of a page."""
+    return web.all_text(table(spark, sf, "pages"), "li", None).withColumn("texts", F.array_join("texts", "|"))
+
+
+@query("""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+m AS (SELECT DISTINCT href, page_id % 2 AS odd FROM l)
+SELECT DISTINCT '/q' || href || CASE WHEN odd = 1 THEN '?a=1&b=2' ELSE '' END AS href FROM m
+""")
+def page_links_awkward(spark, sf):
+    """Links without quotes, behind other attributes and with references; those in comments and scripts are none."""
+    link = F.regexp_replace("html", '<a href="([^"]*)"', "<a data-href='/no' title=\"x href='/no2'\" HREF = '/q$1'")
+    plain = F.regexp_replace("html", '<a href="([^"]*)"', "<a class=x href='/q$1?a=1&amp;b=2'")
+    pages = table(spark, sf, "pages").select("page_id", F.concat(
+        F.lit("<!-- <a href='/gone'>x</a> --><script>var a = \"<a href='/gone2'>\";</script>"),
+        F.when(F.col("page_id") % 2 == 1, plain).otherwise(link)).alias("html"))
+    return web.page_links(pages)
 
 @query("SELECT page_id, CAST(regexp_extract(html, 'track\\((\\d+)\\)', 1) AS BIGINT) AS tracked FROM pages")
 def script_calls(spark, sf):
@@ -103,8 +133,8 @@ def result_pages(spark, sf):
         F.concat(F.lit("https://example.org/x/"), _number(e["part"]), F.lit("-"), _number(e["n"]), F.lit("/")).alias("url"),
         F.concat(F.lit("2015 Toyota Kluger "), F.when(e["flag"] == "F", "Grande AWD").when(e["flag"] == "P", "GXL")
                  .otherwise("KX-R")).alias("name"),
-        F.struct((e["qty"] * 5000).alias("value")).alias("mileageFromOdometer"),
-        F.struct(e["price"].alias("price")).alias("offers"),
+        F.struct((e["qty"] * 5000).cast("double").alias("value")).alias("mileageFromOdometer"),  # a decimal, and a price in quotes
+        F.struct(_number(e["price"]).alias("price")).alias("offers"),
         F.when(e["flag"] == "O", F.array().cast("array<struct<url: string>>")).otherwise(
             F.array(F.struct(F.when(e["flag"] == "F", "https://img/private/1").otherwise("https://img/d/1").alias("url")))
         ).alias("image"),

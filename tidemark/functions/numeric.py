@@ -30,10 +30,10 @@ def l1(a: Column, b: Column) -> Column:
 
 
 def bin_values(value: Column, edges: list[float], labels: list[str]) -> Column:
-    """Right-closed bins whose first bin also holds the lowest edge; null outside."""
+    """Right-closed bins whose first bin also holds the lowest edge; null outside and for NaN."""
     if len(edges) != len(labels) + 1:
         raise ValueError("need one more edge than labels")
-    result = F.when(value < edges[0], F.lit(None).cast("string"))
+    result = F.when(F.isnan(value.cast("double")) | (value < edges[0]), F.lit(None).cast("string"))
     for upper, label in zip(edges[1:], labels):
         inside = value.isNotNull() if upper == float("inf") else value <= upper
         result = result.when(inside, F.lit(label))

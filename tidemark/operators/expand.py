@@ -9,8 +9,10 @@ from tidemark.functions.calendar import month_starts, stepped
 
 
 def year_months(df: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per month touched by [start, end), as year and month."""
-    others = [c for c in df.columns if c not in ("year", "month")]
+    """One row per month touched by [start, end), as year and month; a frame that has such columns already is an error."""
+    others = df.columns
+    if {"year", "month"} & {c.lower() for c in others}:
+        raise ValueError("the frame already has a column year or month")
     return (
         df.select(*others, F.explode(month_starts(F.col(start), F.col(end))).alias("_month"))
         .select(*others, F.year("_month").alias("year"), F.month("_month").alias("month"))

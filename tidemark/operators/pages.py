@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -171,10 +172,27 @@ def sibling_text(
     return page_fields(pages, {name: Selector(tag, cls, take="next", after=after)}, **options)
 
 
+# an anchor up to the end of its href, whatever attributes stand before it
+ANCHOR = r"""(?is)<a(?:\s+[^\s=>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?\s+href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+TARGET = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))$"""
+UNSEEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|template)\b.*?(?:</\1\s*>|$)"
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(values: pd.Series) -> pd.Series:
+    """Texts with their character references resolved."""
+    return values.map(unescape)
+
+
 def page_links(pages: DataFrame, prefix: str | None = None, html: str = "html") -> DataFrame:
-    """Distinct link targets over all pages, optionally of one prefix; no Python involved."""
-    targets = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    links = pages.select(F.explode(targets).alias("href"))
+    """Distinct link targets over all pages, optionally of one prefix.
+
+    Comments and scripts hold no links; targets may be unquoted. Only distinct targets with a character reference pass through Python.
+    """
+    anchors = F.regexp_extract_all(F.regexp_replace(html, UNSEEN, ""), F.lit(ANCHOR), F.lit(0))
+    found = pages.select(F.explode(F.transform(anchors, lambda a: F.concat(*[F.regexp_extract(a, TARGET, i) for i in (1, 2, 3)]))).alias("href")).distinct()
+    coded = found.filter(F.col("href").contains("&")).select(_decoded("href").alias("href"))
+    links = found.filter(~F.col("href").contains("&")).union(coded)
     return (links.filter(F.col("href").startswith(prefix)) if prefix else links).distinct()
 
 
@@ -268,20 +286,23 @@ def price_history(pages: DataFrame, url: str = "url", keep: list[str] | None = N
 
 
 LD_ITEM = (
-    "url STRING, name STRING, mileageFromOdometer STRUCT<value: BIGINT>, offers STRUCT<price: BIGINT>, "
+    "url STRING, name STRING, mileageFromOdometer STRUCT<value: STRING>, offers STRUCT<price: STRING>, "
     "image ARRAY<STRUCT<url: STRING>>"
 )
 
 
 def jsonld_items(pages: DataFrame, item: str = LD_ITEM, keep: list[str] | None = None, html: str = "html") -> DataFrame:
-    """Items of the first JSON-LD block of each page as (kept columns, number_of_items, item)."""
+    """Items of the first JSON-LD block of each page as (kept columns, number_of_items, item).
+
+    A page whose list is empty or absent has one row without item. Numbers are read as text, so quoted ones and decimals are kept.
+    """
     keep = ["page_id"] if keep is None else keep
     body = F.regexp_extract(
         html, r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>""", 1)
     schema = f"mainEntity STRUCT<numberOfItems: BIGINT, itemListElement: ARRAY<STRUCT<item: STRUCT<{_fields(item)}>>>>"
     return (
         pages.select(*keep, F.from_json(body, schema)["mainEntity"].alias("_e"))
-        .select(*keep, F.col("_e.numberOfItems").alias("number_of_items"), F.explode("_e.itemListElement").alias("_i"))
+        .select(*keep, F.col("_e.numberOfItems").alias("number_of_items"), F.explode_outer("_e.itemListElement").alias("_i"))
         .select(*keep, "number_of_items", F.col("_i.item").alias("item"))
     )
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
+import heapq
 import math
+from fractions import Fraction
 from functools import reduce
 from operator import and_
 
@@ -17,13 +18,12 @@ from tidemark.functions.numeric import fraction
 from tidemark.plans.ordered import BLOCK, fits_window, ordered_blocks, running_sums
 from tidemark.session import stored
 
+# fixed values: tolerance, units of a deviation and their weight
 TOL = 1e-4
 SCALE = 10_000
 DEV_WEIGHT = 10
 MAX_GROUP_ROWS = 200_000
 BUCKET_ROWS = 50_000
-MAX_CELLS = 400
-MAX_STATES = 200_000
 NEVER = math.inf
 
 
@@ -260,58 +260,180 @@ def _solve_blocks(summed: DataFrame, keys: list[str], order: list[str], tol: flo
 
 # rows and columns -----------------------------------------------------------------------------
 
-def _solve_matrix(values: np.ndarray, tol: float, col_w: float, row_w: float, elem_w: float,
-                  col_step_penalty: bool, elem_penalty: bool) -> tuple[np.ndarray, int]:
-    """Least-cost 0/1 matrix; states are the column sums after each row."""
-    n, m = values.shape
-    frac = values - np.floor(values)
+def _changes(frac: np.ndarray, tol: float, col_w: float, row_w: float, elem_w: float, elem_penalty: bool):
+    """The matrix as a net whose flow is the number of ones, and the cost of the next one on every arc.
+
+    Ones run from the start along the rows' chain (what is left after a row), through a row to a cell and on down the column's
+    chain (its sum so far). Each cost is convex in the flow on its arc, so the cheapest changes lead to the optimum. Costs are
+    whole numbers; the last bits of a cell's cost make the lexicographically smallest of equal choices the cheapest.
+    """
+    n, m = frac.shape
+    weights = [Fraction(w) for w in (col_w, row_w, elem_w)]
+    unit = math.lcm(*(w.denominator for w in weights))
+    col_w, row_w, elem_w = (int(w * unit) << (n * m) for w in weights)
+    whole = lambda a: [int(x) for x in np.rint(np.asarray(a) * SCALE)]
+    row_goal, col_goal, col_run = whole(frac.sum(axis=1)), whole(frac.sum(axis=0)), [whole(r) for r in np.cumsum(frac, axis=0)]
     need = int(np.ceil(frac.sum()))
-    whole = lambda a: np.rint(a * SCALE).astype(np.int64)
-    row_goal, col_goal = whole(frac.sum(axis=1)), whole(frac.sum(axis=0))
-    col_run = whole(np.cumsum(frac, axis=0))
-    gain = whole(1 - 2 * frac)
     reach = np.cumsum(frac.sum(axis=1))
     low, high = np.floor(reach - tol).astype(int), np.ceil(reach + tol).astype(int)
+    gain = [whole(1 - 2 * r) for r in frac]
+    never = (1 << (n * m + 8)) * unit * (int(sum(weights)) + 1) * SCALE * (n * m + 2) ** 2  # outweighs all other costs
 
-    states: dict[tuple, tuple] = {(0,) * m: (0.0, ())}
+    def step(weight: int, goal: int):
+        return lambda k: weight * (abs((k + 1) * SCALE - goal) - abs(k * SCALE - goal))
+
+    def bounded(least: int, most: int):
+        return lambda k: never if k >= most else -never if k < least else 0
+
+    arcs = []  # (from, to, most, cost of the next one)
+    row, cell, end = (lambda i: 2 * i + 1), (lambda i, j: 2 * n + i * m + j), 2 * n + n * m
     for i in range(n):
-        options = list(itertools.product(*[(0, 1) if frac[i, j] > tol else (0,) for j in range(m)]))
-        reached: dict[tuple, tuple] = {}
-        for sums, (spent, path) in states.items():
-            for row in options:
-                after = tuple(s + x for s, x in zip(sums, row))
-                if not low[i] <= sum(after) <= high[i]:
+        # what goes on to later rows is what the rows so far have not taken
+        if i + 1 < n:
+            arcs.append((2 * i, 2 * i + 2, need, bounded(need - high[i], need - low[i])))
+        arcs.append((2 * i, row(i), m, step(row_w, row_goal[i])))
+        for j in range(m):
+            if frac[i, j] > tol:
+                tie = 1 << (n * m - 1 - i * m - j)
+                cost = tie + elem_w * gain[i][j] if elem_penalty else tie
+                arcs.append((row(i), cell(i, j), 1, lambda k, cost=cost: cost))
+            last = i + 1 == n
+            down = step(0 if elem_penalty else elem_w, col_run[i][j])
+            final = step(col_w, col_goal[j])
+            arcs.append((cell(i, j), end if last else cell(i + 1, j), n, (lambda k, a=down, b=final: a(k) + b(k)) if last else down))
+    return arcs, end, need
+
+
+def _cheapest(arcs: list, end: int, need: int) -> list[int]:
+    """Flow on every arc after ``need`` cheapest changes from node 0 to ``end``, found with reduced costs."""
+    flow = [0] * len(arcs)
+    out: list[list[tuple[int, int]]] = [[] for _ in range(end + 1)]
+    for number, (a, b, _, _) in enumerate(arcs):
+        out[a].append((number, 1))
+        out[b].append((number, -1))
+
+    def price(number: int, sign: int) -> int | None:
+        _, _, most, cost = arcs[number]
+        if sign > 0:
+            return cost(flow[number]) if flow[number] < most else None
+        return -cost(flow[number] - 1) if flow[number] > 0 else None
+
+    potential: list = [None] * (end + 1)
+    potential[0] = 0
+    for _ in range(end + 1):  # the empty net has no circle, so this settles
+        changed = False
+        for number, (a, b, most, cost) in enumerate(arcs):
+            if potential[a] is not None and (potential[b] is None or potential[a] + cost(0) < potential[b]):
+                potential[b], changed = potential[a] + cost(0), True
+        if not changed:
+            break
+    for _ in range(need):
+        best: list = [None] * (end + 1)
+        via: list = [None] * (end + 1)
+        best[0], heap, done = 0, [(0, 0)], set()
+        while heap:
+            spent, node = heapq.heappop(heap)
+            if node in done:
+                continue
+            done.add(node)
+            for number, sign in out[node]:
+                other = arcs[number][1] if sign > 0 else arcs[number][0]
+                value = price(number, sign)
+                if value is None or other in done or potential[other] is None:
                     continue
-                cost = row_w * abs(sum(row) * SCALE - int(row_goal[i]))
-                if elem_penalty:
-                    cost += elem_w * sum(int(gain[i, j]) for j in range(m) if row[j])
-                else:
-                    cost += elem_w * sum(abs(after[j] * SCALE - int(col_run[i, j])) for j in range(m))
-                candidate = (spent + cost, (*path, row))
-                if after not in reached or candidate < reached[after]:
-                    reached[after] = candidate
-        states = reached
-        if len(states) > MAX_STATES:
-            raise ValueError(f"more than {MAX_STATES} column sums in play: too many columns to solve exactly")
-
-    best = None
-    for sums, (spent, path) in states.items():
-        if sum(sums) != need:
-            continue
+                total = spent + value + potential[node] - potential[other]
+                if best[other] is None or total < best[other]:
+                    best[other], via[other] = total, (number, sign)
+                    heapq.heappush(heap, (total, other))
+        if best[end] is None:
+            raise ValueError("no rounding meets the running totals")
+        most = max(b for b in best if b is not None)
+        potential = [p if p is None else p + (most if b is None else b) for p, b in zip(potential, best)]
+        node = end
+        while node != 0:
+            number, sign = via[node]
+            flow[number] += sign
+            node = arcs[number][0] if sign > 0 else arcs[number][1]
+    return flow
+
+
+def _objective(x: np.ndarray, frac: np.ndarray, tol: float, col_w: float, row_w: float, elem_w: float,
+               col_step_penalty: bool, elem_penalty: bool) -> int | None:
+    """Cost of a 0/1 matrix; null if it misses the total or a band."""
+    whole = lambda a: np.rint(a * SCALE).astype(np.int64)
+    reach, taken = np.cumsum(frac.sum(axis=1)), np.cumsum(x.sum(axis=1))
+    if x.sum() != int(np.ceil(frac.sum())) or (taken < np.floor(reach - tol)).any() or (taken > np.ceil(reach + tol)).any() or (x[frac <= tol] != 0).any():
+        return None
+    off = np.abs(x.sum(axis=0) * SCALE - whole(frac.sum(axis=0)))
+    cost = col_w * float(off[off >= SCALE].sum() if col_step_penalty else off.sum())
+    cost += row_w * float(np.abs(x.sum(axis=1) * SCALE - whole(frac.sum(axis=1))).sum())
+    last = (whole(1 - 2 * frac) * x).sum() if elem_penalty else np.abs(np.cumsum(x, axis=0) * SCALE - whole(np.cumsum(frac, axis=0))).sum()
+    return int(round(cost + elem_w * float(last)))
+
+
+def _solve_steps(frac: np.ndarray, tol: float, col_w: float, row_w: float, elem_w: float, elem_penalty: bool) -> np.ndarray:
+    """Least-cost matrix where a column's cost jumps at one: cell by cell over the states (column sums, ones of the row)."""
+    n, m = frac.shape
+    whole = lambda a: np.rint(np.asarray(a) * SCALE).astype(np.int64).tolist()
+    row_goal, col_goal, col_run = whole(frac.sum(axis=1)), whole(frac.sum(axis=0)), whole(np.cumsum(frac, axis=0))
+    gain, need = whole(1 - 2 * frac), int(np.ceil(frac.sum()))
+    reach = np.cumsum(frac.sum(axis=1))
+    low, high = np.floor(reach - tol).astype(int), np.ceil(reach + tol).astype(int)
+    states: dict[tuple, tuple] = {((0,) * m, 0): (0.0, 0)}
+    for i in range(n):
         for j in range(m):
-            off = abs(sums[j] * SCALE - int(col_goal[j]))
-            spent += col_w * (0 if col_step_penalty and off < SCALE else off)
-        if best is None or (spent, path) < best:
-            best = (spent, path)
-    if best is None:
+            reached: dict[tuple, tuple] = {}
+            for (sums, ones), (spent, path) in states.items():
+                for bit in (0, 1) if frac[i, j] > tol else (0,):
+                    after = sums if not bit else (*sums[:j], sums[j] + 1, *sums[j + 1:])
+                    if sum(after) > high[i]:
+                        continue
+                    cost = spent + elem_w * (gain[i][j] * bit if elem_penalty else abs(after[j] * SCALE - col_run[i][j]))
+                    key, entry = (after, ones + bit), (cost, path << 1 | bit)
+                    if key not in reached or entry < reached[key]:
+                        reached[key] = entry
+            states = reached
+        ended: dict[tuple, tuple] = {}
+        for (sums, ones), (spent, path) in states.items():
+            if sum(sums) >= low[i]:
+                entry = (spent + row_w * abs(ones * SCALE - row_goal[i]), path)
+                if (sums, 0) not in ended or entry < ended[sums, 0]:
+                    ended[sums, 0] = entry
+        states = ended
+    final = []
+    for (sums, _), (spent, path) in states.items():
+        if sum(sums) == need:
+            off = [abs(s * SCALE - g) for s, g in zip(sums, col_goal)]
+            final.append((spent + col_w * sum(o for o in off if o >= SCALE), path))
+    if not final:
+        raise ValueError("no rounding meets the running totals")
+    path = min(final)[1]
+    return np.array([path >> k & 1 for k in range(n * m - 1, -1, -1)]).reshape(n, m)
+
+
+def _solve_matrix(values: np.ndarray, tol: float, col_w: float, row_w: float, elem_w: float,
+                  col_step_penalty: bool, elem_penalty: bool) -> tuple[np.ndarray, int]:
+    """Least-cost 0/1 matrix and its cost."""
+    frac = values - np.floor(values)
+    if col_step_penalty:
+        x = _solve_steps(frac, tol, col_w, row_w, elem_w, elem_penalty)
+    else:
+        arcs, end, need = _changes(frac, tol, col_w, row_w, elem_w, elem_penalty)
+        x = np.zeros(frac.shape, dtype=int)
+        n, m = frac.shape
+        for (start, to, _, _), ones in zip(arcs, _cheapest(arcs, end, need)):
+            if ones and start < 2 * n and start % 2 and to >= 2 * n:
+                x[divmod(to - 2 * n, m)] = 1
+    cost = _objective(x, frac, tol, col_w, row_w, elem_w, col_step_penalty, elem_penalty)
+    if cost is None:
         raise ValueError("no rounding meets the running totals")
-    return np.array(best[1]).reshape(n, m), int(round(best[0]))
+    return x, cost
 
 
 def controlled_round(
     df: DataFrame, keys: list[str], row: str, col: str, value: str, tol: float = TOL,
     col_w: float = 1e4, row_w: float = 1e3, elem_w: float = 10,
-    col_step_penalty: bool = False, elem_penalty: bool = False, max_cells: int = MAX_CELLS,
+    col_step_penalty: bool = False, elem_penalty: bool = False,
 ) -> DataFrame:
     """Add x, rounded and the objective to every cell of each group's (row, col) matrix.
 
@@ -320,14 +442,13 @@ def controlled_round(
     (``elem_penalty``) or of the running column totals. ``col_step_penalty`` ignores a column that
     is off by less than one. Cells that are absent count as 0.
 
-    The exact answer grows with the power of the number of columns, so this is for many small
-    matrices. Their sizes are counted first; a matrix above ``max_cells`` is an error, never cut.
+    The answer is exact: the cheapest changes, one per 1 of the result, in time about (cells x ones). Only ``col_step_penalty`` has no
+    such order; it is solved over the states of the column sums, whose number grows with the power of the number of columns.
+    Of equal choices the lexicographically smallest one, row by row, is taken. A matrix is solved in one task; two rows for one cell
+    are an error.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    above = F.count(F.when(F.col("n") > max_cells, 1))
-    large = counts.agg(above, F.max("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if large[0]:
-        raise ValueError(f"{large[0]} matrices above {max_cells} cells, the largest has {large[1]}")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shape = T.StructType([*df.schema.fields, T.StructField("x", T.IntegerType()),
                           T.StructField("objective", T.LongType())])
 
@@ -338,12 +459,14 @@ def controlled_round(
             at_row = np.unique(rows[at], return_inverse=True)[1]
             at_col = np.unique(cols[at], return_inverse=True)[1]
             grid = np.zeros((at_row.max() + 1, at_col.max() + 1))
+            if len(np.unique(at_row * (at_col.max() + 1) + at_col)) < len(at_row):
+                raise ValueError("two rows for one cell of a matrix")
             grid[at_row, at_col] = values[at]
             chosen, cost = _solve_matrix(grid, tol, col_w, row_w, elem_w, col_step_penalty, elem_penalty)
             x[at], objective[at] = chosen[at_row, at_col], cost
         return pdf.assign(x=x, objective=objective)[shape.names]
 
-    solved = _bucketed(df, keys, large[2]).applyInPandas(solve, shape)
+    solved = _bucketed(df, keys, total).applyInPandas(solve, shape)
     return solved.withColumn("rounded", (F.floor(F.col(value)) + F.col("x")).cast("bigint"))
 
 

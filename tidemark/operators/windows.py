@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.plans.ordered import BLOCK, fits_window, ordered_blocks, running_sums
 
@@ -59,13 +57,14 @@ def last_of(df: DataFrame, keys: list[str], order: list[str], columns: list[str]
 def head_tail(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """First and last ``n`` rows, each once, marked 'head' or 'tail' with their distance from that end.
 
-    Two bounded top-n selections; the frame is never sorted as a whole.
+    Two bounded top-n selections; the frame is never sorted as a whole. Rows that tie follow their other columns,
+    so both ends agree on one order, and a row count keeps the tail clear of the head.
     """
+    total = df.count()
+    order = [*order, *[f.name for f in df.schema if f.name not in order and not isinstance(f.dataType, (T.MapType, T.VariantType))]]
     up, down = [F.col(c).asc() for c in order], [F.col(c).desc() for c in order]
     first = df.orderBy(*up).limit(n).withColumn("part", F.lit("head")).withColumn(
         "position", F.row_number().over(Window.orderBy(*up)).cast("bigint"))
-    last = df.orderBy(*down).limit(n).withColumn("part", F.lit("tail")).withColumn(
+    last = df.orderBy(*down).limit(max(0, min(n, total - n))).withColumn("part", F.lit("tail")).withColumn(
         "position", F.row_number().over(Window.orderBy(*down)).cast("bigint"))
-    seen = first.select(*[F.col(c).alias(f"_{c}") for c in order])
-    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order])
-    return first.unionByName(last.join(F.broadcast(seen), match, "left_anti"))
+    return first.unionByName(last)

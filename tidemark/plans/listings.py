@@ -43,15 +43,20 @@ INSIGHTS = (
 )
 
 
+def _whole(number: Column) -> Column:
+    """A number written as text, decimals cut; null where it is none."""
+    return number.try_cast("double").try_cast("bigint")
+
+
 def listing_items(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """id, name, year, odokm, price, owner and url of every item on the result pages."""
     keep = [] if keep is None else keep
-    item = jsonld_items(pages, keep=keep)
+    item = jsonld_items(pages, keep=keep).filter("item IS NOT NULL")
     name, url = F.col("item.name"), F.col("item.url")
     return item.select(
         *keep, "number_of_items",
         item_id(name, url).alias("id"), name.alias("name"), leading(name, 4).alias("year"),
-        F.col("item.mileageFromOdometer.value").alias("odokm"), F.col("item.offers.price").alias("price"),
+        _whole(F.col("item.mileageFromOdometer.value")).alias("odokm"), _whole(F.col("item.offers.price")).alias("price"),
         seller(F.col("item.image")).alias("owner"), url.alias("url"),
     )
 

@@ -1,7 +1,9 @@
-"""A history of snapshots fed by a file stream."""
+"""A history of snapshots fed by file streams."""
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,36 +11,43 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.compare import append_history
 
-BATCH = "batch"
+STREAM, BATCH, STORED = "stream", "batch", "_stored"
 
 
 def stream_history(
     spark: SparkSession, source: str, history: str, schema: T.StructType | str, *,
     checkpoint: str, fmt: str = "parquet", files_per_batch: int | None = None, **options: str,
 ) -> StreamingQuery:
-    """Append what is new in ``source`` to the history, one key=value folder per micro-batch.
+    """Append what is new in ``source`` to the history, one folder per stream and micro-batch.
 
-    Stops when the files present at the start are read. A batch replaces its own folder only, so
-    a batch that is run again after a failure leaves one copy. Nothing that is stored is rewritten:
-    the duplicates of older batches are removed on reading, see ``read_history``.
+    Stops when the files present at the start are read. The stream's id belongs to its checkpoint, so two checkpoints never
+    share a folder, and a batch that is run again after a failure replaces its own folder only. Nothing else that is
+    stored is rewritten: the duplicates of older batches are removed on reading, see ``read_history``.
     """
     reader = spark.readStream.format(fmt).schema(schema).options(**options)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    known = threading.Event()
+    name: list[str] = []
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{history}/{BATCH}={number}")
+        known.wait()
+        stamped = batch.withColumn(STORED, F.current_timestamp())
+        stamped.write.mode("overwrite").parquet(f"{history}/{STREAM}={name[0]}/{BATCH}={number}")
 
-    return (
+    query = (
         reader.load(source).writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+    name.append(str(query.id))
+    known.set()
+    return query
 
 
 def read_history(spark: SparkSession, history: str, dedup_old: bool = True) -> DataFrame:
-    """The history: distinct rows of the earlier batches, then the latest batch as it came."""
+    """The history: distinct rows of the earlier batches, then the batch stored last as it came."""
+    place = [STORED, STREAM, BATCH]
     stored = spark.read.option("basePath", history).parquet(history)
-    latest = stored.agg(F.max(BATCH)).first()[0]
-    old = stored.filter(F.col(BATCH) < latest).drop(BATCH)
-    new = stored.filter(F.col(BATCH) == latest).drop(BATCH)
-    return append_history(old, new, dedup_old)
+    last = stored.agg(F.max(F.struct(*place)).alias("at")).first()["at"]
+    is_last = (F.col(STREAM) == F.lit(last[STREAM])) & (F.col(BATCH) == F.lit(last[BATCH]))
+    return append_history(stored.filter(~is_last).drop(*place), stored.filter(is_last).drop(*place), dedup_old)
