@@ -201,11 +201,16 @@ def parquet_zstd(spark, sf):
     return files.scan_parquet(spark, path).select("vec_id", "label", F.size("embedding").alias("dims"), checksum.alias("checksum"))
 
 
-@query()
+@query("""
+SELECT n_regionkey AS region, count(DISTINCT 1) AS files, CAST(sum(length(n_name) + 1) AS BIGINT) AS length FROM nation GROUP BY n_regionkey
+""")
 def file_inventory(spark, sf):
-    found = files.file_inventory(spark, sf)
-    sizes = files.size_mb(found).first()[0]
-    return found.select("name", "length").withColumn("total_mb", F.lit(sizes))
+    """Files and bytes of a text table with a folder and a file per region."""
+    path = scratch_path(spark, "names")
+    table(spark, sf, "nation").repartition("n_regionkey").select("n_regionkey", "n_name").write.partitionBy("n_regionkey").text(path)
+    found = files.file_inventory(spark, f"{path}/n_regionkey=*")
+    region = F.regexp_extract("path", "n_regionkey=(\\d+)", 1).cast("int")
+    return found.groupBy(region.alias("region")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("length"))
 
 
 def _label_batches(spark, sf):

@@ -27,6 +27,42 @@ def rfm_standardized(spark, sf):
     return parts.select("customer", *[F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in RFM_COLUMNS])
 
 
+# four far-apart groups of orders: the cluster of an order follows from its customer
+PLANTED_SQL = """
+WITH p AS (SELECT o_orderkey, o_custkey % 4 AS g, CAST((o_custkey % 4) * 1000 + o_orderkey % 7 AS DOUBLE) AS x,
+                  CAST((o_custkey % 4) * (o_custkey % 4) * 700 + o_orderkey % 11 AS DOUBLE) AS y FROM orders),
+s AS (SELECT *, x / stddev_samp(x) OVER () AS sx, y / stddev_samp(y) OVER () AS sy FROM p)
+"""
+
+
+def _planted(spark, sf):
+    group = F.col("o_custkey") % 4
+    points = table(spark, sf, "orders").select(
+        "o_orderkey", (group * 1000 + F.col("o_orderkey") % 7).alias("x"), (group * group * 700 + F.col("o_orderkey") % 11).alias("y"))
+    return segments.standardize(stored(points), ["x", "y"])
+
+
+@query(PLANTED_SQL + "SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY g) AS first_of_cluster FROM s")
+def kmeans_planted(spark, sf):
+    """The clusters of four planted groups, each named by its smallest order."""
+    found = segments.kmeans_predict(_planted(spark, sf), k=4)
+    firsts = found.groupBy("prediction").agg(F.min("o_orderkey").alias("first_of_cluster"))
+    return found.join(F.broadcast(firsts), "prediction").select("o_orderkey", "first_of_cluster")  # a line per cluster
+
+
+@query(PLANTED_SQL + """
+, c AS (SELECT g AS h, CAST(count(*) AS DOUBLE) AS n, sum(sx) AS tx, sum(sy) AS ty, sum(sx * sx + sy * sy) AS q FROM s GROUP BY g),
+d AS (SELECT o_orderkey, g, h, n, sx * sx + sy * sy + q / n - 2 * (sx * tx + sy * ty) / n AS far FROM s, c),
+b AS (SELECT o_orderkey, max(far * n / (n - 1)) FILTER (g = h) AS own, min(far) FILTER (g <> h) AS other FROM d GROUP BY o_orderkey)
+SELECT CAST(4 AS INTEGER) AS k, round((SELECT sum(q - (tx * tx + ty * ty) / n) FROM c), 4) AS cost,
+       round(avg((other - own) / greatest(other, own)), 6) AS silhouette FROM b
+""")
+def kmeans_planted_score(spark, sf):
+    """Training cost and silhouette of the planted groups."""
+    found = segments.kmeans_sweep(_planted(spark, sf), [4])
+    return found.select("k", F.round("cost", 4).alias("cost"), F.round("silhouette", 6).alias("silhouette"))
+
+
 @query()
 def rfm_clusters(spark, sf):
     found = segments.kmeans_predict(_scaled(spark, sf), k=5)
@@ -68,9 +104,30 @@ def binned_mutual_info(spark, sf):
     return found.withColumn("mutual_info", F.round("mutual_info", 6))
 
 
-@query()
+def _eliminated(name, source, left, right):
+    """SQL of Gauss-Jordan steps: from columns ``left`` x ``left`` and ``right``, as a function of (row, column), to the solved right side."""
+    rows, cols = range(len(left)), [*left, *right]
+    steps, at = [f"{name}0 AS (SELECT " + ", ".join(f"{source(r, c)} AS m{i}_{j}" for i, r in enumerate(left) for j, c in enumerate(cols)) + " FROM sums)"], 0
+    for k in rows:
+        new = ", ".join(
+            (f"m{k}_{j} / m{k}_{k}" if i == k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k}") + f" AS m{i}_{j}"
+            for i in rows for j in range(len(cols)))
+        steps.append(f"{name}{at + 1} AS (SELECT {new} FROM {name}{at})")
+        at += 1
+    return steps, f"{name}{at}"
+
+
+def _vif_sql(columns):
+    sums = ", ".join(f"sum(CAST({a} AS DOUBLE) * {b}) AS s_{i}_{j}" for i, a in enumerate(columns) for j, b in enumerate(columns))
+    n = len(columns)
+    steps, last = _eliminated("e", lambda r, c: f"s_{r}_{c}" if c < n else ("1.0" if c - n == r else "0.0"), list(range(n)), [n + k for k in range(n)])
+    lines = " UNION ALL ".join(f"SELECT '{f}' AS feature, round(s_{i}_{i} * m{i}_{n + i}, 4) AS vif FROM sums, {last}" for i, f in enumerate(columns))
+    return f"WITH sums AS (SELECT {sums} FROM lineitem), " + ", ".join(steps) + " " + lines
+
+
+@query(_vif_sql([*FEATURES, TARGET]))
 def vif(spark, sf):
-    return features.vif(table(spark, sf, "lineitem"), [*FEATURES, TARGET])
+    return features.vif(table(spark, sf, "lineitem"), [*FEATURES, TARGET]).withColumn("vif", F.round("vif", 4))
 
 
 @query("""
@@ -86,7 +143,29 @@ def vif_of_three(spark, sf):
     return features.vif(table(spark, sf, "lineitem"), FEATURES[:3]).withColumn("vif", F.round("vif", 4))
 
 
-@query()
+def _rfe_linear_sql():
+    """All fits that the elimination of two of four features can need, then the two choices."""
+    names = [*FEATURES, TARGET]
+    sums = ", ".join(f"covar_pop({a}, {b}) AS s_{i}_{j}" for i, a in enumerate(names) for j, b in enumerate(names))
+    steps, y = [], len(FEATURES)
+    four, last = _eliminated("f", lambda r, c: f"s_{r}_{c}", list(range(y)), [y])
+    steps += [*four, "w AS (SELECT " + ", ".join(f"abs(m{i}_{y}) AS w{i}" for i in range(y)) + f" FROM {last})"]
+    first = "CASE " + " ".join(f"WHEN w{i} = least(w0, w1, w2, w3) THEN {i}" for i in range(y)) + " END"
+    for gone in range(y):
+        left = [i for i in range(y) if i != gone]
+        three, end = _eliminated(f"t{gone}_", lambda r, c: f"s_{r}_{c}", left, [y])
+        least = f"least({', '.join(f'abs(m{k}_3)' for k in range(3))})"
+        second = "CASE " + " ".join(f"WHEN abs(m{k}_3) = {least} THEN {i}" for k, i in enumerate(left)) + " END"
+        steps += [*three, f"d{gone} AS (SELECT {second} AS second FROM {end})"]
+    steps.append(f"one AS (SELECT {first} AS first FROM w)")
+    pick = "CASE first " + " ".join(f"WHEN {g} THEN (SELECT second FROM d{g})" for g in range(y)) + " END"
+    steps.append(f"two AS (SELECT first, {pick} AS second FROM one)")
+    rank = lambda i: f"CASE WHEN first = {i} THEN 3 WHEN second = {i} THEN 2 ELSE 1 END"
+    lines = " UNION ALL ".join(f"SELECT '{f}' AS feature, {rank(i)} = 1 AS selected, CAST({rank(i)} AS INTEGER) AS rank FROM two" for i, f in enumerate(FEATURES))
+    return f"WITH sums AS (SELECT {sums} FROM lineitem), " + ", ".join(steps) + " " + lines
+
+
+@query(_rfe_linear_sql())
 def rfe_linear(spark, sf):
     return features.rfe(table(spark, sf, "lineitem"), FEATURES, TARGET, 2)
 
@@ -122,9 +201,25 @@ def rfe_svc(spark, sf):
     return features.rfe(many, FEATURES, "many", 1, model="svc").select("feature", "selected")
 
 
-@query()
+def _lasso_sql(alpha, sweeps):
+    """Coordinate descent over the covariances, each new coefficient using those before it."""
+    names = [*FEATURES, TARGET]
+    y = len(FEATURES)
+    sums = ", ".join(f"covar_pop({a}, {b}) AS s_{i}_{j}" for i, a in enumerate(names) for j, b in enumerate(names))
+    inner = "SELECT d.*, s.* FROM d, sums s WHERE i < " + str(sweeps)
+    for j in range(y):
+        rest = " - ".join([f"s_{j}_{y}", *[f"s_{j}_{k} * {'n' if k < j else 'w'}{k}" for k in range(y) if k != j]])
+        inner = f"SELECT *, sign({rest}) * greatest(abs({rest}) - {alpha}, 0) / s_{j}_{j} AS n{j} FROM ({inner})"
+    lines = " UNION ALL ".join(f"SELECT '{f}' AS feature, round(w{k}, 2) AS coefficient FROM d WHERE i = {sweeps}" for k, f in enumerate(FEATURES))
+    start = ", ".join(f"CAST(0 AS DOUBLE) AS w{k}" for k in range(y))
+    return (f"WITH RECURSIVE sums AS (SELECT {sums} FROM lineitem), d AS (SELECT 0 AS i, {start} UNION ALL "
+            f"SELECT i + 1, {', '.join(f'n{k}' for k in range(y))} FROM ({inner})) {lines}")
+
+
+@query(_lasso_sql(0.01, 40))
 def lasso(spark, sf):
-    return features.lasso(_training(spark, sf), FEATURES, TARGET, 0.01)
+    found = features.lasso(_training(spark, sf), FEATURES, TARGET, 0.01)
+    return found.withColumn("coefficient", F.round("coefficient", 2))
 
 
 @query(f"""
