@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tidemark.operators.compare import frames_equal
 from tidemark.functions import calendar, events, numeric, text
 from tidemark.operators import aggregate, clean, compare, distance, expand, facets, windows
 from tidemark.plans import ordered
@@ -320,3 +321,17 @@ def test_nearest_with_ties(spark, block):
 
 def test_l1_expression(spark):
     assert one(spark, numeric.l1(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(0.5), F.lit(4.0)))) == 2.5
+
+
+def test_running_sums_do_not_depend_on_the_plan(spark):
+    from tidemark.plans import ordered
+
+    frame = spark.range(20_000).select("id", (F.col("id") % 3).alias("k"), (F.rand(7) * 1000).alias("v"))
+    frame = frame.withColumn("v", F.when(F.col("id") % 17 == 0, None).when(F.col("id") == 5, float("nan")).otherwise(F.col("v"))).cache()
+    one = windows.running_total(frame, ["k"], ["id"], "v", max_group_rows=10**9)
+    many = windows.running_total(frame, ["k"], ["id"], "v", max_group_rows=0)
+    assert dict(one.dtypes)["running"] == dict(many.dtypes)["running"] == "double"
+    assert frames_equal(one.select("id", "running"), many.select("id", "running"))
+    assert ordered.ordered_blocks(frame, ["k"], ["id"]).select(ordered.BLOCK).distinct().count() > 1
+    assert not ordered.fits_window(frame, []) and ordered.fits_window(frame, ["k"])
+    assert frames_equal(windows.numbered(frame, [], ["id"]).select("id", "n"), frame.select("id", (F.col("id") + 1).alias("n")))

@@ -355,15 +355,16 @@ def round_2d(spark, sf):
 @query("""
 WITH m AS (SELECT l_returnflag AS g, strftime(l_shipdate, '%Y-%m') AS r, l_linestatus AS c,
                   CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DOUBLE) / 1000 AS v FROM lineitem GROUP BY ALL),
-f AS (SELECT g, r, c, v - floor(v) AS f, sum(v - floor(v)) OVER (PARTITION BY g ORDER BY r, c ROWS UNBOUNDED PRECEDING) AS cum FROM m),
-x AS (SELECT g, r, c, f, ceil(cum - 1e-4) - greatest(ceil(cum - f - 1e-4), 0) AS x FROM f),
+d AS (SELECT g, r, c, v - floor(v) AS fd, CAST(v - floor(v) AS DECIMAL(38,12)) AS f FROM m),
+f AS (SELECT *, CAST(sum(f) OVER (PARTITION BY g ORDER BY r, c ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cum FROM d),
+x AS (SELECT g, r, c, f, ceil(cum - 1e-4) - greatest(ceil(cum - fd - 1e-4), 0) AS x FROM f),
 br AS (SELECT g, r, sum(f) AS f, sum(x) AS x FROM x GROUP BY g, r),
-rr AS (SELECT *, sum(f) OVER w AS cf, sum(x) OVER w AS cx FROM br WINDOW w AS (PARTITION BY g ORDER BY r ROWS UNBOUNDED PRECEDING)),
+rr AS (SELECT *, CAST(sum(f) OVER w AS DOUBLE) AS cf, sum(x) OVER w AS cx FROM br WINDOW w AS (PARTITION BY g ORDER BY r ROWS UNBOUNDED PRECEDING)),
 ra AS (SELECT g, sum(x) = ceil(sum(f)) AS total_met, bool_and(cx BETWEEN floor(cf - 1e-4) AND ceil(cf + 1e-4)) AS bands_met,
-              sum(abs(x * 10000 - round_even(f * 10000, 0))) AS row_dev FROM rr GROUP BY g),
-ca AS (SELECT g, sum(d) AS col_dev FROM (SELECT g, c, abs(sum(x) * 10000 - round_even(sum(f) * 10000, 0)) AS d FROM x GROUP BY g, c) GROUP BY g),
+              sum(abs(x * 10000 - round_even(CAST(f AS DOUBLE) * 10000, 0))) AS row_dev FROM rr GROUP BY g),
+ca AS (SELECT g, sum(d) AS col_dev FROM (SELECT g, c, abs(sum(x) * 10000 - round_even(CAST(sum(f) AS DOUBLE) * 10000, 0)) AS d FROM x GROUP BY g, c) GROUP BY g),
 ea AS (SELECT g, sum(abs(cx * 10000 - round_even(cf * 10000, 0))) AS elem_dev FROM (
-         SELECT g, sum(x) OVER w AS cx, sum(f) OVER w AS cf FROM x WINDOW w AS (PARTITION BY g, c ORDER BY r ROWS UNBOUNDED PRECEDING)) GROUP BY g)
+         SELECT g, sum(x) OVER w AS cx, CAST(sum(f) OVER w AS DOUBLE) AS cf FROM x WINDOW w AS (PARTITION BY g, c ORDER BY r ROWS UNBOUNDED PRECEDING)) GROUP BY g)
 SELECT ra.g AS l_returnflag, total_met, bands_met, row_dev, col_dev, elem_dev,
        col_dev * 10000 + row_dev * 1000 + elem_dev * 10 AS objective
 FROM ra JOIN ca ON ra.g = ca.g JOIN ea ON ra.g = ea.g

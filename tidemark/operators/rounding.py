@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.numeric import fraction
-from tidemark.plans.ordered import BLOCK, fits_window, ordered_blocks, running_sums
+from tidemark.plans.ordered import BLOCK, EXACT, fits_window, ordered_blocks, running_sums
 from tidemark.session import stored
 
 # fixed values: tolerance, units of a deviation and their weight
@@ -260,6 +260,19 @@ def _solve_blocks(summed: DataFrame, keys: list[str], order: list[str], tol: flo
 
 # rows and columns -----------------------------------------------------------------------------
 
+#: Fractions are added up in whole numbers of this many parts, as the audit adds decimals of 12 places.
+PLACES = 10**12
+
+
+def _exact(frac: np.ndarray) -> np.ndarray:
+    return np.rint(frac * PLACES).astype(np.int64)
+
+
+def _units(parts: np.ndarray) -> np.ndarray:
+    """Sums of such parts in units of a deviation, halves to even."""
+    return np.rint(np.asarray(parts) / PLACES * SCALE).astype(np.int64)
+
+
 def _changes(frac: np.ndarray, tol: float, col_w: float, row_w: float, elem_w: float, elem_penalty: bool):
     """The matrix as a net whose flow is the number of ones, and the cost of the next one on every arc.
 
@@ -271,12 +284,13 @@ def _changes(frac: np.ndarray, tol: float, col_w: float, row_w: float, elem_w: f
     weights = [Fraction(w) for w in (col_w, row_w, elem_w)]
     unit = math.lcm(*(w.denominator for w in weights))
     col_w, row_w, elem_w = (int(w * unit) << (n * m) for w in weights)
-    whole = lambda a: [int(x) for x in np.rint(np.asarray(a) * SCALE)]
-    row_goal, col_goal, col_run = whole(frac.sum(axis=1)), whole(frac.sum(axis=0)), [whole(r) for r in np.cumsum(frac, axis=0)]
-    need = int(np.ceil(frac.sum()))
-    reach = np.cumsum(frac.sum(axis=1))
+    exact = _exact(frac)
+    whole = lambda a: [int(x) for x in _units(a)]
+    row_goal, col_goal, col_run = whole(exact.sum(axis=1)), whole(exact.sum(axis=0)), [whole(r) for r in np.cumsum(exact, axis=0)]
+    need = -(-int(exact.sum()) // PLACES)
+    reach = np.cumsum(exact.sum(axis=1)) / PLACES
     low, high = np.floor(reach - tol).astype(int), np.ceil(reach + tol).astype(int)
-    gain = [whole(1 - 2 * r) for r in frac]
+    gain = [whole(PLACES - 2 * r) for r in exact]
     never = (1 << (n * m + 8)) * unit * (int(sum(weights)) + 1) * SCALE * (n * m + 2) ** 2  # outweighs all other costs
 
     def step(weight: int, goal: int):
@@ -360,24 +374,25 @@ def _cheapest(arcs: list, end: int, need: int) -> list[int]:
 def _objective(x: np.ndarray, frac: np.ndarray, tol: float, col_w: float, row_w: float, elem_w: float,
                col_step_penalty: bool, elem_penalty: bool) -> int | None:
     """Cost of a 0/1 matrix; null if it misses the total or a band."""
-    whole = lambda a: np.rint(a * SCALE).astype(np.int64)
-    reach, taken = np.cumsum(frac.sum(axis=1)), np.cumsum(x.sum(axis=1))
-    if x.sum() != int(np.ceil(frac.sum())) or (taken < np.floor(reach - tol)).any() or (taken > np.ceil(reach + tol)).any() or (x[frac <= tol] != 0).any():
+    exact, whole = _exact(frac), _units
+    reach, taken = np.cumsum(exact.sum(axis=1)) / PLACES, np.cumsum(x.sum(axis=1))
+    if x.sum() != -(-int(exact.sum()) // PLACES) or (taken < np.floor(reach - tol)).any() or (taken > np.ceil(reach + tol)).any() or (x[frac <= tol] != 0).any():
         return None
-    off = np.abs(x.sum(axis=0) * SCALE - whole(frac.sum(axis=0)))
+    off = np.abs(x.sum(axis=0) * SCALE - whole(exact.sum(axis=0)))
     cost = col_w * float(off[off >= SCALE].sum() if col_step_penalty else off.sum())
-    cost += row_w * float(np.abs(x.sum(axis=1) * SCALE - whole(frac.sum(axis=1))).sum())
-    last = (whole(1 - 2 * frac) * x).sum() if elem_penalty else np.abs(np.cumsum(x, axis=0) * SCALE - whole(np.cumsum(frac, axis=0))).sum()
+    cost += row_w * float(np.abs(x.sum(axis=1) * SCALE - whole(exact.sum(axis=1))).sum())
+    last = (whole(PLACES - 2 * exact) * x).sum() if elem_penalty else np.abs(np.cumsum(x, axis=0) * SCALE - whole(np.cumsum(exact, axis=0))).sum()
     return int(round(cost + elem_w * float(last)))
 
 
 def _solve_steps(frac: np.ndarray, tol: float, col_w: float, row_w: float, elem_w: float, elem_penalty: bool) -> np.ndarray:
     """Least-cost matrix where a column's cost jumps at one: cell by cell over the states (column sums, ones of the row)."""
     n, m = frac.shape
-    whole = lambda a: np.rint(np.asarray(a) * SCALE).astype(np.int64).tolist()
-    row_goal, col_goal, col_run = whole(frac.sum(axis=1)), whole(frac.sum(axis=0)), whole(np.cumsum(frac, axis=0))
-    gain, need = whole(1 - 2 * frac), int(np.ceil(frac.sum()))
-    reach = np.cumsum(frac.sum(axis=1))
+    exact = _exact(frac)
+    whole = lambda a: _units(a).tolist()
+    row_goal, col_goal, col_run = whole(exact.sum(axis=1)), whole(exact.sum(axis=0)), whole(np.cumsum(exact, axis=0))
+    gain, need = whole(PLACES - 2 * exact), -(-int(exact.sum()) // PLACES)
+    reach = np.cumsum(exact.sum(axis=1)) / PLACES
     low, high = np.floor(reach - tol).astype(int), np.ceil(reach + tol).astype(int)
     states: dict[tuple, tuple] = {((0,) * m, 0): (0.0, 0)}
     for i in range(n):
@@ -481,15 +496,15 @@ def rounding_audit(
     first, and running totals are taken with ``running_sums``.
     """
     def off(total: str, exact: str):
-        return F.abs(F.col(total) * SCALE - F.rint(F.col(exact) * SCALE))
+        return F.abs(F.col(total) * SCALE - F.rint(F.col(exact).cast("double") * SCALE))
 
     cells = df.select(*keys, F.col(row).alias("_r"), F.col(col).alias("_c"),
-                      fraction(F.col(value)).alias("_f"), F.col(x).cast("bigint").alias("_x"))
+                      fraction(F.col(value)).cast(EXACT).alias("_f"), F.col(x).cast("bigint").alias("_x"))
     sums = [F.sum("_f").alias("_f"), F.sum("_x").alias("_x")]
     by_row = cells.groupBy(*keys, "_r").agg(*sums)
     windowed = fits_window(by_row, keys, max_group_rows)
     run = running_sums(by_row, keys, ["_r"], {"_cf": F.col("_f"), "_cx": F.col("_x")}, windowed)
-    bands = F.col("_cx").between(F.floor(F.col("_cf") - tol), F.ceil(F.col("_cf") + tol))
+    bands = F.col("_cx").between(F.floor(F.col("_cf").cast("double") - tol), F.ceil(F.col("_cf").cast("double") + tol))
     rows = run.groupBy(*keys).agg(
         (F.sum("_x") == F.ceil(F.sum("_f"))).alias("total_met"), F.min(bands).alias("bands_met"),
         F.sum(off("_x", "_f")).alias("row_dev"),
@@ -498,7 +513,7 @@ def rounding_audit(
     step = F.when(step < SCALE, 0.0).otherwise(step) if col_step_penalty else step
     cols = cells.groupBy(*keys, "_c").agg(*sums).groupBy(*keys).agg(F.sum(step).alias("col_dev"))
     if elem_penalty:
-        gain = F.when((F.col("_x") == 1) & (F.col("_f") > tol), F.rint((1 - 2 * F.col("_f")) * SCALE)).otherwise(0.0)
+        gain = F.when((F.col("_x") == 1) & (F.col("_f") > tol), F.rint((1 - 2 * F.col("_f")).cast("double") * SCALE)).otherwise(0.0)
         last = cells.groupBy(*keys).agg(F.sum(gain).alias("elem_dev"))
     else:
         by_cell = cells.groupBy(*keys, "_c", "_r").agg(*sums)

@@ -1,7 +1,11 @@
 """Running sums over ordered rows that do not depend on how large one key is.
 
+Sums do not depend on the plan: floating-point values are added up as decimals of 12 places, so neither
+the size of a key nor the cut into blocks changes a digit. Values beyond 16 digits before the point, infinite
+ones and NaN take no part, like nulls.
+
 A window over a key sends all its rows to one task. That is the cheapest plan as long as
-the largest key fits, so its size is counted first. Beyond the limit the rows are cut into
+the largest key fits, so its size is counted first. Without keys that holds for small frames only. Beyond the limit the rows are cut into
 contiguous blocks by a range partitioning on (key, order): running sums are taken inside a
 block and completed with the totals of the key's earlier blocks. A block that continues
 a key is the only one to need such a total, so the totals number at most one per block
@@ -15,11 +19,17 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import stored
 
 MAX_GROUP_ROWS = 5_000_000
+#: Rows of a whole frame that one task may order.
+MAX_FRAME_ROWS = 10_000
+#: Rows of a block, about, and the fewest blocks that are made.
+BLOCK_ROWS, MIN_BLOCKS = 500_000, 4
 BLOCK = "_block"
+EXACT, TOTAL = "decimal(28,12)", "decimal(37,12)"  # of values, and of totals that are added to others
 
 
 def as_columns(order: list[str | Column]) -> list[Column]:
@@ -37,7 +47,13 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 def fits_window(df: DataFrame, keys: list[str], max_group_rows: int | None = None) -> bool:
     """Whether every key is small enough for one task."""
     limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    return largest_group(df, keys) <= limit
+    return largest_group(df, keys) <= (limit if keys else min(limit, MAX_FRAME_ROWS))
+
+
+def exact(df: DataFrame, value: Column) -> tuple[Column, str | None]:
+    """``value`` in a form whose sums are exact, and the type that they go back to (null: as they are)."""
+    kind = df.select(value.alias("_v")).schema["_v"].dataType
+    return (value.try_cast(EXACT), "double") if isinstance(kind, (T.DoubleType, T.FloatType)) else (value, None)
 
 
 def ordered_blocks(
@@ -49,7 +65,9 @@ def ordered_blocks(
     and every retry, sees the same blocks. Rows that tie on keys and order share a block.
     """
     columns = [*[F.col(k) for k in keys], *as_columns(order)]
-    ranged = df.repartitionByRange(partitions, *columns) if partitions else df.repartitionByRange(*columns)
+    if partitions is None:
+        partitions = max(MIN_BLOCKS, -(-df.count() // BLOCK_ROWS))
+    ranged = df.repartitionByRange(partitions, *columns)  # a number that is asked for is not coalesced
     return stored(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
@@ -72,9 +90,12 @@ def running_sums(
     from ``ordered_blocks`` already).
     """
     running = (Window.unboundedPreceding, Window.currentRow)
+    parted = {name: exact(df, value) for name, value in sums.items()}
+    sums = {name: value for name, (value, _) in parted.items()}
+    back = lambda name, total: total.cast(parted[name][1]) if parted[name][1] else total
     if windowed:
         whole = Window.partitionBy(*keys).orderBy(*as_columns(order)).rowsBetween(*running)
-        return df.withColumns({name: F.sum(value).over(whole) for name, value in sums.items()})
+        return df.withColumns({name: back(name, F.sum(value).over(whole)) for name, value in sums.items()})
 
     parts = df if BLOCK in df.columns else ordered_blocks(df, keys, order, partitions)
     by_block = [*keys, BLOCK]
@@ -90,8 +111,12 @@ def running_sums(
     right = carried.select(*[F.col(c).alias(f"_k_{c}") for c in by_block], *[f"_c_{n}" for n in sums])
     match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by_block])
     joined = local.join(F.broadcast(right), match, "left")
+    def added(name: str) -> Column:
+        before, here = F.col(f"_c_{name}"), F.col(name)
+        return before.cast(TOTAL) + here.cast(TOTAL) if isinstance(local.schema[name].dataType, T.DecimalType) else before + here
+
     full = {
-        n: F.when(F.col(f"_c_{n}").isNull(), F.col(n)).when(F.col(n).isNull(), F.col(f"_c_{n}"))
-        .otherwise(F.col(f"_c_{n}") + F.col(n)) for n in sums
+        n: back(n, F.when(F.col(f"_c_{n}").isNull(), F.col(n)).when(F.col(n).isNull(), F.col(f"_c_{n}"))
+                .otherwise(added(n))) for n in sums
     }
     return joined.withColumns(full).drop(*[f"_k_{c}" for c in by_block], *[f"_c_{n}" for n in sums])
