@@ -372,3 +372,23 @@ FROM ra JOIN ca ON ra.g = ca.g JOIN ea ON ra.g = ea.g
 def rounding_audit(spark, sf):
     feasible = rounding.feasible_round_1col(_monthly(spark, sf), ["l_returnflag"], ["month", "l_linestatus"], "total")
     return rounding.rounding_audit(feasible, ["l_returnflag"], "month", "l_linestatus", "total", "x")
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(r * r / (1 - r * r) * (n - 2), 4) AS f_score FROM "
+    f"(SELECT corr({f}, {TARGET}) AS r, count(*) AS n FROM lineitem)" for f in FEATURES) + ") ORDER BY f_score DESC LIMIT 2")
+def f_scores_top(spark, sf):
+    """The two features that explain most."""
+    return features.f_scores(table(spark, sf, "lineitem"), FEATURES, TARGET, top=2).withColumn("f_score", F.round("f_score", 4))
+
+
+@query(" UNION ALL ".join(f"""
+SELECT '{f}' AS feature, round(sum(n / total * ln(n * total / (nx * ny))), 6) AS mutual_info FROM (
+  SELECT n, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS total FROM (
+    SELECT least(floor((f - lf) / (hf - lf) * 10), 9) AS x, y, CAST(count(*) AS DOUBLE) AS n
+    FROM (SELECT CAST({f} AS DOUBLE) AS f, l_returnflag AS y FROM lineitem),
+         (SELECT CAST(min({f}) AS DOUBLE) AS lf, CAST(max({f}) AS DOUBLE) AS hf FROM lineitem) GROUP BY 1, 2))""" for f in FEATURES))
+def binned_mutual_info_classes(spark, sf):
+    """Mutual information with the classes of the return flag."""
+    found = features.binned_mutual_info(table(spark, sf, "lineitem"), FEATURES, "l_returnflag", discrete_target=True)
+    return found.withColumn("mutual_info", F.round("mutual_info", 6))

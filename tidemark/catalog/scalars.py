@@ -163,3 +163,36 @@ def array_set_ops(spark, sf):
     return table(spark, sf, "documents").select(
         "doc_id", F.size(words).alias("n_words"),
         F.array_join(F.array_sort(F.array_intersect(words, wanted)), "/").alias("common"))
+
+
+@query("""
+WITH e AS (SELECT *, unnest(CASE WHEN o_orderkey % 3 = 0 THEN [NULL] ELSE generate_series(1, o_orderkey % 3) END) AS i FROM orders)
+SELECT o_orderkey, o_orderkey % 3 AS n, o_orderkey % 7 - 3 AS amount, strftime(o_orderdate + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS event_date,
+       CAST(floor(o_totalprice) AS BIGINT) + i AS price FROM e
+""")
+def price_change_older(spark, sf):
+    """The older layout of stored price changes, read as rows; an order without events has one row."""
+    entry = lambda i: F.concat(
+        F.date_format(F.date_add(F.col("o_orderdate").cast("date"), i), "yyyy-MM-dd"), F.lit(" "), (F.floor("o_totalprice") + i).cast("string"))
+    count = (F.col("o_orderkey") % 3).cast("int")
+    listed = F.when(count > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), entry), ",")).otherwise("")
+    text = F.concat(F.lit("count:"), count.cast("string"), F.lit(";amount:"), (F.col("o_orderkey") % 7 - 3).cast("string"), F.lit(";events:"), listed)
+    decoded = table(spark, sf, "orders").select("o_orderkey", events.decode_price_change(text).alias("d"))
+    return decoded.select("o_orderkey", F.col("d.count").alias("n"), F.col("d.amount").alias("amount"), F.inline_outer("d.events")).withColumn(
+        "event_date", F.date_format("event_date", "yyyy-MM-dd"))
+
+
+@query("""
+SELECT p_partkey, p_size AS low, p_size + 10 AS high, p_size + 1 AS private_low, p_size + 2 AS private_high,
+       CASE WHEN p_size % 3 <> 0 THEN p_size + 3 END AS dealer_low, CASE WHEN p_size % 3 <> 0 THEN p_size + 4 END AS dealer_high
+FROM part
+""")
+def price_guide_older(spark, sf):
+    """The older layout of stored price guides; a missing side is written as nothing."""
+    part = lambda n: (F.col("p_size") + n).cast("string")
+    dealer = [F.when(F.col("p_size") % 3 != 0, part(n)).otherwise("") for n in (3, 4)]
+    text = F.concat(F.lit("range:"), part(0), F.lit("-"), part(10), F.lit(";private:"), part(1), F.lit("-"), part(2), F.lit(";dealer:"),
+                    dealer[0], F.lit("-"), dealer[1])
+    decoded = table(spark, sf, "part").select("p_partkey", events.decode_price_guide(text).alias("g"))
+    return decoded.select("p_partkey", *[
+        F.col(f"g.{c}").cast("int").alias(c) for c in ("low", "high", "private_low", "private_high", "dealer_low", "dealer_high")])

@@ -281,3 +281,28 @@ FROM e
 """)
 def listing_cards(spark, sf):
     return web.listing_cards(card_pages(spark, sf), "https://example.org")
+
+
+@query("""
+SELECT c_custkey AS page_id, c_name AS address, '$' || CAST(abs(c_nationkey) AS VARCHAR) || '/w' AS price, 'None' AS num_beds,
+       CAST(c_custkey % 4 AS VARCHAR) AS num_baths, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 3 AS VARCHAR) ELSE 'None' END AS num_cars,
+       'None' AS property_area, CAST(c_custkey % 900 AS VARCHAR) || ' m2' AS land_area, 'Near ' || c_mktsegment || ' & more' AS description,
+       'a' || c_custkey || '|b' AS features
+FROM customer
+""")
+def property_details(spark, sf):
+    """The fields of a page per customer; those that the page lacks read 'None'."""
+    def part(tag, cls, *content):
+        return F.concat(F.lit(f'<{tag} class="{cls}">'), *content, F.lit(f"</{tag}>"))
+
+    key = F.col("c_custkey")
+    html = F.concat(
+        part("h1", "property-info-address", F.col("c_name")),
+        part("span", "property-price property-info__price", F.lit("$"), _number(F.col("c_nationkey")), F.lit("/w")),
+        part("span", "general-features__icon general-features__baths", _number(key % 4)),
+        F.when(key % 2 == 0, part("span", "general-features__icon general-features__cars", _number(key % 3))).otherwise(""),
+        part("span", "property-size__icon property-size__land", _number(key % 900), F.lit(" m2")),
+        part("article", "property-description", F.lit("Near "), F.col("c_mktsegment"), F.lit(" &amp; more")),
+        part("div", "property-features__feature", F.lit("a"), _number(key)), part("div", "property-features__feature", F.lit("b")))
+    pages = spread(table(spark, sf, "customer")).select(key.alias("page_id"), html.alias("html"))
+    return web.property_details(pages).withColumn("features", F.array_join("features", "|"))
