@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from tidemark.functions.calendar import seconds_between
 from tidemark.session import stored
 
+#: Distinct moments, one long each, up to which they are broadcast.
+BROADCAST_MOMENTS = 500_000
+
 
 def rfm(
     df: DataFrame, customer: str, ts: str, qty: str | Column, price: str | Column, from_date: str,
@@ -42,8 +45,10 @@ def rfm(
             F.max("recency").alias("recency"), F.max_by("_rows", "recency").alias("frequency"),
             F.max_by("_money", "recency").alias("monetary_value"))
     moments = stored(moments)
-    newest = moments.groupBy("customer").agg(F.max("recency").alias("recency")).select("recency").distinct()
-    kept = moments.join(newest, "recency", "left_semi")
+    newest = stored(moments.groupBy("customer").agg(F.max("recency").alias("recency")).select("recency").distinct())
+    # few moments are sent to all tasks, so that no sum moves by its moment; many of them meet in a skew-aware join
+    few = newest.count() <= BROADCAST_MOMENTS
+    kept = moments.join(F.broadcast(newest) if few else newest, "recency", "left_semi")
     totals = kept.groupBy("customer").agg(
         F.sum("_rows").alias("frequency"), F.sum("_money").alias("monetary_value"))
     return kept.select("customer", "recency").join(totals, "customer")
