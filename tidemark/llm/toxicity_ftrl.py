@@ -17,7 +17,7 @@ from tidemark.llm.text_arrays import bounded_sample, joined, mapped, plain, with
 
 BITS = 20
 #: Largest number of labelled rows a model is fitted on: the first ones in the order of a hash of their id.
-SAMPLE = 30_000
+SAMPLE = 20_000
 
 
 @dataclass(frozen=True)
@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rows = []
         for batch in batches:
             lists = batch.column("x")
-            rows += [(lists[i].values.to_numpy().astype(np.int64), y) for i, y in enumerate(batch.column("y").to_pylist())]
+            rows += [(lists[i].values.to_numpy(), y) for i, y in enumerate(batch.column("y").to_pylist())]
         model = fit(rows, bits)
         yield pa.RecordBatch.from_arrays([pa.array([model.index.tolist()], pa.list_(pa.int64())),
                                           pa.array([model.value.tolist()], pa.list_(pa.float32())), pa.array([model.bias])], ["i", "v", "b"])
@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(bounded_sample(marked, ["id", "y"], sample))  # bounded by ``sample``
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(chosen, "id")
     vectors = rows.select(F.xxhash64(F.col("id").cast("string")).alias("o"), "y", "t").mapInArrow(mapped(hashed), "o long, y int, x array<int>")
-    found = vectors.coalesce(1).sortWithinPartitions("o", "y", "x").mapInArrow(solve, "i array<long>, v array<float>, b double").first()
+    found = vectors.repartition(1).sortWithinPartitions("o", "y", "x").mapInArrow(solve, "i array<long>, v array<float>, b double").first()
     if found is None:
         return Weights(np.empty(0, np.int64), np.empty(0, np.float32), 0.0, bits)
     return Weights(np.array(found.i, np.int64), np.array(found.v, np.float32), found.b, bits)
