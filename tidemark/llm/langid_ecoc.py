@@ -95,9 +95,9 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
         for s, e in zip(starts, ends):
             key, n = np.unique(np.concatenate([two[s:e], three[s:e]]), return_counts=True)
             index.append(key.astype(np.int32))
-            freq.append(n / max(e - s, 1))
+            freq.append((n / max(e - s, 1)).astype(np.float32))
         return pa.RecordBatch.from_arrays([batch.column("o"), batch.column("lang"), pa.array(index, pa.list_(pa.int32())),
-                                           pa.array(freq, pa.list_(pa.float64()))], ["o", "lang", "i", "f"])
+                                           pa.array(freq, pa.list_(pa.float32()))], ["o", "lang", "i", "f"])
 
     def solve(batches):
         rows = []
@@ -109,8 +109,8 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
     rows = (docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).join(chosen, ["id", "lang"])
             .select(F.xxhash64(F.col("id").cast("string"), "lang").alias("o"), "lang", "t"))
-    vectors = rows.mapInArrow(mapped(counted), "o long, lang string, i array<int>, f array<double>")
-    found = vectors.coalesce(1).sortWithinPartitions("o", "lang").mapInArrow(solve, "w binary, b binary, t binary").first()
+    vectors = rows.mapInArrow(mapped(counted), "o long, lang string, i array<int>, f array<float>")
+    found = vectors.repartition(1).sortWithinPartitions("o", "lang").mapInArrow(solve, "w binary, b binary, t binary").first()
     words = codewords(len(langs))
     if found is None:
         return Codes(tuple(langs), words, np.zeros((1 << BITS, words.shape[1]), np.float32), np.zeros(words.shape[1]), np.ones(words.shape[1]))
