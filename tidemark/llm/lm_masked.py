@@ -206,7 +206,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
                 trainer.learn(words, near)
         yield pa.RecordBatch.from_arrays([pa.array([trainer.net.flat().tobytes()])], ["net"])
 
-    row = seed.coalesce(1).sortWithinPartitions("o", "t").mapInArrow(first, "net binary").first()
+    row = seed.repartition(1).sortWithinPartitions("o", "t").mapInArrow(first, "net binary").first()
     start = Network.of(np.frombuffer(row.net, np.float32)) if row is not None else Network.fresh()
 
     def local(batches):
