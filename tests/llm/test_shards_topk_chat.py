@@ -45,6 +45,21 @@ def test_a_group_of_half_the_rows_takes_as_few_shards_as_it_needs(spark):
     assert len(hot) <= 6  # 4 would hold it; a hash would use 8
 
 
+@pytest.mark.parametrize("linked", [1.0, 0.96])
+def test_a_table_of_copies_is_swapped_together(spark, linked):
+    n = 16_000
+    rows = [(i, i // 2 if i < linked * n else n + i, 1, "x") for i in range(n)]
+    got = shards_of(spark, rows, 8)
+    check_even(got, 8)
+    where = {r.id: r.shard for r in got}
+    pairs = [i for i in range(0, int(linked * n), 2)]
+    assert sum(where[i] != where[i + 1] for i in pairs) < 0.1 * len(pairs)  # a hash splits 7 of 8
+
+
+def test_closed_shards_get_swaps_only():
+    assert P.quotas({(0, 1): 10, (1, 0): 4}, [50, 50], [100, 100], frozenset({1})) == {(0, 1): 0.4, (1, 0): 1.0}
+
+
 def test_shard_edge_cases(spark):
     assert shards_of(spark, []) == []
     got = shards_of(spark, [(None, None, None, "x"), (1, None, None, "x"), (1, None, None, "x"), (2, 5, 6, None), (3, 5, 6, None)])

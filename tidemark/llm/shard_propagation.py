@@ -2,7 +2,7 @@
 
 Linked rows (members of one group) should share a shard, and shards should hold equally many rows. Rows begin in the shard of a
 hash of their id. In every round each group names the open shard that holds most of it, and members elsewhere move there as far
-as quotas allow; unlinked rows fill the shards up at the end, as moving them cuts nothing. The unit that moves is an atom: the
+as quotas allow; those that no open shard attracts name the full one that holds most and move there in exchange for as many; unlinked rows fill the shards up at the end, as moving them cuts nothing. The unit that moves is an atom: the
 rows of a group with one hash chunk, so a small group's rows move one by one, a group of a third of all rows in parts of a
 shard's hundredth, and neither is ever gathered. The result follows from ids, groups and counts, not from partitions.
 """
@@ -16,7 +16,7 @@ from tidemark.session import stored
 #: Hash chunks of a group's rows; a multiple of no shard count is needed.
 CHUNKS = 1024
 ROUNDS = 10
-#: Quotas fill a shard up to the first share of its capacity, as they are met on average only; beyond the second it takes no more moves.
+#: Quotas fill a shard up to the first share of its capacity, as they are met on average only; beyond the second it takes swaps only.
 FILL, OPEN = 0.98, 0.95
 #: Rows of one window partition while rows are numbered, about.
 RUN = 50_000
@@ -27,11 +27,11 @@ def _share(seed: int, *keys: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / float(1 << 30)
 
 
-def quotas(flow: dict[tuple[int, int], int], load: list[int], capacity: list[int]) -> dict[tuple[int, int], float]:
-    """The share of each wanted (from, to) flow that may move: swaps between two shards, then what is left of a shard's room."""
+def quotas(flow: dict[tuple[int, int], int], load: list[int], capacity: list[int], closed: frozenset[int] = frozenset()) -> dict[tuple[int, int], float]:
+    """The share of each wanted (from, to) flow that may move: swaps between two shards, then what is left of a shard's room, unless it is closed."""
     granted = {pair: min(n, flow.get(pair[::-1], 0)) for pair, n in flow.items()}
     for to in range(len(load)):
-        room = max(0, int(FILL * capacity[to]) - load[to])
+        room = 0 if to in closed else max(0, int(FILL * capacity[to]) - load[to])
         rest = sum(flow[p] - granted[p] for p in flow if p[1] == to)
         for p in flow:
             if p[1] == to and rest:
@@ -52,10 +52,12 @@ def propagate(atoms: DataFrame, shards: int, capacity: list[int], rounds: int =
                 load[row.shard] = row.n
         open_ = [t for t in range(shards) if load[t] < OPEN * capacity[t]]
         liked = F.struct(F.col("here").alias("n"), F.xxhash64(*key, "shard").alias("o"), F.col("shard").alias("s"))
-        best = held.where(F.col("shard").isin(open_) if open_ else F.lit(False)).groupBy(*key).agg(F.max(liked).alias("top"))
+        is_open = F.col("shard").isin(open_) if open_ else F.lit(False)
+        best = held.groupBy(*key).agg(F.max(F.when(is_open, liked)).alias("top"), F.max(F.when(~is_open, liked)).alias("full"))
         named = (atoms.join(held, [*key, "shard"]).join(best, key, "left")
                  .withColumn("rank", F.struct(F.col("here").alias("n"), F.xxhash64(*key, "shard").alias("o"), F.col("shard").alias("s")))
-                 .withColumn("want", F.when(F.col("top") > F.col("rank"), F.col("top.s")))
+                 .withColumn("want", F.when(F.col("top") > F.col("rank"), F.col("top.s"))
+                             .when(F.col("full") > F.col("rank"), F.col("full.s")))
                  .select(*key, "chunk", "n", "shard", "want"))
         named = stored(named)
         counts = named.groupBy("shard", "want").agg(F.sum("n").alias("n")).collect()  # at most shards x (shards + 1) rows
@@ -63,7 +65,8 @@ def propagate(atoms: DataFrame, shards: int, capacity: list[int], rounds: int =
         flow = {(row.shard, row.want): row.n for row in counts if row.want is not None}
         if not flow:
             return named.drop("want")
-        allowed = [(a, b, share) for (a, b), share in quotas(flow, load, capacity).items() if share > 0]
+        shares = quotas(flow, load, capacity, frozenset(range(shards)) - frozenset(open_))
+        allowed = [(a, b, share) for (a, b), share in shares.items() if share > 0]
         if not allowed:
             return named.drop("want")
         values = ", ".join(f"({a}, {b}, {share!r}D)" for a, b, share in allowed)
@@ -71,7 +74,7 @@ def propagate(atoms: DataFrame, shards: int, capacity: list[int], rounds: int =
         moved = (F.col("share").isNotNull()) & (_share(r, *key, "chunk") < F.col("share"))
         atoms = named.join(grant, ["shard", "want"], "left").select(
             *key, "chunk", "n", F.when(moved, F.col("want")).otherwise(F.col("shard")).alias("shard"))
-        for (a, b), share in quotas(flow, load, capacity).items():
+        for (a, b), share in shares.items():
             load[a] -= int(flow[a, b] * share)
             load[b] += int(flow[a, b] * share)
     return atoms
