@@ -37,6 +37,18 @@ def test_layouts():
     assert H.main_text(f"<div>{PROSE}<ul><li>One, item<li>Two</ul><table><tr><td>a<td>b</table></div>") == TEXT + "\nOne, item\nTwo\na\nb"
 
 
+def test_sectioned_pages_keep_every_section():
+    def prose(name):
+        return f"{name} " + "word " * 58 + "end."
+
+    for n, size, tag in ((2, 2, "div"), (3, 1, "div"), (3, 1, "section"), (4, 2, "section"), (6, 3, "div")):
+        for head in ("", "<h2>Title</h2>"):
+            parts = [[prose(f"s{i}p{j}") for j in range(size)] for i in range(n)]
+            inner = "".join(f"<{tag}>{head}" + "".join(f"<p>{p}</p>" for p in ps) + f"</{tag}>" for ps in parts)
+            got = H.main_text(f"<html><body><nav><a href=1>Home</a></nav>{inner}<footer>foot</footer></body></html>")
+            assert got == "\n".join(x for ps in parts for x in (["Title"] if head else []) + ps)
+
+
 def test_broken_pages():
     assert [H.main_text(x) for x in (None, "", "   ", "<", "<div>", "<script>x", "<!-- open")] == ["", "", "", "<", "", "", ""]
     assert H.main_text("just text &lt; here") == "just text < here"

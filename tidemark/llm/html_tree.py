@@ -236,7 +236,7 @@ def scored(order: list[Node]) -> None:
         while up is not None and level <= LEVELS:
             up.score += points * share
             level += 1
-            up, share = up.parent, 1 / (2 * level)
+            up, share = up.parent, 1 / level
 
 
 def link_list(node: Node) -> bool:
@@ -268,14 +268,14 @@ def article(root: Node) -> list[Node]:
     parent = best.parent
     if parent is None:
         return [best]
-    least = max(10.0, worth(best) * 0.2)
+    least = worth(best) * 0.2
     kept = []
     for part in parent.parts:
         if isinstance(part, str):
             continue
         density = part.link_chars / max(part.chars, 1)
         text = part.chars
-        if part is best or worth(part) >= least or part.tag == best.tag == "article" and text and density < 0.5:
+        if part is best or worth(part) >= least > 0 or part.tag == best.tag == "article" and text and density < 0.5:
             kept.append(part)
         elif part.tag == "p" and (text > 80 and density < 0.25 or 0 < text <= 80 and not part.link_chars and "." in "".join(blocks(part))):
             kept.append(part)
