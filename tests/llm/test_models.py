@@ -137,6 +137,37 @@ def test_pseudo_likelihood(spark, odd, none):
     M.train(odd)
 
 
+def test_rare_words_are_told_apart(spark):
+    frequent = " ".join(f"f{i}" for i in range(M.WORDS - M.BUCKETS))
+    rows = [(1, f"{frequent} " * 3), (2, "rare rare f1 once"), (2, "rare rare f1 once"), (3, None), (4, "f1 unseen, rare")]
+    docs = spark.createDataFrame(rows[:4], "doc_id long, text string")
+    vocab = M.vocabulary(docs)
+    vocab = vocab[~np.isin(vocab, M.word_hashes([b"rare once"])[0])]
+    scored = M.score(spark.createDataFrame(rows, docs.schema), vocab, M.Network.fresh()).cache()
+    counts = {}
+    for text in [t for _, t in rows[:4] if t]:
+        for w in text.split():
+            h = M.word_hashes([w.encode()])[0]
+            if h[0] not in vocab:
+                counts.setdefault(int(M.word_numbers(h, vocab)[0]), []).append(w)
+
+    def more(text):
+        out = 0
+        for w in (text or "").split():
+            h = M.word_hashes([w.encode()])[0]
+            if h[0] not in vocab:
+                same = counts.get(int(M.word_numbers(h, vocab)[0]), [])
+                out += np.log(max(same.count(w), 1) / (len(same) + 1))
+        return out
+
+    before = {(r.doc_id, r.text): r.pll for r in scored.collect()}
+    got = M.spelled(scored, docs, vocab).collect()
+    assert len(got) == len(rows) and got[0].__fields__ == scored.columns
+    for r in got:
+        assert abs(r.pll.log_prob - before[r.doc_id, r.text].log_prob - more(r.text)) < 1e-9
+        assert r.pll.words == len((r.text or "").split()) and (r.pll.mean is None) == (r.text is None)
+
+
 def test_log_probs_sum_to_one_and_match_plain_sums():
     net = M.Network.fresh()
     rng = np.random.default_rng(4)

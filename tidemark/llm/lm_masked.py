@@ -2,7 +2,8 @@
 
 The hidden layer adds one learnt row per neighbour and its place; the output is a softmax over word classes, then over the words of
 the class. A document's score is the sum of the log-probabilities of its words. The vocabulary is the most frequent words of all
-documents; other words share hashed buckets. Training starts from a bounded sample of documents, then every task goes over all its
+documents; other words share hashed buckets, and ``spelled`` multiplies a bucket's probability by that of the word in it, from a table
+of the counts of all words that is joined and never gathered. Training starts from a bounded sample of documents, then every task goes over all its
 documents from that model, and the tasks' weights are averaged by words seen: what is gathered grows with the corpus.
 
 Words are runs of anything but blanks, ASCII letters lower-cased. Null and empty texts have no word: score 0, no mean.
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.text_arrays import bounded_sample, plain, sliced, summed_blocks, with_computed, word_hashes
+from tidemark.session import stored
 
 CLASSES, PER_CLASS, BUCKETS = 32, 32, 64
 WORDS = CLASSES * PER_CLASS
@@ -144,8 +146,8 @@ class Trainer:
                 net.near[k, used] -= RATE * grad / np.sqrt(self.seen[0][k, used])
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = WORDS - BUCKETS) -> np.ndarray:
-    """Hashes of the most frequent words of all documents, most frequent first; equal counts by hash."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): the hash and count of every word of all documents."""
     def count(batches):
         keys, counts, held = [], [], 0
 
@@ -168,8 +170,12 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = WORDS - BUCK
         if held:
             yield rows()
 
-    words = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(size).collect()
+    return docs.select(F.col(text_col).alias("t")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", size: int = WORDS - BUCKETS, counts: DataFrame | None = None) -> np.ndarray:
+    """Hashes of the most frequent words of all documents, most frequent first; equal counts by hash."""
+    top = (word_counts(docs, text_col) if counts is None else counts).orderBy(F.desc("n"), "word").limit(size).collect()
     return np.array([r.word for r in top], np.int64).view(np.uint64)
 
 
@@ -190,9 +196,9 @@ def read(texts: list[bytes], vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return words, contexts(words, bounds), bounds
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, Network]:
-    """Vocabulary and network of ``docs``."""
-    vocab = vocabulary(docs, text_col)
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> tuple[np.ndarray, Network]:
+    """Vocabulary and network of ``docs``, whose ``word_counts`` may be given."""
+    vocab = vocabulary(docs, text_col, counts=counts)
     chosen = F.broadcast(bounded_sample(docs.select(F.col(id_col).alias("id")).where("id is not null"), ["id"], SEED_DOCS).distinct())
     seed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(chosen, "id").select(
         F.xxhash64(F.col("id").cast("string")).alias("o"), "t")
@@ -241,3 +247,47 @@ def score(docs: DataFrame, vocab: np.ndarray, net: Network, text_col: str = "tex
 
     kind = T.StructType([T.StructField("words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean", T.DoubleType())])
     return with_computed(docs, text_col, out, kind, step)
+
+
+def spelled(scored: DataFrame, docs: DataFrame, vocab: np.ndarray, text_col: str = "text", out: str = "pll",
+            counts: DataFrame | None = None) -> DataFrame:
+    """``scored`` with the scores of words in place of those of their buckets, by the word counts of ``docs``, which may be given.
+
+    A word seen n times has n / (N + 1) of its bucket of N words, all unseen words of a bucket together the rest. Only the
+    words of each text go through the join, the sums per text come back; the 64 bucket totals are all that the driver sees.
+    """
+    known = np.sort(vocab)
+
+    def rare(hashes: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.ones(len(hashes), bool)
+        return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] != hashes
+
+    def listed(batches):
+        for batch in sliced(batches):
+            hashes, bounds = word_hashes(plain(batch, "t"))
+            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            keep = rare(hashes)
+            hashes, text = hashes[keep], text[keep]
+            order = np.lexsort((hashes, text))
+            hashes, text = hashes[order], text[order]
+            heads = np.flatnonzero((np.diff(hashes, prepend=np.uint64(0)) != 0) | (np.diff(text, prepend=-1) != 0))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(text[heads])), pa.array(hashes[heads].view(np.int64)),
+                                              pa.array(np.diff(heads, append=len(hashes)))], ["key", "word", "times"])
+
+    bucket = F.shiftrightunsigned("word", 57) % BUCKETS
+    counts = stored((word_counts(docs, text_col) if counts is None else counts).join(F.broadcast(  # the vocabulary: at most WORDS rows
+        docs.sparkSession.createDataFrame([(int(w),) for w in vocab.view(np.int64)], "word long")), "word", "left_anti"))
+    totals = [0] * BUCKETS
+    for row in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect():
+        totals[row.b] = row.n
+    total = F.element_at(F.array(*[F.lit(float(np.log(n + 1))) for n in totals]), (bucket + 1).cast("int"))
+    keyed = scored.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    uses = keyed.select(F.col("__key").alias("key"), F.col(text_col).alias("t")).mapInArrow(listed, "key long, word long, times long")
+    sums = uses.join(counts, "word", "left").groupBy("key").agg(
+        F.sum(F.col("times") * (F.log(F.coalesce("n", F.lit(1)).cast("double")) - total)).alias("more"))
+    copies = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__copies"))
+    more = sums.join(copies, F.col("key") == F.col("__key")).select("__key", (F.col("more") / F.col("__copies")).alias("__more"))
+    words, value = F.col(f"{out}.words"), F.col(f"{out}.log_prob") + F.coalesce("__more", F.lit(0.0))
+    new = F.struct(words.alias("words"), value.alias("log_prob"), F.when(words > 0, value / words).alias("mean"))
+    return keyed.join(more, "__key", "left").withColumn(out, new).select(*scored.columns)

@@ -146,6 +146,8 @@ def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocab, net = lm_masked.train(docs)
-    return lm_masked.score(docs, vocab, net).select("doc_id", F.col("pll.words").alias("n_words"), F.col("pll.log_prob").alias("log_prob"),
+    counts = stored(lm_masked.word_counts(docs))
+    vocab, net = lm_masked.train(docs, counts=counts)
+    scored = lm_masked.score(docs, vocab, net)
+    return lm_masked.spelled(scored, docs, vocab, counts=counts).select("doc_id", F.col("pll.words").alias("n_words"), F.col("pll.log_prob").alias("log_prob"),
                                                     F.col("pll.mean").alias("mean_log_prob"))
