@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (
-    chat_parts, decontaminate_lsa, html_tree, langid_ecoc, lm_masked, sentencepiece_nbest, shard_propagation, simhash_bk, topk_nra, toxicity_ftrl,
+    chat_parts, decontaminate_lsa, html_tree, langid_ecoc, lm_masked, minhash_fss, sentencepiece_nbest, shard_propagation, simhash_bk, topk_nra, toxicity_ftrl,
 )
 from tidemark.llm.text_arrays import fold_of
 from tidemark.session import stored
@@ -151,3 +151,27 @@ def op10_lm_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_masked.score(docs, vocab, net)
     return lm_masked.spelled(scored, docs, vocab, counts=counts).select("doc_id", F.col("pll.words").alias("n_words"), F.col("pll.log_prob").alias("log_prob"),
                                                     F.col("pll.mean").alias("mean_log_prob"))
+
+
+@query(r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+h AS (SELECT s FROM s GROUP BY s HAVING count(*) > 1),
+k AS (SELECT r, s FROM s WHERE s IN (SELECT s FROM h)),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM k a JOIN k b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT r AS a, r AS b FROM n UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b),
+m AS (SELECT c.a, min(w.doc_id) AS m FROM c JOIN w ON w.r = c.b GROUP BY c.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN w.doc_id ELSE m.m END AS component_id,
+  coalesce(w.doc_id = CASE WHEN n.n IS NULL THEN w.doc_id ELSE m.m END, false) AS kept
+FROM w LEFT JOIN n ON n.r = w.r LEFT JOIN m ON m.a = w.r
+""")
+def op13_minhash_fss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document, by five words at a similarity of 0.85 or more."""
+    return minhash_fss.near_duplicates(table(spark, sf_dir, "documents"))
