@@ -27,8 +27,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates: a similarity of 0.8 or more by five words."""
-    return simhash_bk.keep_alike(docs)
+    """One document, that of the smallest id, of each group of near-duplicates: three words, at most two bits apart."""
+    return simhash_bk.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
