@@ -65,65 +65,17 @@ def test_tree_search_equals_all_pairs():
                                                 if int(v[i] ^ v[j]).bit_count() <= 2}
 
 
-def five_words(text):
-    words = (text or "").encode().lower().split()
-    return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def alike_components(texts):
-    """All pairs of Jaccard 0.8 or more that share a shingle, or have none, as components."""
-    sets, holders, root = [five_words(t) for t in texts], {}, list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for j, s in enumerate(sets):
-        shared = {}
-        for g in s or [None]:
-            for i in holders.setdefault(g, []):
-                shared[i] = shared.get(i, 0) + 1
-            holders[g].append(j)
-        for i, n in shared.items():
-            if not s or 5 * n >= 4 * (len(s) + len(sets[i]) - n):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(texts))]
-
-
-@pytest.mark.parametrize("tree", [8, 2048])
-def test_similar_texts_equal_brute_force(spark, tree):
-    rng = np.random.default_rng(8)
-    rows = [("", 1), (None, 2), ("one two", 3), ("ONE  two", 4), ("one two three", 5)]
-    for group in range(30):
-        words = [f"w{x}" for x in rng.integers(0, 3000, 120)]
-        for _ in range(rng.integers(1, 30)):  # edits of single words: similarities of 0.6 to 1 within a group
-            copy = list(words)
-            for at in rng.integers(0, 120, rng.integers(0, 5)):
-                copy[at] = f"x{rng.integers(0, 3000)}"
-            rows.append((" ".join(copy), len(rows) + 1))
-    docs = spark.createDataFrame(rows, "text string, doc_id long")
-    want = alike_components([t for t, _ in rows])
-    from tidemark.llm.components import components
-    got = {r.node: r.root for r in components(S.alike_links(docs, tree=tree)).collect()}
-    nodes = [r.n for r in docs.orderBy("doc_id").select(S._node("text").alias("n")).collect()]
-    found = [got.get(n, n) for n in nodes]
-    assert len(set(zip(found, want))) == len(set(want)) == len(set(found))
-    assert {r.doc_id for r in S.keep_alike(docs).collect()} == {rows[r][1] for r in want}
-
-
 def test_stage_keeps_what_brute_force_keeps(spark):
     import corpus_pipeline
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
-    want = alike_components([t for _, t in rows])
+    fps = {r.doc_id: simhash(r.text) for r in docs.select("doc_id", "text").collect()}
+    ids = sorted(fps)
     got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "/root/testdata/sf0.1").collect()}
-    assert got == {rows[r][0] for r in want}
+    assert got == set(near_components(ids, [fps[i] for i in ids], 2).values())
 
 
 def test_a_repeated_id_loses_no_group(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
-    rows = [(1, a, "x"), (1, b, "x"), (2, b + " end", "x"), (None, a, "x"), (None, "alone here now", "x"), (1, a, "x")]
-    kept = S.keep_alike(spark.createDataFrame(rows, SCHEMA)).collect()
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "x"), (None, a, "x"), (None, "alone here now", "x"), (1, a, "x")]
+    kept = S.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "alone here now"), (1, a), (1, b)]

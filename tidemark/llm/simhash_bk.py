@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm.components import components
 from tidemark.llm.text_arrays import mapped, plain
@@ -205,133 +205,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The documents without those that have a near-duplicate of smaller id; one row of each group stays.
-
-    Of rows that repeat an id the one with the smallest text stays. A row without id names no document: it stays.
-    """
-    groups = near_groups(docs, id_col, text_col, width, radius)
-    chosen = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    kept = docs.join(chosen, id_col, "left_semi").select("*", rank.alias("__rank")).where("__rank = 1").drop("__rank")
-    return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
-
-
-#: MinHash keys of a text in the search by similarity: bands, and hashes of a band. A pair of 0.8 shares none once in 70,000.
-MIN_BANDS, MIN_ROWS = 28, 5
-#: Bits that the fingerprints of similar texts differ in at most; a pair of 0.8 differs in about 10.
-WIDE = 24
-_MIN_XOR, _MIN_ODD = (np.random.default_rng(11).integers(1, 2**63, (2, MIN_BANDS * MIN_ROWS, 1), dtype=np.uint64) | np.uint64(1))
-
-
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """Distinct XXH64 of a text's shingles, ascending; empty without words."""
-    words = text.lower().split()
-    grams = (b" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))) if words else ()
-    return np.unique(np.frombuffer(b"".join(xxhash.xxh64_digest(g, SEED) for g in grams), ">u8").astype(np.uint64))
-
-
-def min_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key per band of MinHashes; a set without elements has a single key."""
-    if not len(shingles):
-        return np.zeros(1, np.int64)
-    least = np.full(MIN_BANDS * MIN_ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        np.minimum(least, ((shingles[None, at:at + 4096] ^ _MIN_XOR) * _MIN_ODD).min(axis=1), out=least)
-    rows = least.reshape(MIN_BANDS, MIN_ROWS)
-    return np.array([int.from_bytes(xxhash.xxh64_digest(row.tobytes(), band), "big", signed=True) for band, row in enumerate(rows)], np.int64)
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows of different ids or texts apart, in three numbers."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(1), text).alias("__t2"), F.xxhash64(id_col).alias("__rid")]
 
 
-def _node(text_col: str) -> Column:
-    """A number for the text: equal texts have the same one."""
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-
-
-def _comparable(a: Column, b: Column, over: int, under: int) -> Column:
-    """Whether sets of these sizes can be as similar as over / under."""
-    return F.least(a, b) * under >= F.greatest(a, b) * over
-
-
-def _far_pairs(batches, radius: int):
-    """Of each row's members (node, fp, r), the pairs within the radius whose r differ, found by a BK-tree."""
-    for batch in batches:
-        for members in batch.column("members"):
-            node, fp, r = (np.array([m[k] for m in members.as_py()], np.int64) for k in ("node", "fp", "r"))
-            values, of = np.unique(fp.view(np.uint64), return_inverse=True)
-            x, y = BKForest(values, np.zeros(len(values), np.int64)).within(values, np.zeros(len(values), np.int64), radius)
-            order, count = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(values))
-            first, n = np.cumsum(count) - count, count[x] * count[y]
-            for lo in range(0, len(x), 4096):  # expanded a bounded number of value pairs at a time
-                part = slice(lo, lo + 4096)
-                at = np.arange(int(n[part].sum())) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-                width = np.repeat(count[y[part]], n[part])
-                i = order[np.repeat(first[x[part]], n[part]) + at // width]
-                j = order[np.repeat(first[y[part]], n[part]) + at % width]
-                keep = (node[i] < node[j]) & (r[i] != r[j])
-                yield pa.RecordBatch.from_arrays([pa.array(node[i][keep]), pa.array(node[j][keep])], ["a", "b"])
-
-
-def alike_links(docs: DataFrame, text_col: str = "text", width: int = 5, over: int = 4, under: int = 5, radius: int = WIDE,
-                tree: int = TREE) -> DataFrame:
-    """Links (a, b) of texts (by ``_node``) whose shingle sets have a Jaccard similarity of over / under or more.
-
-    Texts with a MinHash key in common and fingerprints within the radius are compared by their whole shingle sets, in a join.
-    Members of a key are first compared with its least one; then BK-trees give the pairs that these links have not joined yet,
-    so a large group of near copies makes a few pairs per member. Keys beyond ``tree`` members are searched in pairs of chunks.
-    """
-    narrow = docs.select(_node(text_col).alias("node"), F.col(text_col).alias("t"))
-
-    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = plain(batch, "t")
-        fps = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-        sets = [shingle_set(t, width) for t in texts]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()),
-                                           pa.array([min_keys(s) for s in sets], pa.list_(pa.int64()))], ["node", "fp", "n", "keys"])
-
-    keyed = narrow.mapInArrow(mapped(prints), "node long, fp long, n long, keys array<long>").dropDuplicates(["node"])
-    keyed = stored(keyed.select("node", "fp", "n", F.explode("keys").alias("k")))
-    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "fp", "n")).alias("c")).where("size > 1")
-    met = stored(keyed.join(sizes, "k"))
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_set(t, width).view(np.int64) for t in plain(batch, "t")]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "s"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.distinct())
-        named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        whole = stored(narrow.join(named, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(mapped(sets), "node long, s array<long>"))
-        both = pairs.join(whole.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
-            whole.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        same, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-        return stored(both.where(same * (over + under) >= total * over).select("a", "b"))
-
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= radius
-    star = verified(met.where((F.col("node") != F.col("c.node")) & near & _comparable(F.col("n"), F.col("c.n"), over, under))
-                    .select(F.col("c.node").alias("a"), F.col("node").alias("b")))
-    rooted = met.drop("c").join(components(star), "node", "left").select("k", "node", "fp", "size", F.coalesce("root", "node").alias("r"))
-    rooted = stored(rooted)
-    apart = rooted.groupBy("k").agg(F.min("r").alias("r1"), F.max("r").alias("r2")).where("r1 != r2").select("k")
-    chunked = rooted.join(apart, "k").withColumn("c", F.when(F.col("size") <= tree, 1).otherwise(F.ceil(F.col("size") / (tree // 2))).cast("int"))
-    chunked = chunked.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).select(
-        "k", "node", "fp", "r", "mine", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
-    lists = chunked.groupBy("k", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y")).agg(
-        F.collect_list(F.struct("node", "fp", "r")).alias("members"), F.min("r").alias("r1"), F.max("r").alias("r2")).where("r1 != r2")
-    return star.union(verified(lists.select("members").mapInArrow(lambda it: _far_pairs(it, radius), "a long, b long")))
-
-
-def keep_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, over: int = 4, under: int = 5) -> DataFrame:
-    """One row of each group of texts that links of ``alike_links`` join: that of the smallest id, then of the smallest text number.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest id, of rows that share it one.
 
     Rows are told apart by id and text, so a repeated id loses no group; a row without an id stays only where no other of its group has one.
     """
-    roots = components(alike_links(docs, text_col, width, over, under))
-    numbered = docs.withColumn("__node", _node(text_col))
-    none, mine = F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")
-    least = numbered.groupBy("__node").agg(F.min(F.struct(none, mine)).alias("first"))
-    least = least.join(roots.withColumnRenamed("node", "__node"), "__node", "left").withColumn("root", F.coalesce("root", "__node"))
-    best = least.groupBy("root").agg(F.min(F.struct("first.none", "first.id", "__node")).alias("b")).select(
-        F.col("b.id").alias("__id"), F.col("b.__node").alias("__best"))
-    chosen = numbered.join(best, (F.col("__node") == F.col("__best")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *_row_key(id_col, text_col))
+    keyed = docs.select(key.alias("__key"), F.col(text_col).alias("__text"))
+    distinct = stored(fingerprints(keyed, "__key", "__text", width).groupBy("fp").agg(F.min("__key").alias("least")))
+    comps = components(near_links(distinct.select("fp"), radius))
+    joined = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = joined.groupBy("root").agg(F.min("least").alias("b")).select("b.__t1", "b.__t2", "b.__rid")
+    names = ["__t1", "__t2", "__rid"]
+    chosen = docs.select("*", *_row_key(id_col, text_col)).join(best, names, "left_semi")
     rows = F.struct(*docs.columns)
-    return chosen.groupBy("__node", id_col).agg(F.min_by(rows, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    return chosen.groupBy(*names).agg(F.min_by(rows, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
