@@ -8,8 +8,8 @@ The index follows the variable-length gram method. A word stands between a begin
 earlier one is left out. The frequent grams are those with more than 1 / ``GRAMS`` of all gram occurrences, so there are fewer than
 ``GRAMS`` of them whatever the corpus, and they are all that a task needs to know.
 An edit spoils the grams around it, of a word at most its ``affected`` number; near words share all others. So one of any affected + 1
-grams of a word is in the near word, at its place or one further: the rarest are looked up, a pair must share as
-many grams as both words' bounds demand, and the edit distance decides. Words so short that every gram may be affected have no bound;
+grams of a word is in the near word, at its place or one further: the rarest are looked up, a pair must share as many grams as
+both words' bounds demand, by a 64-bit parity of the grams that two words do not share, and the edit distance decides. Words so short that every gram may be affected have no bound;
 two such words are near only if they agree before or behind the middle, and are met by their halves.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.text_arrays import plain, sliced
 from tidemark.session import stored
 
-Q_MIN, Q_MAX = 2, 4
+Q_MIN, Q_MAX = 2, 3
 #: Bound of the number of frequent grams, and the fewest occurrences of one.
 GRAMS, FEWEST = 20_000, 16
 #: Words counted in a task before they are handed on.
@@ -118,10 +118,10 @@ def _signed(text: str) -> int:
 
 
 def indexed(words: DataFrame, frequent: dict[str, int], q_min: int = Q_MIN, q_max: int = Q_MAX) -> DataFrame:
-    """(word, len, bound, grams, places, rare) per word: how many grams a near word shares at least, hashes of all grams (repeats told
-    apart), (hash, place) of all, and those to look up. A word without a bound looks up none."""
+    """(word, len, bound, m, parity, places, rare) per word: how many of its m grams a near word shares at least, a bit per hashed gram
+    that occurs an odd number of times, (hash, place) of all grams, and those to look up. A word without a bound looks up none."""
     place = pa.list_(pa.struct([("g", pa.int64()), ("p", pa.int32())]))
-    schema = pa.schema([("word", pa.string()), ("len", pa.int32()), ("bound", pa.int32()), ("grams", pa.list_(pa.int64())),
+    schema = pa.schema([("word", pa.string()), ("len", pa.int32()), ("bound", pa.int32()), ("m", pa.int32()), ("parity", pa.int64()),
                         ("places", place), ("rare", place)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,37 +130,40 @@ def indexed(words: DataFrame, frequent: dict[str, int], q_min: int = Q_MIN, q_ma
             for word in batch.column("word").to_pylist():
                 marked = f"{BEGIN}{word}{END}"
                 found = decompose(marked, frequent, q_min, q_max)
-                spoilt, times = affected(found, len(marked), q_max), Counter()
-                grams = []
-                for _, g in found:
-                    times[g] += 1
-                    grams.append(_signed(f"{times[g]}{g}"))
+                spoilt, parity = affected(found, len(marked), q_max), 0
                 places = [{"g": _signed(g), "p": p} for p, g in found]
+                for at in places:
+                    parity ^= 1 << (at["g"] & 63)
                 order = sorted(range(len(found)), key=lambda k: (frequent.get(found[k][1], 0), found[k]))
                 bound = len(found) - spoilt
-                rows.append({"word": word, "len": len(word), "bound": bound, "grams": grams, "places": places,
-                             "rare": [places[k] for k in order[:spoilt + 1]] if bound > 0 else []})
+                rows.append({"word": word, "len": len(word), "bound": bound, "m": len(found), "parity": parity - (parity >> 63 << 64),
+                             "places": places, "rare": [places[k] for k in order[:spoilt + 1]] if bound > 0 else []})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     kind = "array<struct<g:long,p:int>>"
-    return words.select("word").mapInArrow(run, f"word string, len int, bound int, grams array<long>, places {kind}, rare {kind}")
+    return words.select("word").mapInArrow(run, f"word string, len int, bound int, m int, parity long, places {kind}, rare {kind}")
 
 
 def near_pairs(words: DataFrame, q_min: int = Q_MIN, q_max: int = Q_MAX, grams: int = GRAMS, fewest: int = FEWEST) -> DataFrame:
     """(a, b), a before b, of all near pairs of distinct ``word``."""
     index = stored(indexed(words, frequent_grams(words, q_min, q_max, grams, fewest), q_min, q_max))
-    key = lambda weak, g, p, n: F.struct(F.lit(weak).alias("weak"), g.alias("g"), p.alias("p"), n.alias("n"))
-    g, p, n = F.col("at.g"), F.col("at.p"), F.col("len")
-    lists = index.select("word", "bound", "grams", "len", F.explode("places").alias("at"))
-    lists = lists.select("word", "bound", "grams", F.explode(F.when(F.col("bound") > 0, F.array(key(False, g, p, n))).otherwise(
-        F.array(key(False, g, p, n), key(True, g, p, n)))).alias("k"))
+    weak_lengths = [r.len for r in index.where("bound <= 0").select("len").distinct().collect()]  # short words only
+    key = lambda weak, p, n: F.xxhash64(F.lit(weak), F.col("at.g"), p, n)
+    p, n, kept = F.col("at.p"), F.col("len"), ["word", "bound", "m", "parity"]
+    lists = index.select(*kept, "len", F.explode("places").alias("at"))
+    mine = F.array(key(0, p, n))
+    if weak_lengths:
+        mine = F.when(F.col("bound") > 0, mine).otherwise(F.array(key(0, p, n), key(1, p, n)))
+    lists = lists.select(*[F.col(c).alias(f"y_{c}") for c in kept], F.explode(mine).alias("k"))
     # a word of equal length has the gram at its place, a longer one there or one further; shorter ones without a bound look up nothing
-    asked = index.select("word", "bound", "grams", "len", F.explode("rare").alias("at")).select("word", "bound", "grams", F.explode(F.array(
-        key(False, g, p, n), key(False, g, p, n + 1), key(False, g, p + 1, n + 1), key(True, g, p, n - 1), key(True, g, p - 1, n - 1))).alias("k"))
-    met = asked.select(F.col("word").alias("x"), F.col("bound").alias("xb"), F.col("grams").alias("xg"), "k").join(
-        lists.select(F.col("word").alias("y"), F.col("bound").alias("yb"), F.col("grams").alias("yg"), "k"), "k").where("x != y")
-    met = met.where((F.size(F.array_intersect("xg", "yg")) >= F.greatest("xb", "yb")) & (F.levenshtein("x", "y", 1) == 1))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(_by_halves(index)).distinct()
+    asks = F.array(key(0, p, n), key(0, p, n + 1), key(0, p + 1, n + 1))
+    if weak_lengths:
+        asks = F.when(n.isin([w + 1 for w in weak_lengths]), F.concat(asks, F.array(key(1, p, n - 1), key(1, p - 1, n - 1)))).otherwise(asks)
+    asked = index.select(*kept, "len", F.explode("rare").alias("at")).select(*[F.col(c).alias(f"x_{c}") for c in kept], F.explode(asks).alias("k"))
+    apart = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
+    alike = apart <= F.col("x_m") + F.col("y_m") - 2 * F.greatest("x_bound", "y_bound")
+    met = asked.join(lists, "k").where(alike & (F.col("x_word") != F.col("y_word")) & (F.levenshtein("x_word", "y_word", 1) == 1))
+    return met.select(F.least("x_word", "y_word").alias("a"), F.greatest("x_word", "y_word").alias("b")).union(_by_halves(index)).distinct()
 
 
 def _by_halves(index: DataFrame) -> DataFrame:
