@@ -27,7 +27,7 @@ from tidemark.operators.clean import (
 from tidemark.operators.compare import (
     append_history, common_values, frame_diffs, frames_equal, keyed_zip, union_by_name,
 )
-from tidemark.operators.distance import pairwise_l1
+from tidemark.operators.distance import nearest_l1, pairwise_l1
 from tidemark.operators.expand import explode_list, explode_range, offset_plan, page_url_plan, year_months
 from tidemark.operators.facets import cascade_options, facet_filter, facet_options
 from tidemark.operators.pages import (
@@ -44,6 +44,7 @@ from tidemark.plans.features import (
 from tidemark.plans.listings import listing_details, listing_items, listing_report, listing_table, rent_report
 from tidemark.plans.rfm import cluster_profile, kmeans_predict, kmeans_sweep, rfm, scaled_columns, standardize
 from tidemark.session import build_session, scratch_path, shared_dir, spread, stored
+from tidemark.sources.archives import read_archive_tables, register_archives, scan_archives
 from tidemark.sources.files import (
     dated_path, file_inventory, frame_from_rows, read_lines, scan_csv, scan_csv_range, scan_parquet, size_mb, sql_over,
     write_csv, write_parquet,
@@ -52,6 +53,6 @@ from tidemark.sources.sections import (
     read_sections, read_zip_lines, read_zip_tables, section_ranges, tag_sections, unzip_lines,
 )
 from tidemark.sources.synth import random_columns, random_table
-from tidemark.streaming.history import read_history, stream_history
+from tidemark.streaming.history import read_distinct_history, read_history, stream_distinct_history, stream_history
 
 __all__ = sorted(n for n, v in dict(globals()).items() if not n.startswith("_") and callable(v))

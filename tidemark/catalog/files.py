@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query, table
-from tidemark.session import scratch_path
-from tidemark.sources import files, sections, synth
-from tidemark.streaming.history import read_history, stream_history
+from tidemark.session import scratch_path, stored
+from tidemark.sources import archives, files, sections, synth
+from tidemark.streaming.history import read_distinct_history, read_history, stream_distinct_history, stream_history
 
 CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 CUSTOMER = "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
@@ -165,6 +165,25 @@ def zip_tables(spark, sf):
     return found["orders"]
 
 
+@query(SALES_SQL)
+def zip_members(spark, sf):
+    """Archives of several members each, written to the shared folder and read by one task a member."""
+    folder = scratch_path(spark, "zips")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+        store, inside = fs.FileSystem.from_uri(folder)
+        store.create_dir(inside)
+        name = f"reports{pdf['chunk'].iloc[0] // 4}.zip"
+        with store.open_output_stream(f"{inside}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for chunk, part in pdf.groupby("chunk"):
+                archive.writestr(f"report{chunk}.csv", "\n".join(part.sort_values(["place", "seq"])["text"]) + "\n")
+        return pd.DataFrame({"name": [name]})
+
+    stored(_order_sections(spark, sf).groupBy(F.floor(F.col("chunk") / 4)).applyInPandas(pack, "name STRING"))
+    return archives.read_archive_tables(spark, folder, tables=["ORDERS"], schemas=SALES_TYPES)["orders"]
+
+
 @query("""
 SELECT s.* FROM (SELECT CAST(o_orderkey AS VARCHAR) AS okey, CAST(o_custkey AS VARCHAR) AS ckey,
   row_number() OVER (PARTITION BY o_orderkey // 5000 ORDER BY o_orderkey) AS nth FROM orders) s WHERE nth <= 3
@@ -234,6 +253,22 @@ def stream_history_batches(spark, sf):
     return read_history(spark, history)
 
 
+@query("""
+WITH d AS (SELECT 0 AS part, * FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT 0, * FROM labels WHERE doc_id % 4 = 0
+  UNION ALL SELECT 1, * FROM labels WHERE doc_id % 2 = 1 UNION ALL SELECT 1, * FROM labels WHERE doc_id % 9 = 0
+  UNION ALL SELECT 2, * FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT 2, * FROM labels WHERE doc_id % 6 = 0)
+SELECT DISTINCT doc_id, quality, toxic FROM d WHERE part < 2 UNION ALL SELECT doc_id, quality, toxic FROM d WHERE part = 2
+""")
+def stream_history_stateful(spark, sf):
+    """Three deliveries, the query started anew for each: its state knows which rows are old."""
+    source, history, state = (scratch_path(spark, n) for n in ("deliveries", "history", "stream-state"))
+    labels = table(spark, sf, "labels")
+    for delivery in (*_label_batches(spark, sf), labels.filter("doc_id % 3 = 0").unionByName(labels.filter("doc_id % 6 = 0"))):
+        delivery.write.mode("append").parquet(source)
+        stream_distinct_history(spark, source, history, labels.schema, checkpoint=state).awaitTermination()
+    return read_distinct_history(spark, history)
+
+
 @query("""
 SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS bad_ints, CAST(0 AS BIGINT) AS bad_floats, CAST(0 AS BIGINT) AS bad_times,
        CAST(30 AS BIGINT) AS categories, true AS some_missing, CAST(0 AS BIGINT) AS changed FROM orders

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog import query, table
+from tidemark.catalog import ORACLES, query, table
 from tidemark.catalog.relational import PER_CUSTOMER, _rfm
 from tidemark.operators import distance, rounding
 from tidemark.plans import features, rfm as segments
@@ -259,6 +259,13 @@ def pairwise_l1_nearest(spark, sf):
     return found.withColumn("distance", F.round("distance", 4))
 
 
+@query(ORACLES["pairwise_l1_nearest"])
+def nearest_l1(spark, sf):
+    """The same neighbours by distances to pivots and the triangle inequality."""
+    found = distance.nearest_l1(table(spark, sf, "embeddings"), "vec_id", "embedding", 5, key="label")
+    return found.withColumn("distance", F.round("distance", 4))
+
+
 @query(DISTANCE_SQL.format(pairs="x.vec_id < y.vec_id") + "SELECT label, a, b, round(d, 4) AS distance FROM p")
 def pairwise_l1(spark, sf):
     """The distance matrix within each label: its cells below the diagonal."""

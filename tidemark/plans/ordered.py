@@ -1,8 +1,8 @@
 """Running sums over ordered rows that do not depend on how large one key is.
 
-Sums do not depend on the plan: floating-point values are added up as decimals of 12 places, so neither
-the size of a key nor the cut into blocks changes a digit. Values beyond 16 digits before the point, infinite
-ones and NaN take no part, like nulls.
+Sums hardly depend on the plan: floating-point values are added up as decimals of 12 places, and what a decimal does
+not hold (further places, values beyond 16 digits before the point, infinities, NaN) in a second, floating-point sum that is
+added at the end. So for values of up to 12 places neither the size of a key nor the cut into blocks changes a digit.
 
 A window over a key sends all its rows to one task. That is the cheapest plan as long as
 the largest key fits, so its size is counted first. Without keys that holds for small frames only. Beyond the limit the rows are cut into
@@ -50,10 +50,13 @@ def fits_window(df: DataFrame, keys: list[str], max_group_rows: int | None = Non
     return largest_group(df, keys) <= (limit if keys else min(limit, MAX_FRAME_ROWS))
 
 
-def exact(df: DataFrame, value: Column) -> tuple[Column, str | None]:
-    """``value`` in a form whose sums are exact, and the type that they go back to (null: as they are)."""
+def exact(df: DataFrame, value: Column) -> tuple[Column, Column | None]:
+    """``value`` in a form whose sums are exact, and for floating-point values what that form leaves out, as a double."""
     kind = df.select(value.alias("_v")).schema["_v"].dataType
-    return (value.try_cast(EXACT), "double") if isinstance(kind, (T.DoubleType, T.FloatType)) else (value, None)
+    if not isinstance(kind, (T.DoubleType, T.FloatType)):
+        return value, None
+    whole = value.try_cast(EXACT)
+    return F.when(value.isNotNull(), F.coalesce(whole, F.lit(0).cast(EXACT))), F.when(whole.isNull(), value).otherwise(value - whole.cast("double")).cast("double")
 
 
 def ordered_blocks(
@@ -91,11 +94,16 @@ def running_sums(
     """
     running = (Window.unboundedPreceding, Window.currentRow)
     parted = {name: exact(df, value) for name, value in sums.items()}
-    sums = {name: value for name, (value, _) in parted.items()}
-    back = lambda name, total: total.cast(parted[name][1]) if parted[name][1] else total
+    rests = {name: f"_rest_{name}" for name, (_, rest) in parted.items() if rest is not None}
+    sums = {name: value for name, (value, _) in parted.items()} | {rests[name]: parted[name][1] for name in rests}
+
+    def finished(df: DataFrame) -> DataFrame:
+        """The two sums of floating-point values as one."""
+        return df.withColumns({name: F.col(name).cast("double") + F.col(rest) for name, rest in rests.items()}).drop(*rests.values())
+
     if windowed:
         whole = Window.partitionBy(*keys).orderBy(*as_columns(order)).rowsBetween(*running)
-        return df.withColumns({name: back(name, F.sum(value).over(whole)) for name, value in sums.items()})
+        return finished(df.withColumns({name: F.sum(value).over(whole) for name, value in sums.items()}))
 
     parts = df if BLOCK in df.columns else ordered_blocks(df, keys, order, partitions)
     by_block = [*keys, BLOCK]
@@ -116,7 +124,7 @@ def running_sums(
         return before.cast(TOTAL) + here.cast(TOTAL) if isinstance(local.schema[name].dataType, T.DecimalType) else before + here
 
     full = {
-        n: back(n, F.when(F.col(f"_c_{n}").isNull(), F.col(n)).when(F.col(n).isNull(), F.col(f"_c_{n}"))
-                .otherwise(added(n))) for n in sums
+        n: F.when(F.col(f"_c_{n}").isNull(), F.col(n)).when(F.col(n).isNull(), F.col(f"_c_{n}"))
+        .otherwise(added(n)) for n in sums
     }
-    return joined.withColumns(full).drop(*[f"_k_{c}" for c in by_block], *[f"_c_{n}" for n in sums])
+    return finished(joined.withColumns(full).drop(*[f"_k_{c}" for c in by_block], *[f"_c_{n}" for n in sums]))

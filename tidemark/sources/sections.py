@@ -194,15 +194,36 @@ ZIP_LINES = T.StructType([
 ])
 
 
-def _unzip(tables: frozenset[str] | None, heads_only: bool):
-    """Mapper from archives to tagged lines, in bounded pieces.
+def member_lines(archive: zipfile.ZipFile, member: str, tables: frozenset[str] | None, heads_only: bool):
+    """(line_no, text, kind, section_id, table, header) of a member's lines.
 
     A member is read in order anyway, so its sections are told apart on the way: once for the
     place of its last header, which decides where a 'C,' line ends a section, and once for the lines.
     """
-    def opened(archive, member):
+    def opened():
         return io.TextIOWrapper(archive.open(member), encoding="utf-8", newline="\n")
 
+    with opened() as text:
+        last = sum(line.startswith("I,") for line in text)
+    section, header, name, ended = 0, None, None, False
+    with opened() as text:
+        for number, line in enumerate(text, 1):
+            line = line.rstrip("\r\n")
+            head = line.startswith("I,")
+            note = line.startswith("C,")
+            if head:
+                section, header = section + 1, line
+                name = [*line.split(",", 3), "", ""][2]
+            elif note and section == last:
+                ended = True
+            inside = section > 0 and not ended
+            if (head or not heads_only) and (tables is None or (inside and name in tables)):
+                yield (number, line, "I" if head else "C" if note else line[:1],
+                       *((section, name, header) if inside else (None, None, None)))
+
+
+def _unzip(tables: frozenset[str] | None, heads_only: bool):
+    """Mapper from archives to tagged lines, in bounded pieces."""
     def run(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
@@ -210,27 +231,12 @@ def _unzip(tables: frozenset[str] | None, heads_only: bool):
                     for member in archive.namelist():
                         if not member.lower().endswith(".csv"):
                             continue
-                        with opened(archive, member) as text:
-                            last = sum(line.startswith("I,") for line in text)
-                        section, header, name, ended, found = 0, None, None, False, []
-                        with opened(archive, member) as text:
-                            for number, line in enumerate(text, 1):
-                                line = line.rstrip("\r\n")
-                                head = line.startswith("I,")
-                                note = line.startswith("C,")
-                                if head:
-                                    section, header = section + 1, line
-                                    name = [*line.split(",", 3), "", ""][2]
-                                elif note and section == last:
-                                    ended = True
-                                inside = section > 0 and not ended
-                                if (head or not heads_only) and (tables is None or (inside and name in tables)):
-                                    found.append((
-                                        path, member, number, line, "I" if head else "C" if note else line[:1],
-                                        *((section, name, header) if inside else (None, None, None))))
-                                if len(found) == LINES_PER_BATCH:
-                                    yield pd.DataFrame(found, columns=ZIP_LINES.names)
-                                    found = []
+                        found = []
+                        for row in member_lines(archive, member, tables, heads_only):
+                            found.append((path, member, *row))
+                            if len(found) == LINES_PER_BATCH:
+                                yield pd.DataFrame(found, columns=ZIP_LINES.names)
+                                found = []
                         if found:
                             yield pd.DataFrame(found, columns=ZIP_LINES.names)
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import threading
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.compare import append_history
 
@@ -51,3 +54,51 @@ def read_history(spark: SparkSession, history: str, dedup_old: bool = True) -> D
     last = stored.agg(F.max(F.struct(*place)).alias("at")).first()["at"]
     is_last = (F.col(STREAM) == F.lit(last[STREAM])) & (F.col(BATCH) == F.lit(last[BATCH]))
     return append_history(stored.filter(~is_last).drop(*place), stored.filter(is_last).drop(*place), dedup_old)
+
+
+FIRST, COPIES = "_first", "_copies"
+
+
+def _first_seen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The rows of one key in a micro-batch as one line: their number, and whether an earlier micro-batch had them."""
+    copies, row = 0, None
+    for pdf in batches:
+        copies, row = copies + len(pdf), pdf.iloc[:1] if row is None else row
+    yield row.assign(**{FIRST: not state.exists, COPIES: copies})
+    state.update((True,))
+
+
+def stream_distinct_history(
+    spark: SparkSession, source: str, history: str, schema: T.StructType | str, *,
+    checkpoint: str, fmt: str = "parquet", files_per_batch: int | None = None, **options: str,
+) -> StreamingQuery:
+    """A history of one stream that knows its old rows: keyed state tells which rows of a micro-batch are new.
+
+    Rows are keyed by two hashes of all their columns. A micro-batch is stored as one line per distinct row with the number of its copies and whether
+    it is the first of its kind, so ``read_distinct_history`` finds the distinct old rows by a filter. The state lives in the
+    checkpoint: a query that starts again goes on from there, and a micro-batch that is run again replaces its own folder.
+    """
+    reader = spark.readStream.format(fmt).schema(schema).options(**options)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    rows = reader.load(source)
+    columns = rows.columns
+    keyed = rows.select("*", F.xxhash64(F.to_json(F.struct(*columns))).alias("_h1"), F.xxhash64(F.lit(1), F.to_json(F.struct(*columns))).alias("_h2"))
+    kept = T.StructType([*keyed.schema.fields, T.StructField(FIRST, T.BooleanType()), T.StructField(COPIES, T.LongType())])
+    told = keyed.groupBy("_h1", "_h2").applyInPandasWithState(
+        _first_seen, kept, T.StructType([T.StructField("seen", T.BooleanType())]), "append", GroupStateTimeout.NoTimeout)
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.drop("_h1", "_h2").write.mode("overwrite").parquet(f"{history}/{BATCH}={number}")
+
+    return (told.writeStream.foreachBatch(store).outputMode("append").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_distinct_history(spark: SparkSession, history: str) -> DataFrame:
+    """Distinct rows of the earlier micro-batches, then the last one as it came; nothing is shuffled or compared."""
+    kept = spark.read.option("basePath", history).parquet(history)
+    last = kept.agg(F.max(BATCH)).first()[0]
+    old, new = kept.where((F.col(BATCH) < last) & F.col(FIRST)), kept.where(F.col(BATCH) == last)
+    again = new.withColumn(COPIES, F.explode(F.sequence(F.lit(1).cast("long"), F.col(COPIES))))
+    return old.unionByName(again).drop(FIRST, COPIES, BATCH)
