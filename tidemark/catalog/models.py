@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import ORACLES, query, table
 from tidemark.catalog.relational import PER_CUSTOMER, _rfm
 from tidemark.operators import distance, rounding
-from tidemark.plans import features, rfm as segments
+from tidemark.plans import features, neighbours, rfm as segments
 from tidemark.session import spread, stored
 
 RFM_COLUMNS = ["recency", "frequency", "monetary_value"]
@@ -143,6 +143,38 @@ def vif_of_three(spark, sf):
     return features.vif(table(spark, sf, "lineitem"), FEATURES[:3]).withColumn("vif", F.round("vif", 4))
 
 
+def _psi_sql(n):
+    """The digamma function of a count."""
+    m = f"({n} + 6.0)"
+    return (f"(ln({m}) - 1 / (2 * {m}) - 1 / (12 * pow({m}, 2)) + 1 / (120 * pow({m}, 4)) - 1 / (252 * pow({m}, 6)) + 1 / (240 * pow({m}, 8))"
+            + "".join(f" - 1.0 / ({n} + {i})" for i in range(6)) + ")")
+
+
+def _neighbour_sql(feature, name):
+    """All pairs of orders: the third nearest distance, then the orders nearer than it on each axis."""
+    return f"""
+SELECT '{name}' AS feature, round(greatest(avg({_psi_sql("k")} - {_psi_sql("nx")} - {_psi_sql("ny")}) + {_psi_sql("count(*)")}, 0), 6) AS mutual_info FROM (
+  WITH v AS (SELECT o_orderkey AS id, CAST({feature} AS DOUBLE) AS x, o_totalprice AS y FROM orders),
+  s AS (SELECT CAST(format('{{:.5e}}', stddev_samp(x)) AS DOUBLE) AS sx, CAST(format('{{:.5e}}', stddev_samp(y)) AS DOUBLE) AS sy FROM v),
+  p AS (SELECT id, CAST(floor(x / sx * 1048576 + 0.5) AS BIGINT) AS x, CAST(floor(y / sy * 1048576 + 0.5) AS BIGINT) AS y FROM v, s),
+  e AS (SELECT a.id, any_value(a.x) AS x, any_value(a.y) AS y, list_max(min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)) AS eps
+        FROM p a JOIN p b ON a.id <> b.id GROUP BY a.id),
+  c AS (SELECT e.id, any_value(eps) AS eps, count(*) FILTER (e.x = p.x AND e.y = p.y) AS same,
+               count(*) FILTER (abs(e.x - p.x) < greatest(eps, 1)) AS nx, count(*) FILTER (abs(e.y - p.y) < greatest(eps, 1)) AS ny
+        FROM e, p GROUP BY e.id)
+  SELECT CASE WHEN eps = 0 THEN same ELSE 3 END AS k, nx, ny FROM c)"""
+
+
+@query(_neighbour_sql("o_custkey", "customer") + " UNION ALL " + _neighbour_sql("date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE))", "day"))
+def neighbour_mutual_info(spark, sf):
+    """Mutual information of the price of an order with its customer and its day."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("customer"), F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).alias("day"),
+        "o_totalprice")
+    found = neighbours.neighbour_mutual_info(orders, ["customer", "day"], "o_totalprice")
+    return found.withColumn("mutual_info", F.round("mutual_info", 6))
+
+
 def _rfe_linear_sql():
     """All fits that the elimination of two of four features can need, then the two choices."""
     names = [*FEATURES, TARGET]
