@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import ORACLES, query, table
 from tidemark.catalog.relational import PER_CUSTOMER, _rfm
 from tidemark.operators import distance, rounding
-from tidemark.plans import features, neighbours, rfm as segments
+from tidemark.plans import features, neighbours, rfm as segments, sweep
 from tidemark.session import spread, stored
 
 RFM_COLUMNS = ["recency", "frequency", "monetary_value"]
@@ -74,6 +74,29 @@ def kmeans_sweep(spark, sf):
     return segments.kmeans_sweep(_scaled(spark, sf), range(2, 10))
 
 
+# nine groups of orders at distances that triple: with k clusters the nearest ones, 0 to 9 - k, are one cluster
+SWEEP_SQL = """
+WITH p AS (SELECT o_orderkey AS id, o_custkey % 9 AS g, pow(3, o_custkey % 9) + (o_orderkey % 7) / 100.0 AS x, (o_orderkey % 11) / 100.0 AS y FROM orders),
+a AS (SELECT k, id, greatest(g - (9 - k), 0) AS c, x, y FROM p, (SELECT unnest(range(2, 10)) AS k)),
+m AS (SELECT k, c, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM a GROUP BY k, c),
+s AS (SELECT k, c, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, sum((x - mx) * (x - mx) + (y - my) * (y - my)) AS ss
+      FROM a JOIN m USING (k, c) GROUP BY k, c),
+d AS (SELECT a.k, id, a.c, s.c AS h, n, (x - mx) * (x - mx) + (y - my) * (y - my) + ss / n AS far FROM a JOIN s ON a.k = s.k),
+b AS (SELECT k, id, max(far * n / (n - 1)) FILTER (c = h) AS own, min(far) FILTER (c <> h) AS other FROM d GROUP BY k, id),
+v AS (SELECT k, avg((other - own) / greatest(other, own)) AS silhouette FROM b GROUP BY k)
+SELECT CAST(k AS INTEGER) AS k, round(ln(sum(ss)), 6) AS log_cost, round(any_value(silhouette), 6) AS silhouette FROM s JOIN v USING (k) GROUP BY k
+"""
+
+
+@query(SWEEP_SQL)
+def kmeans_sweep_shared(spark, sf):
+    """Costs and silhouettes of 2 to 9 clusters from shared passes."""
+    points = table(spark, sf, "orders").select(F.array(
+        F.pow(F.lit(3.0), F.col("o_custkey") % 9) + (F.col("o_orderkey") % 7) / 100, (F.col("o_orderkey") % 11) / 100).alias("v"))
+    found = sweep.kmeans_sweep_shared(points, features="v")
+    return found.select("k", F.round(F.log("cost"), 6).alias("log_cost"), F.round("silhouette", 6).alias("silhouette"))
+
+
 @query(PER_CUSTOMER + ", c AS (SELECT *, customer % 5 AS prediction FROM r) " + " UNION ALL ".join(
     f"SELECT prediction, '{c}' AS typ, round(avg({c}), 4) AS val FROM c GROUP BY prediction" for c in RFM_COLUMNS))
 def cluster_profile(spark, sf):
