@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import ORACLES, query, table
 from tidemark.catalog.relational import PER_CUSTOMER, _rfm
 from tidemark.operators import distance, rounding
-from tidemark.plans import features, neighbours, rfm as segments, sweep
+from tidemark.plans import features, neighbours, rfm as segments, sweep, wide
 from tidemark.session import spread, stored
 
 RFM_COLUMNS = ["recency", "frequency", "monetary_value"]
@@ -166,6 +166,26 @@ def vif_of_three(spark, sf):
     return features.vif(table(spark, sf, "lineitem"), FEATURES[:3]).withColumn("vif", F.round("vif", 4))
 
 
+@query(ORACLES["vif"])
+def wide_vif(spark, sf):
+    """The same factors from products of blocks of rows."""
+    return wide.wide_vif(table(spark, sf, "lineitem"), [*FEATURES, TARGET]).withColumn("vif", F.round("vif", 4))
+
+
+@query("""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+x AS (SELECT vec_id, CAST(i AS INTEGER) AS i, CASE WHEN i < 64 THEN e[i + 1] ELSE e[i % 64 + 1] * e[(i * 7 + i // 64) % 64 + 1] END AS v
+      FROM e, (SELECT unnest(range(300)) AS i))
+SELECT a.i, b.i AS j, round(corr(a.v, b.v), 6) AS corr FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i
+""")
+def wide_corr(spark, sf):
+    """Correlations of 300 columns: the components of a vector and products of two of them."""
+    whole = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("e"))
+    columns = whole.select(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.when(
+        i < 64, F.get("e", i)).otherwise(F.get("e", i % 64) * F.get("e", (i * 7 + F.floor(i / 64).cast("int")) % 64))).alias("v"))
+    return wide.wide_corr(columns, "v").withColumn("corr", F.round("corr", 6))
+
+
 def _psi_sql(n):
     """The digamma function of a count."""
     m = f"({n} + 6.0)"
