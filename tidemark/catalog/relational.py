@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query, table
-from tidemark.operators import aggregate, clean, compare, expand, facets, windows
+from tidemark.operators import aggregate, clean, compare, expand, facet_index, facets, hashed_diff, windows
 from tidemark.plans import rfm as segments
 from tidemark.sources.files import frame_from_rows, scan_parquet, sql_over
 
@@ -539,6 +539,41 @@ def frame_diffs(spark, sf):
     return compare.frame_diffs(labels, _altered(labels), ["doc_id"])
 
 
+_FACETS = {"status": ["F", "O"], "priority": "5-LOW"}
+
+
+def _facet_count_sql(facet, others):
+    kept = " AND ".join({"status": "status IN ('F', 'O')", "priority": "priority = '5-LOW'"}[o] for o in others)
+    return f"SELECT '{facet}' AS facet, {facet} AS value, count(*) FILTER ({kept}) AS rows FROM o GROUP BY {facet}"
+
+
+@query("WITH o AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, strftime(o_orderdate, '%Y') AS year FROM orders) " + " UNION ALL ".join([
+    _facet_count_sql("status", ["priority"]), _facet_count_sql("priority", ["status"]), _facet_count_sql("year", ["status", "priority"])]))
+def facet_counts(spark, sf):
+    """How many orders each value of three facets leaves under choices in two of them, from bitmaps."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy").alias("year"))
+    columns = ["status", "priority", "year"]
+    return facet_index.facet_counts(facet_index.facet_index(orders, columns), columns, _FACETS)
+
+
+@query("""
+WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 500 = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_custkey
+           FROM orders WHERE o_orderkey % 997 <> 3),
+j AS (SELECT a.o_orderkey, b.o_orderkey AS other, a.o_orderstatus AS qa, b.o_orderstatus AS qb, a.o_custkey AS ca
+      FROM orders a LEFT JOIN b ON a.o_orderkey = b.o_orderkey)
+SELECT o_orderkey, 'o_orderstatus' AS "column", qa AS "left", qb AS "right" FROM j WHERE qa IS DISTINCT FROM qb
+UNION ALL SELECT o_orderkey, 'o_custkey', CAST(ca AS VARCHAR), NULL FROM j WHERE other IS NULL
+UNION ALL SELECT o_orderkey, '(row)', 'present', NULL FROM j WHERE other IS NULL
+""")
+def frame_diffs_hashed(spark, sf):
+    """Changed cells of two frames that differ in few rows."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    status = F.when(F.col("o_orderkey") % 500 == 7, "X").otherwise(F.col("o_orderstatus"))
+    other = orders.withColumn("o_orderstatus", status).where("o_orderkey % 997 <> 3")
+    return hashed_diff.frame_diffs_hashed(orders, other, ["o_orderkey"])
+
+
 @query("""
 WITH b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS quality, toxic
            FROM labels WHERE doc_id % 11 <> 0
