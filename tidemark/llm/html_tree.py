@@ -49,7 +49,10 @@ MENU_LIKE = frozenset("ul ol dl div td table section".split())
 LEVELS = 6
 PARAGRAPHS = frozenset("p pre blockquote td li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# a tag without a further "<" is read at once; the last choice is a "<" that may begin a longer one
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|"
+                   r"<(/?)([a-zA-Z][^\s/><]*+)([^<>\"']*+(?:(?:\"[^\"<]*+\"|'[^'<]*+')[^<>\"']*+)*+)>|(<)(?=/?[a-zA-Z])", re.S)
+NAME_END, MARK = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 SPACES = re.compile(r"\s+")
 
@@ -71,10 +74,47 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(raw)} if raw.strip(" /\n\t") else {}
 
 
+class LongTags:
+    """Reads tags that hold a "<", in time linear in the page however many of them none closes."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.lost: set[int] = set()  # marks outside quotes from which no end was found
+        self.known: dict[re.Pattern, tuple[int, int]] = {}
+
+    def following(self, pattern: re.Pattern, at: int) -> int:
+        """The next match from ``at``, the page's length if there is none."""
+        begin, found = self.known.get(pattern, (0, -1))
+        if not begin <= at <= found:
+            m = pattern.search(self.page, at)
+            begin, found = at, m.start() if m else len(self.page)
+            self.known[pattern] = begin, found
+        return found
+
+    def read(self, at: int) -> tuple[str, str, str, int] | None:
+        """(slash, name, attributes, end) of the tag at a "<", or None."""
+        slash = "/" if self.page.startswith("/", at + 1) else ""
+        name = at + 1 + len(slash)
+        begin = self.following(NAME_END, name)
+        mark, seen = self.following(MARK, begin), []
+        while mark < len(self.page) and mark not in self.lost and self.page[mark] != ">":
+            seen.append(mark)
+            close = self.page.find(self.page[mark], mark + 1)
+            if close < 0:
+                break
+            mark = self.following(MARK, close + 1)
+        if mark < len(self.page) and self.page[mark] == ">":
+            return slash, self.page[name:begin], self.page[begin:mark], mark + 1
+        self.lost.update(seen)
+        return None
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Raw elements keep no content."""
     root = node = Node("#root")
-    at, size = 0, len(page)
+    at = text = 0
+    size = len(page)
+    long_tags = LongTags(page)
     open_tags: Counter[str] = Counter()
 
     def leave(top: Node) -> Node:
@@ -88,15 +128,21 @@ def parse(page: str) -> Node:
     while at < size:
         m = TOKEN.search(page, at)
         if m is None:
-            node.parts.append(html.unescape(page[at:]))
             break
-        if m.start() > at:
-            node.parts.append(html.unescape(page[at:m.start()]))
         at = m.end()
-        if m[2] is None:
+        slash, tag, raw = m[1], m[2], m[3]
+        if m[4]:
+            found = long_tags.read(m.start())
+            if found is None:
+                continue
+            slash, tag, raw, at = found
+        if m.start() > text:
+            node.parts.append(html.unescape(page[text:m.start()]))
+        text = at
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = tag.lower()
+        if slash:
             up = node
             while open_tags[tag] and up is not root and up.tag != tag and not (tag not in BLOCKS and up.tag in BLOCKS):
                 up = up.parent
@@ -109,22 +155,24 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.tag == "p":
                 node = leave(up)
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(open_tags[t] for t in SIBLINGS[tag]):
             up = node
             while up is not root and up.tag not in SCOPE and up.tag not in SIBLINGS[tag]:
                 up = up.parent
             if up.tag in SIBLINGS[tag]:
                 node = leave(up)
-        child = Node(tag, node, attributes(m[3] or ""))
+        child = Node(tag, node, attributes(raw))
         node.parts.append(child)
-        if tag in RAW and not (m[3] or "").rstrip().endswith("/"):
+        if tag in RAW and not raw.rstrip().endswith("/"):
             found = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
             stop = found.start() if found else size
             close = page.find(">", stop)
-            at = size if stop >= size or close < 0 else close + 1
-        elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
+            at = text = size if stop >= size or close < 0 else close + 1
+        elif tag not in VOID and not raw.rstrip().endswith("/"):
             node = child
             open_tags[tag] += 1
+    if text < size:
+        node.parts.append(html.unescape(page[text:]))
     return root
 
 
