@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import corpus_pipeline
 from tidemark.llm import decontaminate_lsa as D, html_tree as H, queries as Q
@@ -23,6 +24,17 @@ def test_every_page_equals_its_article(spark):
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
+def test_tags_that_nothing_closes():
+    """Time linear in the page, and the text of such tags is kept."""
+    for piece in ("<a ", "<a", '<a "', "<a '\"", '<a <b "', "<b>"):
+        start = time.process_time()
+        H.parse(piece * (1_000_000 // len(piece)))
+        assert time.process_time() - start < 30, piece
+    texts = H.parse("<p>1 <a 2</p><p x='<b>'>3 < 4</p><i \"open").parts
+    assert [p.tag if not isinstance(p, str) else p for p in texts] == ["p", "p", '<i "open'] and texts[1].attrs == {"x": "<b>"}
+    assert texts[1].parts == ["3 < 4"]
+
+
 def test_layouts():
     def page(before, after=""):
         return f"<html><body><header><h1>Site</h1></header>{before}{PROSE}{after}<footer>foot</footer></body></html>"
@@ -111,6 +123,10 @@ def test_leaks_edge_cases(spark):
     assert set(got) == {(1, 10), (7, 10)} and got[1, 10].overlap == 1.0
     assert sorted(r.doc_id or 0 for r in D.clean(docs, bench).collect()) == [0, 3, 4, 5, 6]
     assert D.clean(docs, bench).columns == docs.columns
+    # an item goes without an id too, and a clean text stays beside one that shares its id
+    more = docs.union(spark.createDataFrame([(None, " ".join(item), "z"), (7, "clean text", "z")], docs.schema))
+    left = [(r.doc_id, r.text) for r in D.clean(more, bench).collect()]
+    assert sorted(i or 0 for i, _ in left) == [0, 3, 4, 5, 6, 7] and (7, "clean text") in left and (None, "a b") in left
     assert D.find(docs.limit(0), bench).collect() == [] and D.find(docs, bench.limit(0)).collect() == []
 
 

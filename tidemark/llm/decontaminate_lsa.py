@@ -280,7 +280,13 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return out.withColumn(item_col, F.col(item_col).cast(item_kind))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item; a document without id stays."""
-    held = find(docs, benchmark, id_col, **options).select(F.col(id_col)).distinct()
-    return docs.join(held, id_col, "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that hold no benchmark item.
+
+    Documents are told apart by the digest of their text, so one without an id goes like any other, and a clean one stays even
+    if it shares its id with one that goes. A null text stays.
+    """
+    key = next(n for n in ("_digest", *(f"_digest{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    marked = docs.withColumn(key, F.md5(F.col(text_col).cast("binary")))
+    held = find(marked, benchmark, key, text_col, **options).select(key).distinct()
+    return marked.join(held, key, "left_anti").select(*docs.columns)
