@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query, table
+from tidemark.operators import windows
 from tidemark.session import scratch_path, stored
 from tidemark.sources import archives, files, sections, synth
 from tidemark.streaming.history import read_distinct_history, read_history, stream_distinct_history, stream_history
@@ -291,3 +292,20 @@ def random_columns(spark, sf):
         F.count_distinct("category").alias("categories"),
         (F.count("f1") < F.count(F.lit(1))).alias("some_missing"))
     return stats.join(changed.agg(F.count(F.lit(1)).alias("changed")), F.lit(True))
+
+
+@query("""
+SELECT n.o_orderkey, strftime(TIMESTAMP '2020-01-01' + to_minutes(30 * n.i), '%Y-%m-%d %H:%M:%S') AS at, true AS in_range
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) n
+""")
+def random_table(spark, sf):
+    """A synthetic table with a row for every order, in key order; its times run by the half hour, its numbers keep to their range."""
+    keys = stored(windows.numbered(table(spark, sf, "orders").select("o_orderkey"), [], ["o_orderkey"], "i"))
+    drawn = synth.random_table(
+        spark, keys.count(), str_cols={"count": 1, "name": ["kind"], "col_strs": [["a", "b"]]},
+        ts_cols={"count": 1, "name": ["at"], "start_date": "2020-01-01", "end_date": "9000-01-01", "freq": "30min"},
+        int_cols={"count": 1, "low": -3, "high": 4}, float_cols={"count": 1, "low": 1.0, "high": 2.0})
+    kept = F.col("kind").isin("a", "b") & F.col("i1").between(-3, 3) & (F.col("f1") >= 1) & (F.col("f1") < 2)
+    step = (F.unix_timestamp("at") - F.unix_timestamp(F.lit("2020-01-01").cast("timestamp"))) / 1800 + 1
+    return drawn.withColumn("i", step.cast("long")).join(keys.withColumn("i", F.col("i").cast("long")), "i").select(
+        "o_orderkey", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), kept.alias("in_range"))

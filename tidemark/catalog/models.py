@@ -321,6 +321,39 @@ def permutation_importance(spark, sf):
     return features.permutation_importance(_training(spark, sf), FEATURES, TARGET, repeats=3, trees=20)
 
 
+# the planted target is a step of one feature; which one, the correlations tell
+STEP_SQL = """
+WITH c AS (SELECT *, CASE WHEN {decides} THEN 10.0 ELSE 0.0 END AS step FROM lineitem),
+r AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax', 'l_linenumber']) AS feature,
+             unnest([abs(corr(l_quantity, step)), abs(corr(l_discount, step)), abs(corr(l_tax, step)), abs(corr(l_linenumber, step))]) AS r FROM c)
+SELECT feature, r = (SELECT max(r) FROM r) AS leads FROM r
+"""
+
+
+def _stepped(spark, sf, decides):
+    return _training(spark, sf).withColumn("step", F.when(F.expr(decides), 10.0).otherwise(0.0))
+
+
+def _leads(found, value):
+    """Which feature holds nine tenths of all importance."""
+    total = found.agg(F.sum(F.greatest(F.col(value), F.lit(0.0))).alias("all"))
+    return found.join(F.broadcast(total)).select("feature", (F.col(value) > 0.9 * F.col("all")).alias("leads"))  # a line per feature, and one
+
+
+@query(STEP_SQL.format(decides="l_discount > 0.045"))
+def tree_importance_planted(spark, sf):
+    """A target that the discount alone decides: boosted trees must give it nine tenths of the importance."""
+    found = features.tree_importance(_stepped(spark, sf, "l_discount > 0.045"), FEATURES, "step", rounds=3)
+    return _leads(found, "importance")
+
+
+@query(STEP_SQL.format(decides="l_tax > 0.035"))
+def permutation_importance_planted(spark, sf):
+    """A target that the tax alone decides: only shuffling the tax may cost score."""
+    found = features.permutation_importance(_stepped(spark, sf, "l_tax > 0.035"), FEATURES, "step", repeats=2, trees=10)
+    return _leads(found, "perm_score")
+
+
 DISTANCE_SQL = """
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query, table
-from tidemark.operators import aggregate, clean, compare, expand, facet_index, facets, hashed_diff, windows
+from tidemark.operators import (
+    aggregate, clean, compare, expand, facet_index, facets, hashed_diff, semi_filter, user_aggregate, windows,
+)
 from tidemark.plans import rfm as segments
 from tidemark.sources.files import frame_from_rows, scan_parquet, sql_over
 
@@ -351,6 +353,17 @@ def semi_membership(spark, sf):
     return orders.join(rich, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
 
 
+@query("""
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 300000)
+""")
+def bloom_semi_join(spark, sf):
+    """Lines of dear orders; the orders' filter thins the lines before the join."""
+    dear = table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return semi_filter.bloom_semi_join(lines, dear, ["l_orderkey"])
+
+
 @query("""
 SELECT c_custkey, c_name, n_orders, spent FROM customer JOIN (
   SELECT o_custkey, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS spent
@@ -374,6 +387,19 @@ def concat_distinct(spark, sf):
     return aggregate.concat_distinct(customers, ["c_nationkey"], ["c_mktsegment", "last_digit"])
 
 
+@query("""
+SELECT l_returnflag, l_linestatus, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), '/' ORDER BY CAST(l_linenumber AS VARCHAR)) AS numbers,
+       round(avg(power(l_extendedprice - m, 3)) / power(avg(power(l_extendedprice - m, 2)), 1.5), 6) AS skew
+FROM (SELECT *, avg(l_extendedprice) OVER (PARTITION BY l_returnflag, l_linestatus) AS m FROM lineitem) GROUP BY l_returnflag, l_linestatus
+""")
+def user_aggregates(spark, sf):
+    """Two aggregates written in Python, with partial states."""
+    found = user_aggregate.aggregate_by(
+        table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"],
+        numbers=user_aggregate.distinct_texts("l_linenumber"), skew=user_aggregate.skewness("l_extendedprice"))
+    return found.withColumn("skew", F.round("skew", 6))
+
+
 CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

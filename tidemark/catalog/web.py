@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query, table
 from tidemark.operators import pages as web
+from tidemark.operators.page_functions import register_page_functions
 from tidemark.operators.pages import Selector
 from tidemark.plans import listings
 from tidemark.session import spread, stored
@@ -283,6 +284,18 @@ def listing_cards(spark, sf):
     return web.listing_cards(card_pages(spark, sf), "https://example.org")
 
 
+@query(ENTRIES_SQL + """
+SELECT o_orderkey AS page_id, '/p-' || o_custkey AS link, i || ' Some & St' AS address,
+       CASE WHEN o_orderstatus <> 'F' THEN '$' || price END AS price, CAST(qty AS VARCHAR) AS num_beds
+FROM e
+""")
+def listing_cards_lateral(spark, sf):
+    """The cards by a table function, called from SQL."""
+    register_page_functions(spark)
+    return spark.sql("SELECT p.page_id, c.link, c.address, c.price, c.num_beds FROM {pages} p, LATERAL listing_cards(p.html) c",
+                     pages=card_pages(spark, sf))
+
+
 @query("""
 SELECT c_custkey AS page_id, c_name AS address, '$' || CAST(abs(c_nationkey) AS VARCHAR) || '/w' AS price, 'None' AS num_beds,
        CAST(c_custkey % 4 AS VARCHAR) AS num_baths, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 3 AS VARCHAR) ELSE 'None' END AS num_cars,

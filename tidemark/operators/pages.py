@@ -111,6 +111,23 @@ def _clean(text: str, selector: Selector) -> str:
     return text.strip() if selector.strip else text
 
 
+def _scopes(page: _Outline, within: Selector | None) -> list[list]:
+    """The elements inside each match of ``within``, or all elements once."""
+    if within is None:
+        return [page.elements]
+    scopes = []
+    for i, e in enumerate(page.elements):
+        if _fits(e, within.tag, within.cls):
+            inner, inside = {id(e)}, []
+            for child in page.elements[i + 1:]:
+                if child.parent is None or id(child.parent) not in inner:
+                    break
+                inner.add(id(child))
+                inside.append(child)
+            scopes.append(inside)
+    return scopes
+
+
 def page_fields(
     pages: DataFrame,
     selectors: dict[str, Selector],
@@ -134,20 +151,7 @@ def page_fields(
             rows = []
             for source, *kept in pdf[[html, *keep]].itertuples(index=False, name=None):
                 page = _Outline(source or "")
-                if within is None:
-                    scopes = [page.elements]
-                else:
-                    scopes = []
-                    for i, e in enumerate(page.elements):
-                        if _fits(e, within.tag, within.cls):
-                            inner, inside = {id(e)}, []
-                            for child in page.elements[i + 1:]:
-                                if child.parent is None or id(child.parent) not in inner:
-                                    break
-                                inner.add(id(child))
-                                inside.append(child)
-                            scopes.append(inside)
-                for scope in scopes:
+                for scope in _scopes(page, within):
                     rows.append((*kept, *[_take(page, scope, s, missing) for s in selectors.values()]))
             yield pd.DataFrame(rows, columns=shape.names)
 
