@@ -1,5 +1,6 @@
 """Learnt operators: held-out accuracy, and the edge cases of every one of them."""
 
+import math
 import zlib
 
 import numpy as np
@@ -78,6 +79,84 @@ def test_ftrl_keeps_few_weights():
     assert model.value[list(model.index).index(1)] == model.value.max()
 
 
+def plain_ftrl(rows, alpha, beta, l1, l2, epochs):
+    """One coordinate after the other, in dicts."""
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+    for _ in range(epochs):
+        for index, label in rows:
+            w = {}
+            for i in index:
+                s = z.get(i, 0.0)
+                w[i] = 0.0 if abs(s) <= l1 else -(s - (l1 if s > 0 else -l1)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+            bias = -bz / ((beta + math.sqrt(bn)) / alpha)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - label
+            for i in index:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[i]
+                n[i] = old + g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * bias
+            bn += g * g
+    weights = {i: -(s - (l1 if s > 0 else -l1)) / ((beta + math.sqrt(n[i])) / alpha + l2) for i, s in z.items() if abs(s) > l1}
+    return weights, -bz / ((beta + math.sqrt(bn)) / alpha)
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = np.random.default_rng(5)
+    rows = [(np.unique(rng.integers(0, 60, 12)), int(rng.random() < 0.4)) for _ in range(150)]
+    weights, bias = plain_ftrl([(i.tolist(), y) for i, y in rows], 0.5, 1.0, 0.7, 0.1, 3)
+    model = X.fit(rows, 6, 0.5, 1.0, 0.7, 0.1, 3)
+    assert model.index.tolist() == sorted(weights) and model.bias == pytest.approx(bias, abs=1e-9)
+    assert np.allclose(model.value, [weights[i] for i in sorted(weights)], atol=1e-5)
+
+
+def test_features_of_a_text_are_bounded_alike():
+    key = np.concatenate([np.arange(40, 44), (1 << 20) + np.arange(5000), (2 << 20) + np.arange(5000), [(5 << 20) + 3]])
+    kept = X.bounded_features(key, 20, most=100)
+    assert (np.diff(kept) > 0).all() and np.bincount(kept >> 20).tolist() == [4, 100, 100, 0, 0, 1]
+    assert (kept[4:104] - (1 << 20) == kept[104:204] - (2 << 20)).all()
+    assert X.bounded_features(key[:0], 20).tolist() == [] and X.bounded_features(key, 20) is key
+
+
+def test_one_id_in_a_third_of_the_rows(spark):
+    """The sample is made of ids, so an id that repeats weighs as one."""
+    lines = [(i, "you fool" if i % 2 else "good day", "en" if i % 2 else "de") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1)] * 30, "doc_id long, toxic int")
+    once = spark.createDataFrame(lines, "doc_id long, text string, lang string")
+    hot = once.union(spark.createDataFrame([lines[1]] * 3000, once.schema)).repartition(7)
+    a, b = X.train(once, labels), X.train(hot, labels)
+    assert a.index.tolist() == b.index.tolist() and a.value.tolist() == b.value.tolist() and a.bias == b.bias
+    c, d = L.train(once), L.train(hot)
+    assert c.langs == d.langs and (c.weights == d.weights).all() and (c.bias == d.bias).all()
+
+
+def test_many_stray_languages(spark):
+    lines = [(i, f"word{i} abc{i}", f"x{i}") for i in range(300)]
+    frame = spark.createDataFrame(lines, "doc_id long, text string, lang string")
+    codes = L.train(frame, sample=100)
+    assert len(codes.langs) == 100
+    assert {r.language.lang for r in L.identify(frame, codes).collect()} <= set(codes.langs)
+
+
+def explicit_decode(codes, margin):
+    """Bit by bit: a bit costs log(1 + exp(-margin x bit)) times the bit's weight."""
+    costs = [sum(t * math.log1p(math.exp(-m * w)) for m, w, t in zip(margin, word, codes.trust)) for word in codes.words]
+    best = min(range(len(costs)), key=costs.__getitem__)
+    return codes.langs[best], math.exp(-costs[best]) / sum(math.exp(-c) for c in costs)
+
+
+def test_decoding_equals_explicit_bits(spark, monkeypatch):
+    monkeypatch.setattr(L, "CELLS", 40)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    codes = L.train(docs)
+    texts = [(r.text or "").encode() for r in docs.limit(60).collect()]
+    langs, score, _ = L.decoded(codes, texts)
+    for text, lang, s in zip(texts, langs, score):
+        both, starts, ends = L.grams([text])
+        margin = [sum(float(np.mean(codes.weights[g[starts[0]:ends[0]], b])) for g in both) + codes.bias[b] for b in range(len(codes.bias))]
+        want = explicit_decode(codes, margin)
+        assert lang == L.UNKNOWN or (lang == want[0] and s == pytest.approx(want[1], abs=1e-4))
+
+
 def test_language_held_out(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = queries.op7_langid_ecoc(spark, SF).collect()

@@ -67,6 +67,20 @@ def test_shard_edge_cases(spark):
     assert len(got) == 5
 
 
+def test_one_id_in_a_third_of_the_rows_is_moved_in_parts(spark):
+    rows = [(None, 1, 1, "x")] * 1500 + [(7, 2, 2, "x")] * 1500 + [(i, i // 2, 3, "x") for i in range(100, 1600)]
+    got = shards_of(spark, rows, 8)
+    check_even(got, 8)
+    assert len(got) == len(rows) and "salt" not in got[0].__fields__
+    frame = spark.createDataFrame(rows, "id long, g1 long, g2 long, slot string")
+    atoms = P.chunked(frame, P.CHUNKS).groupBy("g1", "g2", "chunk").count()
+    assert max(r["count"] for r in atoms.collect()) <= 12  # 1,500 rows in 1,024 chunks; without salts one atom
+    # as with ids of their own
+    apart = shards_of(spark, [(i, *r[1:]) for i, r in enumerate(rows)], 8)
+    spread = [[len({r.shard for r in g if r.g1 == group}) for group in (1, 2)] for g in (got, apart)]
+    assert sum(spread[0]) <= sum(spread[1]) + 2
+
+
 def test_quotas_grant_swaps_then_room():
     got = P.quotas({(0, 1): 10, (1, 0): 4, (2, 1): 6}, [1000, 1200, 800], [1000, 1227, 1000])
     assert got[1, 0] == 1.0 and got[0, 1] == pytest.approx((4 + 6 * 2 / 12) / 10) and got[2, 1] == pytest.approx(1 / 6)

@@ -19,6 +19,10 @@ BITS = 14
 UNKNOWN = "und"
 #: Largest number of labelled rows the classifiers are fitted on: those with the smallest hash of their id.
 SAMPLE = 8_000
+#: Largest number of distinct n-grams, the most frequent ones, that a text of the sample has in the fit; predictions use all.
+PER_TEXT = 1 << 12
+#: Numbers held at once while codewords are compared.
+CELLS = 1 << 23
 LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -84,16 +88,24 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], epochs
 
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Codes:
-    """Codes of the languages of rows whose language is not null; at most ``sample`` rows are used, chosen by a hash."""
-    named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang is not null and id is not null")
-    langs = sorted(r.lang for r in named.select("lang").distinct().collect())
-    chosen = F.broadcast(bounded_sample(named, ["id", "lang"], sample).distinct())  # bounded by ``sample``
+    """Codes of the languages of rows whose language is not null; at most ``sample`` pairs of id and language are used, chosen by a hash.
+
+    A pair counts once: of several documents with one id and language, one with the smallest hash of its grams is learnt from, and
+    of a text at most ``PER_TEXT`` distinct grams. Languages are those of the sample, so a column of stray values names no more than it holds.
+    """
+    named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang is not null and id is not null").distinct()
+    drawn = bounded_sample(named, ["id", "lang"], sample).toPandas()  # bounded by ``sample``
+    langs = sorted(drawn["lang"].unique().tolist())
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(drawn, named.schema))
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         (two, three), starts, ends = grams(plain(batch, "t"))
         index, freq = [], []
         for s, e in zip(starts, ends):
             key, n = np.unique(np.concatenate([two[s:e], three[s:e]]), return_counts=True)
+            if len(key) > PER_TEXT:
+                often = np.sort(np.argsort(-n, kind="stable")[:PER_TEXT])
+                key, n = key[often], n[often]
             index.append(key.astype(np.int32))
             freq.append((n / max(e - s, 1)).astype(np.float32))
         return pa.RecordBatch.from_arrays([batch.column("o"), batch.column("lang"), pa.array(index, pa.list_(pa.int32())),
@@ -110,7 +122,8 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     rows = (docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).join(chosen, ["id", "lang"])
             .select(F.xxhash64(F.col("id").cast("string"), "lang").alias("o"), "lang", "t"))
     vectors = rows.mapInArrow(mapped(counted), "o long, lang string, i array<int>, f array<float>")
-    found = vectors.repartition(1).sortWithinPartitions("o", "lang").mapInArrow(solve, "w binary, b binary, t binary").first()
+    once = vectors.groupBy("o", "lang").agg(F.min_by(F.struct("i", "f"), F.xxhash64("i", "f")).alias("x")).select("o", "lang", "x.i", "x.f")
+    found = once.repartition(1).sortWithinPartitions("o", "lang").mapInArrow(solve, "w binary, b binary, t binary").first()
     words = codewords(len(langs))
     if found is None:
         return Codes(tuple(langs), words, np.zeros((1 << BITS, words.shape[1]), np.float32), np.zeros(words.shape[1]), np.ones(words.shape[1]))
@@ -128,7 +141,9 @@ def decoded(codes: Codes, texts: list[bytes]) -> tuple[list[str], np.ndarray, np
     margin = np.zeros((n, len(columns)))
     for b, column in enumerate(columns):
         margin[:, b] = sum(means(column[g], starts, ends) for g in both) + codes.bias[b]
-    loss = np.einsum("nkb,b->nk", np.logaddexp(0, -margin[:, None, :] * codes.words[None]), codes.trust)
+    step = max(1, CELLS // max(1, codes.words.size))  # texts at once, so that many languages need no more memory
+    loss = np.concatenate([np.einsum("nkb,b->nk", np.logaddexp(0, -margin[i:i + step, None, :] * codes.words[None]), codes.trust)
+                           for i in range(0, n, step)])
     odds = np.exp(loss.min(axis=1, keepdims=True) - loss)
     share = odds / odds.sum(axis=1, keepdims=True)
     best = loss.argmin(axis=1)

@@ -80,16 +80,31 @@ def propagate(atoms: DataFrame, shards: int, capacity: list[int], rounds: int =
     return atoms
 
 
+def chunked(rows: DataFrame, chunks: int) -> DataFrame:
+    """``rows`` with ``chunk``, below ``chunks``, and ``salt``: the place of a row that its id and group do not tell from all others, else null."""
+    key = ["g1", "g2"]
+    base = rows.drop("shard", "slot", "chunk", "n", "linked", "bucket", "salt", "many").withColumns({
+        "g1": F.coalesce("g1", F.lit(0)), "g2": F.coalesce("g2", F.lit(0)), "salt": F.monotonically_increasing_id()})
+    repeats = stored(base.where("id is not null").groupBy("id", *key).agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
+    if repeats.isEmpty():
+        base = base.withColumn("salt", F.when(F.col("id").isNull(), F.col("salt")))
+    else:
+        base = stored(base.join(repeats, ["id", *key], "left").withColumn(
+            "salt", F.when(F.col("id").isNull() | F.col("many").isNotNull(), F.col("salt"))).drop("many"))
+    return base.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(17), "salt"), F.lit(chunks)).cast("int"))
+
+
 def balanced_shards(rows: DataFrame, shards: int = 16, rounds: int = ROUNDS, chunks: int = CHUNKS) -> DataFrame:
     """``rows`` (id, g1, g2 and more) with ``shard`` and a gapless ``slot`` from 0; row counts differ by one at most.
 
     g1 and g2 name a row's group; null is a group like any other. Equal rows take neighbouring slots. ``rows`` is read several
-    times: store it first. Columns named shard, slot, chunk, n, linked or bucket are replaced.
+    times: store it first. Columns named shard, slot, chunk, n, linked, bucket, salt or many are replaced.
+
+    Chunks go by the hash of the id. Rows without an id, and those that share id and group with another, are told apart by their
+    place in the stored ``rows``, so they fall into as many chunks as other rows do.
     """
     key = ["g1", "g2"]
-    base = rows.drop("shard", "slot", "chunk", "n", "linked", "bucket").withColumns({
-        "g1": F.coalesce("g1", F.lit(0)), "g2": F.coalesce("g2", F.lit(0))})
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(chunks)).cast("int"))
+    base = chunked(rows, chunks)
     total = base.count()
     capacity = [total // shards + (t < total % shards) for t in range(shards)]
     per_chunk = base.groupBy(*key, "chunk").agg(F.count(F.lit(1)).alias("n"))
@@ -101,7 +116,7 @@ def balanced_shards(rows: DataFrame, shards: int = 16, rounds: int = ROUNDS, chu
 
     # number the rows of each shard: buckets by hash, the linked ones first, with the rows of earlier buckets before them
     runs = max(1, total // (shards * RUN))
-    joined = joined.withColumn("bucket", F.when(F.col("linked"), 0).otherwise(runs) + F.pmod(F.xxhash64("id", "g1"), F.lit(runs)).cast("int"))
+    joined = joined.withColumn("bucket", F.when(F.col("linked"), 0).otherwise(runs) + F.pmod(F.xxhash64("id", "g1", "salt"), F.lit(runs)).cast("int"))
     joined = stored(joined)
     sizes = joined.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,4 +144,4 @@ def balanced_shards(rows: DataFrame, shards: int = 16, rounds: int = ROUNDS, chu
     for low, high, t, first in free:
         inside = (F.col("over") >= low) & (F.col("over") < high)
         shard, slot = F.when(inside, F.lit(t)).otherwise(shard), F.when(inside, F.col("over") - low + first).otherwise(slot)
-    return numbered.withColumns({"shard": shard, "slot": slot}).drop("first", "over", "bucket", "chunk")
+    return numbered.withColumns({"shard": shard, "slot": slot}).drop("first", "over", "bucket", "chunk", "salt")

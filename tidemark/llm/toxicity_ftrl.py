@@ -18,6 +18,9 @@ from tidemark.llm.text_arrays import bounded_sample, joined, mapped, plain, with
 BITS = 20
 #: Largest number of labelled rows a model is fitted on: the first ones in the order of a hash of their id.
 SAMPLE = 20_000
+#: Largest number of distinct features that a text of the sample has in the fit. Beyond it, those with the smallest hash are
+#: learnt from, the same ones in every text; scores use all features of a text.
+PER_TEXT = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -48,6 +51,18 @@ def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(docs), np.concatenate(index)
 
 
+def bounded_features(key: np.ndarray, bits: int, most: int = PER_TEXT) -> np.ndarray:
+    """``key`` (text number and feature in one number, ascending) with at most ``most`` features a text."""
+    text, start, count = np.unique(key >> bits, return_index=True, return_counts=True)
+    if not len(text) or count.max() <= most:
+        return key
+    order = (key & ((1 << bits) - 1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keep = np.ones(len(key), bool)
+    for s, c in zip(start[count > most], count[count > most]):
+        keep[s + np.argsort(order[s:s + c], kind="stable")[most:]] = False
+    return key[keep]
+
+
 def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0,
         l2: float = 0.1, epochs: int = 6) -> Weights:
     """FTRL-proximal over (distinct feature indices, label) pairs in the given order."""
@@ -75,12 +90,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           sample: int = SAMPLE, bits: int = BITS) -> Weights:
     """A model of the documents that ``labels`` marks 0 or 1; at most ``sample`` labels are used, chosen by a hash.
 
-    Texts become feature indices where they lie; only those of the sample reach the one task that fits. Repeated
-    labels or documents count as often as they occur. No usable row gives a model that scores 0.5 everywhere.
+    Texts become feature indices where they lie; only those of the sample reach the one task that fits, at most ``PER_TEXT`` of
+    a text. A pair of id and label counts once however often it occurs: of several documents with one id, one with the
+    smallest hash of its features is learnt from. No usable row gives a model that scores 0.5 everywhere.
     """
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs, index = features(plain(batch, "t"), bits)
-        key = np.unique(docs << bits | index)
+        key = bounded_features(np.unique(docs << bits | index), bits)
         cut = np.searchsorted(key >> bits, np.arange(batch.num_rows + 1))
         lists = pa.ListArray.from_arrays(cut.astype(np.int32), pa.array((key & ((1 << bits) - 1)).astype(np.int32)))
         return pa.RecordBatch.from_arrays([batch.column("o"), batch.column("y"), lists], ["o", "y", "x"])
@@ -95,10 +111,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                                           pa.array([model.value.tolist()], pa.list_(pa.float32())), pa.array([model.bias])], ["i", "v", "b"])
 
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    chosen = F.broadcast(bounded_sample(marked, ["id", "y"], sample))  # bounded by ``sample``
+    chosen = F.broadcast(bounded_sample(marked.distinct(), ["id", "y"], sample))  # bounded by ``sample``
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(chosen, "id")
     vectors = rows.select(F.xxhash64(F.col("id").cast("string")).alias("o"), "y", "t").mapInArrow(mapped(hashed), "o long, y int, x array<int>")
-    found = vectors.repartition(1).sortWithinPartitions("o", "y", "x").mapInArrow(solve, "i array<long>, v array<float>, b double").first()
+    once = vectors.groupBy("o", "y").agg(F.min_by("x", F.xxhash64("x")).alias("x"))
+    found = once.repartition(1).sortWithinPartitions("o", "y", "x").mapInArrow(solve, "i array<long>, v array<float>, b double").first()
     if found is None:
         return Weights(np.empty(0, np.int64), np.empty(0, np.float32), 0.0, bits)
     return Weights(np.array(found.i, np.int64), np.array(found.v, np.float32), found.b, bits)
