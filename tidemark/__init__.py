@@ -34,9 +34,12 @@ from tidemark.operators.pages import (
     Selector, all_text, first_text, json_or, jsonld_items, listing_cards, page_fields, page_links, page_links_by,
     price_history, property_details, script_call, script_value, sibling_text,
 )
+from tidemark.operators.page_functions import register_page_functions
 from tidemark.operators.rounding import (
     controlled_round, controlled_round_1col, feasible_round_1col, rounding_audit,
 )
+from tidemark.operators.semi_filter import bloom_candidates, bloom_semi_join
+from tidemark.operators.user_aggregate import UserAggregate, aggregate_by, distinct_texts, skewness
 from tidemark.operators.windows import early_stop, head_tail, last_of, numbered, running_total
 from tidemark.plans.features import (
     binned_mutual_info, f_scores, lasso, permutation_importance, rfe, tree_importance, vif,
