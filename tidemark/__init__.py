@@ -17,7 +17,7 @@ from tidemark.functions.text import (
     seller, slug_address, split_field, strip_price, thousands,
 )
 from tidemark.operators.aggregate import (
-    concat_distinct, corr_matrix, distinct_count, distinct_per_group, group_means, group_stats, margins, profile,
+    concat_distinct, corr_matrix, distinct_count, distinct_per_group, exact_quartiles, group_means, group_stats, margins, profile,
     quartiles, scoreboard, shape, time_stats, top_rows,
 )
 from tidemark.operators.clean import (

@@ -86,8 +86,7 @@ def orders_profile(spark, sf):
     f"SELECT '{c}' AS \"column\", " + ", ".join(f"CAST(quantile_disc({c}, {q / 100}) AS DOUBLE) AS q{q}" for q in (25, 50, 75)) + " FROM orders"
     for c in ("o_custkey", "o_totalprice")))
 def orders_summary(spark, sf):
-    """Quartiles at an accuracy above the number of rows here, where they are exact."""
-    return aggregate.quartiles(table(spark, sf, "orders"), ["o_custkey", "o_totalprice"], accuracy=1_000_000)
+    return aggregate.exact_quartiles(table(spark, sf, "orders"), ["o_custkey", "o_totalprice"])
 
 
 @query(" UNION ALL ".join(
@@ -98,7 +97,7 @@ def orders_summary_ranks(spark, sf):
     """How many rows each quartile cuts off."""
     orders = table(spark, sf, "orders")
     names = ["o_custkey", "o_totalprice"]
-    marks = {r["column"]: r for r in aggregate.quartiles(orders, names, accuracy=1_000_000).collect()}
+    marks = {r["column"]: r for r in aggregate.exact_quartiles(orders, names).collect()}
     upto = lambda n, q: F.count(F.when(F.col(n) <= F.lit(marks[n][q]), 1)).alias(f"{q}_upto")
     lines = [F.struct(F.lit(n).alias("column"), *[upto(n, q) for q in ("q25", "q50", "q75")]).alias(n) for n in names]
     return orders.agg(*lines).select(F.inline(F.array(*names)))
