@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,95 +39,211 @@ class Selector:
     strip: bool = False
 
 
-class _Element:
-    """A start tag with the span of its text pieces."""
+# a tag as most are written: nothing for the standard parser to decide
+PLAIN_TAG = re.compile(r'(/?)([A-Za-z][A-Za-z0-9]*)((?:[ \t\n]+[A-Za-z][A-Za-z0-9-]*="[^"<>&]*")*)[ \t\n]*')
+PLAIN_ATTR = re.compile(r'([A-Za-z][A-Za-z0-9-]*)="([^"]*)"')
+RAW = frozenset(["script", "style"])
+#: Other elements whose content the standard parser of this Python does not read as tags.
+UNREAD = (frozenset(HTMLParser.CDATA_CONTENT_ELEMENTS) | frozenset(getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ())) | {"plaintext"}) - RAW
+#: Tags by their source, as many as are kept; then the table starts anew.
+KNOWN_TAGS = 20_000
+BEGIN, MUTE, ALONE, END = range(4)
+_tags: dict[str, tuple] = {}
 
-    __slots__ = ("tag", "attrs", "start", "end", "parent")
 
-    def __init__(self, tag, attrs, start, parent):
-        self.tag, self.attrs, self.start, self.end, self.parent = tag, attrs, start, start, parent
+def _tag(name: str, attrs: dict[str, str | None]) -> tuple:
+    """(what it does, name, attributes, (name, class)) of a start tag."""
+    role = ALONE if name in VOID else MUTE if name in NOT_TEXT else BEGIN
+    return role, name, attrs, (name, attrs.get("class") or "")
 
 
-class _Outline(HTMLParser):
-    """Elements of a page in document order."""
+def _plain_tag(source: str) -> tuple | None:
+    """The tag of a plain source, kept for the next time; None for any other source. Its attributes are shared and must not be changed."""
+    found = PLAIN_TAG.fullmatch(source)
+    if found is None or found[2].lower() in UNREAD or (found[1] and found[3]):
+        return None
+    name = found[2].lower()
+    tag = (END, name, {}, (name, "")) if found[1] else _tag(name, {n.lower(): v for n, v in PLAIN_ATTR.findall(found[3])})
+    if len(_tags) >= KNOWN_TAGS:
+        _tags.clear()
+    _tags[source] = tag
+    return tag
+
+
+# places in an element's line: its tag, its first text piece and the one behind its last, the element behind its content, its parent
+TAG, FIRST_TEXT, END_TEXT, BEHIND, PARENT = range(5)
+
+
+class _Outline:
+    """Elements of a page by their number in document order, and its pieces of text.
+
+    Pages of plain tags are cut at their brackets; at the first tag that is not plain the page goes through the standard parser instead.
+    """
 
     def __init__(self, html: str):
+        self._begin()
+        if not self._read_plain(html):
+            self._begin()
+            parser = _Parser(self)
+            parser.feed(html)
+            parser.close()
+        for element in self.opened:
+            element[END_TEXT], element[BEHIND] = len(self.texts), len(self.elements)
+
+    def _begin(self):
+        self.elements, self.texts, self.opened, self.muted = [], [], [], 0
+
+    def _read_plain(self, html: str) -> bool:
+        """Read a page of plain tags; False, and nothing of use, where there is another."""
+        head, *pieces = html.split("<")
+        elements, texts, opened, known = self.elements, self.texts, self.opened, _tags
+        if head:
+            texts.append(unescape(head) if "&" in head else head)
+        raw, muted = None, 0  # the script or style that is open; elements without text that are
+        for piece in pieces:
+            if raw is not None and piece[:len(raw) + 1].lower() != "/" + raw:
+                if piece[:1] == "/" and piece[1:2].isspace():
+                    return False
+                continue
+            source, close, text = piece.partition(">")
+            if not close:
+                return False
+            tag = known.get(source) or _plain_tag(source)
+            if tag is None:
+                return False
+            role = tag[0]
+            if role == END:
+                if opened and not muted and opened[-1][0][1] == tag[1]:
+                    element = opened.pop()
+                    element[2], element[3] = len(texts), len(elements)
+                else:
+                    self.end(tag[1])
+                    muted = self.muted
+                raw = None
+            else:
+                at = len(texts)
+                element = [tag, at, at, len(elements) + 1, opened[-1] if opened else None]
+                elements.append(element)
+                if role != ALONE:
+                    opened.append(element)
+                    if role == MUTE:
+                        self.muted = muted = muted + 1
+                        raw = tag[1] if tag[1] in RAW else None
+            if text and not muted:
+                texts.append(unescape(text) if "&" in text else text)
+        return raw is None
+
+    def start(self, tag: tuple):
+        at = len(self.texts)
+        element = [tag, at, at, len(self.elements) + 1, self.opened[-1] if self.opened else None]
+        self.elements.append(element)
+        if tag[0] != ALONE:
+            self.opened.append(element)
+            self.muted += tag[0] == MUTE
+
+    def end(self, name: str):
+        # the nearest open element of that name ends, and all inside it; a stray end tag is ignored
+        for depth in range(len(self.opened) - 1, -1, -1):
+            if self.opened[depth][TAG][1] == name:
+                for element in self.opened[depth:]:
+                    element[END_TEXT], element[BEHIND] = len(self.texts), len(self.elements)
+                    self.muted -= element[TAG][0] == MUTE
+                del self.opened[depth:]
+                return
+
+    def text(self, at: int) -> str:
+        _, first, end, _, _ = self.elements[at]
+        return self.texts[first] if end - first == 1 else "".join(self.texts[first:end])
+
+
+class _Parser(HTMLParser):
+    """The standard parser, for pages whose tags are not all plain."""
+
+    def __init__(self, page: _Outline):
         super().__init__(convert_charrefs=True)
-        self.elements, self.texts, self._open, self._muted = [], [], [], 0
-        self.feed(html)
-        self.close()
-        for element in self._open:
-            element.end = len(self.texts)
+        self.page = page
 
     def handle_starttag(self, tag, attrs):
-        element = _Element(tag, dict(attrs) if attrs else {}, len(self.texts), self._open[-1] if self._open else None)
-        self.elements.append(element)
-        if tag not in VOID:
-            self._open.append(element)
-            self._muted += tag in NOT_TEXT
+        self.page.start(_tag(tag, dict(attrs) if attrs else {}))
 
     def handle_endtag(self, tag):
-        # the nearest open element of that name ends, and all inside it; a stray end tag is ignored
-        for depth in range(len(self._open) - 1, -1, -1):
-            if self._open[depth].tag == tag:
-                for element in self._open[depth:]:
-                    element.end = len(self.texts)
-                    self._muted -= element.tag in NOT_TEXT
-                del self._open[depth:]
-                return
+        self.page.end(tag)
 
     def handle_data(self, data):
-        if not self._muted:
-            self.texts.append(data)
+        if not self.page.muted:
+            self.page.texts.append(data)
 
-    def text(self, element) -> str:
-        return "".join(self.texts[element.start:element.end])
 
-
-def _fits(element, tag: str | None, cls: str | None) -> bool:
-    if tag is not None and element.tag != tag:
+def _fits(kind: tuple[str, str], tag: str | None, cls: str | None) -> bool:
+    """Whether an element's name and class are those that are asked for."""
+    if tag is not None and kind[0] != tag:
         return False
-    if cls is None:
-        return True
-    given = element.attrs.get("class") or ""
-    return given == cls or (" " not in cls and cls in given.split())
-
-
-def _take(page: _Outline, scope: list, selector: Selector, missing: str | None):
-    hits = (e for e in scope if _fits(e, selector.tag, selector.cls))
-    if selector.take == "all":
-        return [_clean(page.text(e), selector) for e in hits]
-    first = next(hits, None)
-    if first is not None and selector.take == "next":
-        later = scope[next(i for i, e in enumerate(scope) if e is first) + 1:]
-        first = next((e for e in later if e.parent is first.parent and _fits(e, *selector.after)), None)
-    if first is None:
-        return missing
-    if selector.take == "attr":
-        value = first.attrs.get(selector.attr)
-        return missing if value is None else value
-    return _clean(page.text(first), selector)
+    return cls is None or kind[1] == cls or (" " not in cls and cls in kind[1].split())
 
 
-def _clean(text: str, selector: Selector) -> str:
-    return text.strip() if selector.strip else text
+class _Taker:
+    """What some selectors take from a scope of a page, in one walk over its elements.
+
+    Which selectors fit a name and class is found out once for each of them that a task meets.
+    """
 
+    KINDS = 20_000
+
+    def __init__(self, selectors: list[Selector], missing: str | None, within: Selector | None = None):
+        self.selectors, self.missing, self.within, self.known = list(selectors), missing, within, {}
+
+    def _fitting(self, kind: tuple[str, str]) -> tuple[int, ...]:
+        """Numbers of the selectors that fit; that of ``within`` is one more than theirs."""
+        if len(self.known) >= self.KINDS:
+            self.known.clear()
+        asked = [*self.selectors, *([] if self.within is None else [self.within])]
+        fitting = self.known[kind] = tuple(i for i, s in enumerate(asked) if _fits(kind, s.tag, s.cls))
+        return fitting
+
+    def rows(self, html: str | None) -> list[list]:
+        """The fields of each scope of a page: the elements inside each match of ``within``, or all elements once."""
+        page, known, hits, scopes = _Outline(html or ""), self.known, [], []
+        number = len(self.selectors)
+        for at, element in enumerate(page.elements):
+            kind = element[0][3]
+            fitting = known.get(kind)
+            if fitting is None:
+                fitting = self._fitting(kind)
+            if fitting:
+                if fitting[-1] == number:
+                    scopes.append((at + 1, element[BEHIND]))
+                hits += [(at, i) for i in fitting]
+        if self.within is None:
+            return [self._fields(page, hits, 0, len(page.elements))]
+        return [self._fields(page, hits, *scope) for scope in scopes]
+
+    def _fields(self, page: _Outline, hits: list[tuple[int, int]], begin: int, end: int) -> list:
+        row, found = [[] if s.take == "all" else self.missing for s in self.selectors], {}
+        for at, i in hits[bisect_left(hits, (begin, 0)):bisect_left(hits, (end, 0))]:
+            if i not in found:
+                found[i] = at
+            if i < len(row) and self.selectors[i].take == "all":
+                row[i].append(_clean(page.text(at), self.selectors[i]))
+        for i, at in found.items():
+            if i < len(row) and self.selectors[i].take != "all":
+                row[i] = self._value(page, self.selectors[i], at, end)
+        return row
+
+    def _value(self, page: _Outline, selector: Selector, first: int, end: int):
+        if selector.take == "next":
+            parent = page.elements[first][PARENT]
+            first = next((at for at in range(first + 1, end) if page.elements[at][PARENT] is parent
+                          and _fits(page.elements[at][TAG][3], *selector.after)), None)
+            if first is None:
+                return self.missing
+        if selector.take == "attr":
+            value = page.elements[first][TAG][2].get(selector.attr)
+            return self.missing if value is None else value
+        return _clean(page.text(first), selector)
 
-def _scopes(page: _Outline, within: Selector | None) -> list[list]:
-    """The elements inside each match of ``within``, or all elements once."""
-    if within is None:
-        return [page.elements]
-    scopes = []
-    for i, e in enumerate(page.elements):
-        if _fits(e, within.tag, within.cls):
-            inner, inside = {id(e)}, []
-            for child in page.elements[i + 1:]:
-                if child.parent is None or id(child.parent) not in inner:
-                    break
-                inner.add(id(child))
-                inside.append(child)
-            scopes.append(inside)
-    return scopes
+
+def _clean(text: str, selector: Selector) -> str:
+    return text.strip() if selector.strip else text
 
 
 def page_fields(
@@ -147,15 +265,19 @@ def page_fields(
     shape = T.StructType([pages.schema[c] for c in keep] + [T.StructField(n, k) for n, k in kinds.items()])
 
     def parse(batches):
-        for pdf in batches:
-            rows = []
-            for source, *kept in pdf[[html, *keep]].itertuples(index=False, name=None):
-                page = _Outline(source or "")
-                for scope in _scopes(page, within):
-                    rows.append((*kept, *[_take(page, scope, s, missing) for s in selectors.values()]))
-            yield pd.DataFrame(rows, columns=shape.names)
+        taker = _Taker(list(selectors.values()), missing, within)
+        types = [pa.list_(pa.string()) if s.take == "all" else pa.string() for s in selectors.values()]
+        for batch in batches:
+            owner, rows = [], []
+            for number, source in enumerate(batch.column(0).to_pylist()):
+                found = taker.rows(source)
+                owner += [number] * len(found)
+                rows += found
+            own = pa.array(owner, pa.int32())
+            fields = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i + 1).take(own) for i in range(len(keep))], *fields], shape.names)
 
-    return pages.select(html, *keep).mapInPandas(parse, shape)
+    return pages.select(html, *keep).mapInArrow(parse, shape)
 
 
 def first_text(pages: DataFrame, tag: str | None, cls: str | None, name: str = "value", **options) -> DataFrame:
@@ -219,9 +341,10 @@ def _anchors(pages: DataFrame, link: Selector, keep: list[str]) -> DataFrame:
             rows = []
             for source, *kept in pdf[["html", *keep]].itertuples(index=False, name=None):
                 page = _Outline(source or "")
-                for e in page.elements:
-                    if _fits(e, link.tag, link.cls) and e.attrs.get("href") is not None:
-                        rows.append((*kept, e.attrs["href"], page.text(e)))
+                for at, element in enumerate(page.elements):
+                    _, _, attrs, kind = element[TAG]
+                    if _fits(kind, link.tag, link.cls) and attrs.get("href") is not None:
+                        rows.append((*kept, attrs["href"], page.text(at)))
             yield pd.DataFrame(rows, columns=shape.names)
 
     return pages.select("html", *keep).mapInPandas(parse, shape)
