@@ -3,8 +3,11 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.plans import neighbours
 
 
@@ -63,3 +66,13 @@ def test_defined_cases(spark):
     assert scores(spark, []) == {"a": None, "b": None}
     equal = scores(spark, [(1.0, 1.0, 1.0)] * 50)
     assert equal["a"] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_points_that_ask_one_strip_come_in_parts(spark, monkeypatch):
+    """An axis of two values is one block that every point asks."""
+    monkeypatch.setattr(neighbours, "GUEST_ROWS", 300)
+    guests = spark.range(2000).select(F.lit(0).alias("a"), F.lit(7).alias("strip"), F.col("id").alias("x"), F.col("id").alias("y"), F.col("id").alias("v"))
+    hosts = spark.createDataFrame([(0, 7, 1, 5), (0, 7, 2, 6), (0, 8, 3, 1)], "a INT, strip INT, v LONG, w LONG")
+    count = lambda one, two: pd.DataFrame({"g": [len(one)], "h": [len(two)]})
+    met = neighbours._met(guests, hosts, "a").applyInPandas(count, "g LONG, h LONG").where("g > 0").collect()
+    assert sum(r.g for r in met) == 2000 and max(r.g for r in met) < 600 and {r.h for r in met} == {2}

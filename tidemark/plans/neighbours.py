@@ -13,6 +13,8 @@ from tidemark.session import stored
 STEPS = 1 << 20
 #: Distinct points of a strip: never fewer than this, and otherwise this many times the root of all points.
 STRIP_ROWS, STRIP_ROOT = 5_000, 4
+#: Rows that may meet one strip in one task.
+GUEST_ROWS = 200_000
 LEAF = 64
 FAR = 1 << 62
 
@@ -109,6 +111,22 @@ def _strips(df: DataFrame, keys: list[str]) -> DataFrame:
     return stored(df.repartitionByRange(max(1, -(-rows // size)), *keys).withColumn("strip", F.spark_partition_id()))
 
 
+def _met(guests: DataFrame, hosts: DataFrame, key: str):
+    """Guests cogrouped with the strip that they ask, in parts of about ``GUEST_ROWS``; each part meets a copy of the strip.
+
+    A strip holds a bounded number of rows, but any number may ask it: an axis of few values is one strip, asked by every point.
+    """
+    guests = stored(guests)
+    asked = stored(guests.groupBy(F.col(key).alias("_k"), F.col("strip").alias("_s")).agg(
+        F.ceil(F.count(F.lit(1)) / GUEST_ROWS).cast("int").alias("_n")))
+    same = (F.col(key) == F.col("_k")) & (F.col("strip") == F.col("_s"))
+    part = F.pmod(F.xxhash64("x", "y", "v") if "v" in guests.columns else F.xxhash64("x", "y"), F.col("_n")).cast("int")
+    numbers = F.broadcast(asked)  # a line per strip
+    cut = guests.join(numbers, same).withColumn("part", part).drop("_k", "_s", "_n")
+    copies = hosts.join(numbers, same).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_k", "_s", "_n")
+    return cut.groupBy(key, "strip", "part").cogroup(copies.groupBy(key, "strip", "part"))
+
+
 def neighbour_mutual_info(df: DataFrame, features: list[str], target: str, k: int = 3) -> DataFrame:
     """Mutual information, in nats, of each feature and a continuous target, from the ``k`` nearest neighbours of each row.
 
@@ -122,6 +140,7 @@ def neighbour_mutual_info(df: DataFrame, features: list[str], target: str, k: in
     Equal points are counted before anything moves. Distinct ones are cut by range of (feature, x, y) into strips of bounded size whose boxes
     form a small directory; a strip finds the neighbours among its own points, and only points whose distance so far reaches
     into another strip visit it. The counts on one axis are differences of running counts, looked up in range-cut blocks.
+    Points that ask one strip or block come in parts of bounded size.
     """
     if k < 1 or not features:
         raise ValueError("k is 1 or more, and there is a feature")
@@ -161,7 +180,7 @@ def neighbour_mutual_info(df: DataFrame, features: list[str], target: str, k: in
 
     home = stored(points.groupBy("f", "strip").applyInPandas(own, shape + ", reach LONG, `to` ARRAY<INT>"))
     guests = home.select("f", F.explode("to").alias("strip"), "x", "y", "w", "reach")
-    visits = guests.groupBy("f", "strip").cogroup(points.groupBy("f", "strip")).applyInPandas(visit, shape)
+    visits = _met(guests, points, "f").applyInPandas(visit, shape)
     lists = home.select("f", "x", "y", "w", "near").union(visits).groupBy("f", "x", "y").agg(
         F.first("w").alias("w"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     # the distance at which the weights, with the point's own copies, add up to k others
@@ -198,7 +217,7 @@ def neighbour_mutual_info(df: DataFrame, features: list[str], target: str, k: in
         return pd.DataFrame({"f": key[0] // 2, "x": queries["x"], "y": queries["y"], "axis": key[0] % 2, "n": n})
 
     queries = reached.select("x", "y", asked).mapInPandas(place, "x LONG, y LONG, a INT, sign INT, v LONG, strip INT").where("strip >= 0")
-    counted = queries.groupBy("a", "strip").cogroup(values.groupBy("a", "strip")).applyInPandas(
+    counted = _met(queries, values, "a").applyInPandas(
         look_up, "f INT, x LONG, y LONG, axis INT, n LONG")
     zero = F.lit(0).cast("long")
     both = counted.select("f", "x", "y", *[F.when(F.col("axis") == i, F.col("n")).otherwise(zero).alias(n) for i, n in enumerate(("nx", "ny"))],
