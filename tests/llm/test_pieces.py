@@ -61,6 +61,25 @@ def test_many_units_at_once_equal_one_by_one(pieces, spark):
         assert two[0][1] == i and gap == (two[0][0] - two[1][0] if len(two) > 1 else np.inf)
 
 
+def test_search_solves_every_unit_and_its_ties(monkeypatch):
+    pieces = S.Pieces({p: (k, s) for k, (p, s) in enumerate([("a", -2.0), ("b", -1.0), ("aa", -4.0), ("ab", -3.0), ("ba", -3.0), ("aba", -6.0), ("bb", -1.0)])},
+                      list(range(7, 263)), -20.0, [b""] * 263)
+    units = ["".join(u) for k in range(1, 8) for u in itertools.product("ab", repeat=k)] + ["ab" * 32, "a" * 64, "b" * 65, "xa"]
+    searched, search = [], S._two_best
+
+    def seen(roots, *rest):
+        searched.append(len(roots))
+        return search(roots, *rest)
+
+    monkeypatch.setattr(S, "_two_best", seen)
+    ids, loss = S.Solver(pieces).solve(units)
+    assert searched == [len(units) - 2]  # a long unit and one with a byte piece are searched one by one
+    for u, i, gap in zip(units, ids, loss):
+        two = S.unit_nbest(u, pieces, 2)
+        assert two[0][1] == i and gap == (two[0][0] - two[1][0] if len(two) > 1 else np.inf)
+    assert S.Solver(pieces).solve(["xx"])[0] == [tuple(2 * [pieces.byte_ids[ord("x")]])] and S.Solver(pieces).solve([]) == ([], [])
+
+
 def test_table_round_trip_and_library(pieces, spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(50, None, "x"), (51, "the same", None), (51, "the same", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, pieces string")
