@@ -107,3 +107,11 @@ def test_a_third_of_the_rows_in_one_group(spark):
     rows = [(i, base + f" tail{i % 40}" if i % 3 == 0 else " ".join(f"r{i}x{j}" for j in range(30))) for i in range(1500)]
     got = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 0 if i % 3 == 0 else i for i in range(1500)}
+
+
+def test_shared_keys_move_once(spark):
+    nodes = spark.createDataFrame([(1, 5, [10, 11, 12]), (2, 6, [10, 21, 12]), (3, 7, [30, 31, 12]), (4, 8, [])], "node long, n long, keys array<long>")
+    met = M.shared_keys(nodes)
+    assert sorted(map(tuple, met.select("k", "node", "n", "size").collect())) == [(10, 1, 5, 2), (10, 2, 6, 2), (12, 1, 5, 3), (12, 2, 6, 3), (12, 3, 7, 3)]
+    assert met._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.llm.components import components
 from tidemark.llm.text_arrays import mapped, mixed, plain
@@ -129,19 +129,23 @@ class _Sets:
         return alone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
 
 
-def set_links(nodes: DataFrame, sets: DataFrame, over: int = 85, under: int = 100) -> DataFrame:
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(k, node, n, size) of the band keys that several of ``nodes`` (node, n, keys) have. Keys move once, to be counted where they lie."""
+    keyed = nodes.select(F.explode("keys").alias("k"), "node", "n")
+    return keyed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("size > 1")
+
+
+def set_links(nodes: DataFrame, sets: DataFrame, over: int = 85, under: int = 100, met: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that join exactly those nodes whose sets are as similar as over / under, directly or over others.
 
-    ``nodes`` has (node, n, keys), ``sets`` has (node, s) for every node that shares a band key. Members of a key are first
+    ``nodes`` has (node, n, keys), ``sets`` has (node, s) for every node that shares a band key, ``met`` may give their ``shared_keys``. Members of a key are first
     compared with its centre, the one that shares most keys with others; so a large group of near copies makes about a pair per
     member. What a key holds of more than one component afterwards is compared in pairs, but for those pairs that cannot be
     similar enough: an element that no other member has is in no intersection, which bounds the similarity from above. That
     comparison leaves out nothing; for a group of texts that are alike but below the threshold it stays quadratic in the group.
     """
     check = _Sets(sets, over, under)
-    keyed = nodes.select("node", "n", F.explode("keys").alias("k"))
-    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = stored(keyed.join(sizes, "k"))
+    met = stored(shared_keys(nodes)) if met is None else met
     met = met.join(met.groupBy("node").agg(F.sum("size").alias("met")), "node")
     centres = met.groupBy("k").agg(F.max(F.struct("met", (-F.col("node")).alias("less"), "n")).alias("c"))
     met = stored(met.join(centres, "k").select("k", "node", "n", (-F.col("c.less")).alias("centre"), F.col("c.n").alias("cn")))
@@ -176,10 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = marked.where("n > 0").groupBy("d1", "d2").agg(
         F.min("id").alias("least_id"), F.min(key).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     one = stored(one.withColumn("node", F.monotonically_increasing_id()))  # stored, so every later step sees one numbering
-    again = one.select("node", F.explode("keys").alias("k"))
-    shared = again.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k")
-    named = again.join(shared, "k", "left_semi").select("node").distinct()
-    wanted = one.join(named, "node", "left_semi").select("node", "row.t1", "row.t2", F.xxhash64("row.id").alias("rid"))
+    met = stored(shared_keys(one))
+    wanted = one.join(met.select("node").distinct(), "node", "left_semi").select("node", "row.t1", "row.t2", F.xxhash64("row.id").alias("rid"))
     texts = docs.select(*_text_key(text_col), F.xxhash64(id_col).alias("rid"), F.col(text_col).alias("t"))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -188,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     whole = texts.join(wanted, ["t1", "t2", "rid"]).select("node", "t").dropDuplicates(["node"])
     whole = stored(whole.mapInArrow(mapped(sets), "node long, s array<long>"))
-    roots = components(set_links(one.select("node", "n", "keys"), whole, over, under))
+    roots = components(set_links(one.select("node", "n", "keys"), whole, over, under, met))
     joined = one.select("node", "d1", "d2", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("least_id").alias("component"))
     by_set = joined.join(least, "root").select("d1", "d2", "component")
