@@ -9,7 +9,7 @@ from tidemark.operators.distance import nearest_l1, pairwise_l1
 from tidemark.operators.windows import running_total
 from tidemark.sources.archives import read_archive_tables, scan_archives
 from tidemark.sources.sections import read_zip_lines, read_zip_tables
-from tidemark.streaming.history import read_distinct_history, stream_distinct_history
+from tidemark.streaming.history import BUCKETS, read_distinct_history, stream_distinct_history
 
 
 def sectioned(n):
@@ -85,6 +85,16 @@ def test_old_rows_are_known_after_a_restart(spark, tmp_path):
     assert read_distinct_history(spark, history).count() == len({*deliveries[0], *deliveries[1]}) + 4
 
 
+def test_state_is_held_by_bucket_not_by_row(spark, tmp_path):
+    source, history, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for low, high in ((0, 4000), (2000, 6000)):
+        spark.range(low, high).union(spark.range(low, low + 10)).write.mode("append").parquet(source)
+        query = stream_distinct_history(spark, source, history, "id long", checkpoint=state)
+        query.awaitTermination()
+    assert sum(op["numRowsTotal"] for p in query.recentProgress[-1:] for op in p["stateOperators"]) <= BUCKETS
+    assert sorted(r.id for r in read_distinct_history(spark, history).collect()) == sorted([*range(4000), *range(2000, 6000), *range(2000, 2010)])
+
+
 def test_clustered_vectors_are_compared_in_part(spark):
     rng = np.random.default_rng(4)
     centres = rng.uniform(0, 1000, (16, 8))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,15 +58,37 @@ def read_history(spark: SparkSession, history: str, dedup_old: bool = True) -> D
 
 
 FIRST, COPIES = "_first", "_copies"
+#: Groups of rows with one state each; fixed for the life of a checkpoint.
+BUCKETS = 256
+_DIGEST = np.dtype([("h1", "<i8"), ("h2", "<i8")])
+
+
+def _digests(pdf: pd.DataFrame) -> np.ndarray:
+    found = np.empty(len(pdf), _DIGEST)
+    found["h1"], found["h2"] = pdf["_h1"], pdf["_h2"]
+    return found
 
 
 def _first_seen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rows of one key in a micro-batch as one line: their number, and whether an earlier micro-batch had them."""
-    copies, row = 0, None
+    """The rows of one bucket in a micro-batch, a line per distinct one: their number, and whether an earlier micro-batch had them.
+
+    The state is the sorted digests of all rows so far. The batch is read as a stream, of which the distinct rows are kept.
+    """
+    old = np.frombuffer(state.get[0], _DIGEST) if state.exists else np.empty(0, _DIGEST)
+    rows, digest, copies = None, np.empty(0, _DIGEST), np.empty(0, np.int64)
     for pdf in batches:
-        copies, row = copies + len(pdf), pdf.iloc[:1] if row is None else row
-    yield row.assign(**{FIRST: not state.exists, COPIES: copies})
-    state.update((True,))
+        if pdf.empty:
+            continue
+        rows = pdf if rows is None else pd.concat([rows, pdf], ignore_index=True)
+        digest, at, which = np.unique(np.concatenate([digest, _digests(pdf)]), return_index=True, return_inverse=True)
+        copies = np.bincount(which, np.concatenate([copies, np.ones(len(pdf))]), len(digest)).astype(np.int64)
+        rows = rows.iloc[at]
+    if rows is None:
+        return
+    first = ~np.isin(digest, old)
+    yield rows.assign(**{FIRST: first, COPIES: copies})
+    if first.any():
+        state.update((np.sort(np.concatenate([old, digest[first]])).tobytes(),))
 
 
 def stream_distinct_history(
@@ -74,7 +97,8 @@ def stream_distinct_history(
 ) -> StreamingQuery:
     """A history of one stream that knows its old rows: keyed state tells which rows of a micro-batch are new.
 
-    Rows are keyed by two hashes of all their columns. A micro-batch is stored as one line per distinct row with the number of its copies and whether
+    Rows are told apart by two hashes of all their columns, and ``BUCKETS`` groups of rows hold the hashes seen as a state each, so a
+    micro-batch of any size calls Python at most that often and reads and writes the states of the buckets it meets. A micro-batch is stored as one line per distinct row with the number of its copies and whether
     it is the first of its kind, so ``read_distinct_history`` finds the distinct old rows by a filter. The state lives in the
     checkpoint: a query that starts again goes on from there, and a micro-batch that is run again replaces its own folder.
     """
@@ -83,13 +107,13 @@ def stream_distinct_history(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     rows = reader.load(source)
     columns = rows.columns
-    keyed = rows.select("*", F.xxhash64(F.to_json(F.struct(*columns))).alias("_h1"), F.xxhash64(F.lit(1), F.to_json(F.struct(*columns))).alias("_h2"))
+    keyed = rows.select("*", F.xxhash64(F.to_json(F.struct(*columns))).alias("_h1"), F.xxhash64(F.lit(1), F.to_json(F.struct(*columns))).alias("_h2")).withColumn("_bucket", F.pmod("_h1", F.lit(BUCKETS)))
     kept = T.StructType([*keyed.schema.fields, T.StructField(FIRST, T.BooleanType()), T.StructField(COPIES, T.LongType())])
-    told = keyed.groupBy("_h1", "_h2").applyInPandasWithState(
-        _first_seen, kept, T.StructType([T.StructField("seen", T.BooleanType())]), "append", GroupStateTimeout.NoTimeout)
+    told = keyed.groupBy("_bucket").applyInPandasWithState(
+        _first_seen, kept, T.StructType([T.StructField("seen", T.BinaryType())]), "append", GroupStateTimeout.NoTimeout)
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.drop("_h1", "_h2").write.mode("overwrite").parquet(f"{history}/{BATCH}={number}")
+        batch.drop("_h1", "_h2", "_bucket").write.mode("overwrite").parquet(f"{history}/{BATCH}={number}")
 
     return (told.writeStream.foreachBatch(store).outputMode("append").option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
