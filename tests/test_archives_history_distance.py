@@ -95,6 +95,15 @@ def test_state_is_held_by_bucket_not_by_row(spark, tmp_path):
     assert sorted(r.id for r in read_distinct_history(spark, history).collect()) == sorted([*range(4000), *range(2000, 6000), *range(2000, 2010)])
 
 
+def test_large_numbers_beside_nulls_are_kept(spark, tmp_path):
+    source, history, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = [(2**53 + 1 + i if i % 3 else None, [float("inf"), 0.1, None][i % 3], None if i % 2 else True) for i in range(900)]
+    schema = "id long, v double, b boolean"
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    stream_distinct_history(spark, source, history, schema, checkpoint=state).awaitTermination()
+    assert sorted(map(str, map(tuple, read_distinct_history(spark, history).collect()))) == sorted(map(str, rows))
+
+
 def test_clustered_vectors_are_compared_in_part(spark):
     rng = np.random.default_rng(4)
     centres = rng.uniform(0, 1000, (16, 8))

@@ -108,12 +108,16 @@ def stream_distinct_history(
     rows = reader.load(source)
     columns = rows.columns
     keyed = rows.select("*", F.xxhash64(F.to_json(F.struct(*columns))).alias("_h1"), F.xxhash64(F.lit(1), F.to_json(F.struct(*columns))).alias("_h2")).withColumn("_bucket", F.pmod("_h1", F.lit(BUCKETS)))
+    # as text, since pandas makes floats of whole numbers beside a null, and a null of NaN
+    plain = {f.name: f.dataType for f in rows.schema if isinstance(f.dataType, (T.NumericType, T.BooleanType))}
+    keyed = keyed.withColumns({c: F.col(c).cast("string") for c in plain})
     kept = T.StructType([*keyed.schema.fields, T.StructField(FIRST, T.BooleanType()), T.StructField(COPIES, T.LongType())])
     told = keyed.groupBy("_bucket").applyInPandasWithState(
         _first_seen, kept, T.StructType([T.StructField("seen", T.BinaryType())]), "append", GroupStateTimeout.NoTimeout)
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.drop("_h1", "_h2", "_bucket").write.mode("overwrite").parquet(f"{history}/{BATCH}={number}")
+        typed = batch.withColumns({c: F.col(c).cast(t) for c, t in plain.items()})
+        typed.drop("_h1", "_h2", "_bucket").write.mode("overwrite").parquet(f"{history}/{BATCH}={number}")
 
     return (told.writeStream.foreachBatch(store).outputMode("append").option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
