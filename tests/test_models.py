@@ -104,6 +104,20 @@ def test_tree_importance(tree_frame, task, target):
     assert got[0]["feature"] == "u" and sum(r["importance"] for r in got) == pytest.approx(1)
 
 
+def test_tasks_of_a_boosted_fit_are_bounded_by_rows(tree_frame, monkeypatch):
+    seen = []
+
+    class Seen(features.GBTRegressor):
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return super().fit(df)
+
+    monkeypatch.setattr(features, "GBTRegressor", Seen)
+    monkeypatch.setattr(features, "FIT_ROWS", 100, raising=False)
+    features.tree_importance(tree_frame, ["v", "u"], "t", rounds=1)
+    assert seen == [15]
+
+
 def test_permutation_importance(tree_frame, monkeypatch):
     monkeypatch.setattr(features, "GROUP_ROWS", 400)
     got = features.permutation_importance(tree_frame, ["v", "u"], "t", repeats=2, trees=10).collect()

@@ -313,7 +313,7 @@ def lasso_of_one(spark, sf):
 
 @query()
 def tree_importance(spark, sf):
-    return features.tree_importance(_training(spark, sf), FEATURES, TARGET, rounds=5)
+    return features.tree_importance(table(spark, sf, "lineitem"), FEATURES, TARGET, rounds=5)
 
 
 @query()
@@ -331,7 +331,7 @@ SELECT feature, r = (SELECT max(r) FROM r) AS leads FROM r
 
 
 def _stepped(spark, sf, decides):
-    return _training(spark, sf).withColumn("step", F.when(F.expr(decides), 10.0).otherwise(0.0))
+    return table(spark, sf, "lineitem").withColumn("step", F.when(F.expr(decides), 10.0).otherwise(0.0))
 
 
 def _leads(found, value):

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import uniform
-from tidemark.session import stored
+from tidemark.session import spread_rows, stored
 
 GROUP_ROWS = 100_000
+#: Rows a task of a tree fit keeps; some 250 bytes each for a few features.
+FIT_ROWS = 500_000
 
 
 def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -151,9 +153,10 @@ def _vectors(df: DataFrame, features: list[str], target: str) -> DataFrame:
 def tree_importance(
     df: DataFrame, features: list[str], target: str, task: str = "regression", rounds: int = 20, seed: int = 13
 ) -> DataFrame:
-    """Importance of each feature in boosted trees, largest first."""
+    """Importance of each feature in boosted trees, largest first. A task of the fit has at most ``FIT_ROWS`` rows, about."""
     booster = GBTRegressor if task == "regression" else GBTClassifier
-    model = booster(featuresCol="_x", labelCol=target, maxIter=rounds, seed=seed).fit(_vectors(df, features, target))
+    rows = spread_rows(_doubles(df, [*features, target]), FIT_ROWS)
+    model = booster(featuresCol="_x", labelCol=target, maxIter=rounds, seed=seed).fit(_vectors(rows, features, target))
     lines = sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda p: (-p[1], p[0]))
     return _rows(df.sparkSession, lines, "feature STRING, importance DOUBLE")
 
