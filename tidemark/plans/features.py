@@ -172,7 +172,8 @@ def permutation_importance(
     once and no task ranks the whole frame. The groups go by a stored row number, so copies of a row
     spread evenly and a retry draws the same groups. The score is R^2, or accuracy for classes.
     """
-    rows = stored(_doubles(df, [*features, target]).dropna().withColumn("_row", F.monotonically_increasing_id()))
+    spread = spread_rows(_doubles(df, [*features, target]), FIT_ROWS)
+    rows = stored(spread.dropna().withColumn("_row", F.monotonically_increasing_id()))
     vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(rows).persist()
     forest = RandomForestRegressor if task == "regression" else RandomForestClassifier
     try:
