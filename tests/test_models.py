@@ -127,6 +127,32 @@ def test_permutation_importance(tree_frame, monkeypatch):
     assert [r["perm_score"] for r in again] == pytest.approx([r["perm_score"] for r in got])
 
 
+@pytest.mark.parametrize("task, target", [("regression", "t"), ("classification", "c")])
+def test_permutations_are_scored_by_cell(tree_frame, monkeypatch, task, target):
+    frame = tree_frame.withColumn("c", (F.col("t") > 4).cast("double"))
+    kind = features.RandomForestRegressor if task == "regression" else features.RandomForestClassifier
+    scored = []
+
+    class Seen(kind):
+        def fit(self, df):
+            model = super().fit(df)
+            transform = model.transform
+            model.transform = lambda rows: (scored.append(rows.count()), transform(rows))[1]
+            return model
+
+    monkeypatch.setattr(features, kind.__name__, Seen)
+    found = []
+    for most in (1 << 17, 0):
+        monkeypatch.setattr(features, "CELLS", most, raising=False)
+        scored.append(0)
+        got = features.permutation_importance(frame, ["v", "u"], target, repeats=2, trees=3, depth=3, task=task).collect()
+        found.append({r.feature: (r.perm_score, r.perm_score_std) for r in got})
+    # cells of the base and of four shuffled copies, not their rows
+    assert max(scored[:3]) < 1500 and max(scored[3:]) == 6000
+    for f in ("v", "u"):
+        assert found[0][f] == pytest.approx(found[1][f], rel=1e-9, abs=1e-12)
+
+
 # segments
 
 BUYS = [("A", "2020-01-01 00:00:10", 1, 5), ("A", "2020-01-01 00:00:20", 2, 5), ("B", "2020-01-01 00:00:10", 1, 7),

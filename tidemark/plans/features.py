@@ -3,6 +3,9 @@ only matrices as large as the number of features reach the driver."""
 
 from __future__ import annotations
 
+import re
+from math import prod
+
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,6 +19,8 @@ from tidemark.session import spread_rows, stored
 GROUP_ROWS = 100_000
 #: Rows a task of a tree fit keeps; some 250 bytes each for a few features.
 FIT_ROWS = 500_000
+#: Cells between the thresholds of a forest up to which rows are added up by cell before they are scored.
+CELLS = 1 << 17
 
 
 def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -161,6 +166,25 @@ def tree_importance(
     return _rows(df.sparkSession, lines, "feature STRING, importance DOUBLE")
 
 
+def _snapped(model, features: list[str]) -> tuple[dict[str, Column], int]:
+    """Per feature a value that every tree treats as the row's own, and the number of cells these values can form.
+
+    The thresholds of all trees cut a feature into intervals; the upper end of its interval stands for a value.
+    """
+    cuts = {f: set() for f in features}
+    for i, cut in re.findall(r"If \(feature (\d+) <= (\S+)\)", model.toDebugString):
+        cuts[features[int(i)]].add(float(cut))
+
+    def end(f: str, ends: list[float]) -> Column:
+        if len(ends) == 1:
+            return F.lit(ends[0])
+        half = len(ends) // 2
+        return F.when(F.col(f) <= ends[half - 1], end(f, ends[:half])).otherwise(end(f, ends[half:]))
+
+    ends = {f: [*sorted(c), float("inf")] for f, c in cuts.items()}
+    return {f: end(f, e) for f, e in ends.items()}, prod(len(e) for e in ends.values())
+
+
 def permutation_importance(
     df: DataFrame, features: list[str], target: str, repeats: int = 10, seed: int = 13,
     trees: int = 100, task: str = "regression", depth: int = 5,
@@ -171,55 +195,68 @@ def permutation_importance(
     their values on to the next row of a random order, the last to the first, so each value is used
     once and no task ranks the whole frame. The groups go by a stored row number, so copies of a row
     spread evenly and a retry draws the same groups. The score is R^2, or accuracy for classes.
+
+    A forest sees only between which of its thresholds a value lies. Where these intervals form at most ``CELLS`` cells, rows are
+    added up by cell and the forest scores cells; else it scores every row.
     """
     spread = spread_rows(_doubles(df, [*features, target]), FIT_ROWS)
     rows = stored(spread.dropna().withColumn("_row", F.monotonically_increasing_id()))
-    vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(rows).persist()
+    vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
     forest = RandomForestRegressor if task == "regression" else RandomForestClassifier
-    try:
-        model = forest(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
-        size, mean = vectors.agg(F.count(F.lit(1)), F.avg(target)).first()
-        groups = max(1, -(-size // GROUP_ROWS))
-        truth = F.col(target)
-
-        def shuffled(repeat: int) -> DataFrame:
-            drawn = rows.withColumns({
-                "_g": F.floor(uniform(F.col("_row"), F.lit(seed), F.lit(repeat), F.lit("g")) * groups),
-                "_o": uniform(F.col("_row"), F.lit(seed), F.lit(repeat), F.lit("o")),
-            })
-            ring, whole = Window.partitionBy("_g").orderBy("_o"), Window.partitionBy("_g")
-            first = F.first(F.struct(*features)).over(
-                ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-            moved = drawn.withColumn("_next", F.coalesce(F.lead(F.struct(*features)).over(ring), first))
-            # one copy of a row per feature, with that feature taken from the next row
-            copies = F.array(*[
-                F.struct(F.lit(f).alias("_f"), *[
-                    (F.col(f"_next.{c}") if c == f else F.col(c)).alias(c) for c in features
-                ]) for f in features
-            ])
-            return moved.select(target, F.explode(copies).alias("_c")).select(target, "_c.*").withColumn(
-                "_repeat", F.lit(repeat))
-
-        def score() -> Column:
-            if task != "regression":
-                return F.avg((F.col("prediction") == truth).cast("double"))
-            lost = F.sum((truth - F.col("prediction")) ** 2)
-            return 1 - lost / F.sum((truth - F.lit(float(mean))) ** 2)
-
-        base = model.transform(vectors).agg(score()).first()[0]
-        frames = [shuffled(r) for r in range(repeats)]
-        union = frames[0]
-        for frame in frames[1:]:
-            union = union.unionByName(frame)
-        assembled = VectorAssembler(inputCols=features, outputCol="_x").transform(union)
-        scores = model.transform(assembled).groupBy("_f", "_repeat").agg(score().alias("score"))
-        drops = scores.groupBy(F.col("_f").alias("feature")).agg(
-            F.avg(F.lit(float(base)) - F.col("score")).alias("perm_score"),
-            F.stddev_pop(F.lit(float(base)) - F.col("score")).alias("perm_score_std"),
-        )
-        lines = [tuple(r) for r in drops.orderBy(F.desc("perm_score"), "feature").collect()]
-    finally:
-        vectors.unpersist()
+    model = forest(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
+    size, mean = rows.agg(F.count(F.lit(1)), F.avg(target)).first()
+    groups = max(1, -(-size // GROUP_ROWS))
+    ends, cells = _snapped(model, features)
+    few = cells <= CELLS
+    if few:
+        rows = rows.withColumns(ends)
+
+    def shuffled(repeat: int) -> DataFrame:
+        drawn = rows.withColumns({
+            "_g": F.floor(uniform(F.col("_row"), F.lit(seed), F.lit(repeat), F.lit("g")) * groups),
+            "_o": uniform(F.col("_row"), F.lit(seed), F.lit(repeat), F.lit("o")),
+        })
+        ring = Window.partitionBy("_g").orderBy("_o")
+        first = F.first(F.struct(*features)).over(
+            ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        moved = drawn.withColumn("_next", F.coalesce(F.lead(F.struct(*features)).over(ring), first))
+        # one copy of a row per feature, with that feature taken from the next row
+        copies = F.array(*[
+            F.struct(F.lit(f).alias("_f"), *[
+                (F.col(f"_next.{c}") if c == f else F.col(c)).alias(c) for c in features
+            ]) for f in features
+        ])
+        return moved.select(target, F.explode(copies).alias("_c")).select(target, "_c.*").withColumn(
+            "_repeat", F.lit(repeat))
+
+    def scored(copies: DataFrame) -> DataFrame:
+        """The score by feature and repeat."""
+        # a target from its mean keeps the squares small; a class is told by its value
+        off = F.col(target) - F.lit(float(mean)) if task == "regression" else F.col(target)
+        lines = copies.withColumn("_t", off)
+        keys = ["_f", "_repeat", *features, *([] if task == "regression" else ["_t"])]
+        sums = {"_n": F.lit(1.0), "_s": F.col("_t"), "_q": F.col("_t") * F.col("_t")}
+        if few:
+            lines = lines.groupBy(*keys).agg(*[F.sum(v).alias(c) for c, v in sums.items()])
+        else:
+            lines = lines.withColumns(sums)
+        found = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(lines))
+        if task != "regression":
+            score = F.sum(F.when(F.col("prediction") == F.col("_t"), F.col("_n")).otherwise(0.0)) / F.sum("_n")
+        else:
+            guess = F.col("prediction") - F.lit(float(mean))
+            score = 1 - F.sum(F.col("_q") - 2 * guess * F.col("_s") + guess * guess * F.col("_n")) / F.sum("_q")
+        return found.groupBy("_f", "_repeat").agg(score.alias("score"))
+
+    base = scored(rows.select(*features, target, F.lit("").alias("_f"), F.lit(0).alias("_repeat"))).first()["score"]
+    union = shuffled(0)
+    for r in range(1, repeats):
+        union = union.unionByName(shuffled(r))
+    drops = scored(union).groupBy(F.col("_f").alias("feature")).agg(
+        F.avg(F.lit(float(base)) - F.col("score")).alias("perm_score"),
+        F.stddev_pop(F.lit(float(base)) - F.col("score")).alias("perm_score_std"),
+    )
+    lines = [tuple(r) for r in drops.orderBy(F.desc("perm_score"), "feature").collect()]
     return _rows(df.sparkSession, lines, "feature STRING, perm_score DOUBLE, perm_score_std DOUBLE")
 
 
