@@ -6,8 +6,10 @@ import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 
+from tidemark.plans import sweep
 from tidemark.plans.rfm import kmeans_sweep
 from tidemark.plans.sweep import kmeans_sweep_shared
+from tidemark.session import stored
 
 
 def frame(spark, rows):
@@ -42,3 +44,13 @@ def test_defined_cases(spark):
     assert two[1].cost == 0 and two[1].silhouette == 1.0 and two[2].silhouette == 1.0
     with pytest.raises(ValueError):
         kmeans_sweep_shared(frame(spark, []), [0], features="v")
+
+
+def test_passes_read_blocks_on_all_cores(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(sweep, "stored", lambda df: held.append(stored(df)) or held[0])
+    found = kmeans_sweep_shared(spark.range(0, 200_000, 1, 1).selectExpr("array(id % 3 * 10D, id % 3 + 0D) AS v"), [3], features="v").first()
+    assert found.cost == 0 and found.silhouette == 1.0
+    assert held[0].count() < 100 and held[0].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    with pytest.raises(Exception, match="several lengths"):
+        kmeans_sweep_shared(frame(spark, [([1.0],), ([1.0, 2.0, 3.0],)]).coalesce(1), [2], features="v")

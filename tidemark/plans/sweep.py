@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -16,18 +17,57 @@ from tidemark.session import stored
 
 #: Passes that draw candidates; draws among them per k; how many of those go on to all vectors; candidates a pass, per largest k.
 ROUNDS, RESTARTS, STARTS, OVER = 4, 24, 4, 10
+#: Numbers of a stored block.
+BLOCK = 1 << 16
+
+
+def _distances(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Squared distance of each row to ``centre``, one component after the other: rows have few components, and columns are read fast."""
+    d = np.zeros(len(x))
+    for column, c in zip(x.T, centre, strict=True):
+        off = column - c
+        off *= off
+        d += off
+    return d
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of the nearest centre and squared distance to it, for each row."""
     best, at = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
     for i, c in enumerate(centres):
-        d = ((x - c) ** 2).sum(axis=1)
-        closer = d < best
-        best[closer], at[closer] = d[closer], i
+        d = _distances(x, c)
+        # the first of equal distances stays
+        np.copyto(at, i, where=d < best)
+        np.minimum(best, d, out=best)
     return at, best
 
 
+def _pack(batches):
+    """Vectors as blocks of doubles, component by component, with the number of vectors."""
+    for batch in batches:
+        held = batch.column(0)
+        sizes = pc.unique(pc.list_value_length(held)).to_pylist()
+        if len(sizes) > 1:
+            raise ValueError("vectors of several lengths")
+        rows = max(1, BLOCK // max(sizes[0], 1)) if sizes else 1
+        for at in range(0, len(held), rows):
+            part = held.slice(at, rows)
+            x = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+            yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int32()), pa.array([np.ascontiguousarray(x.T).tobytes()], pa.binary())], ["n", "b"])
+
+
+def _blocks(batches):
+    """The blocks of ``_pack`` as matrices of a row per vector."""
+    for batch in batches:
+        for n, b in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield np.frombuffer(b.as_buffer()).reshape(-1, n).T
+
+
+def _lines(names: list[str], lines: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*lines)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if name == "v" else pa.int32()) for name, c in zip(names, columns)], names)
+
+
 def _seeds(points: np.ndarray, weight: np.ndarray, k: int, draw: np.random.Generator) -> list[np.ndarray]:
     """The ``STARTS`` best of several weighted draws of ``k`` of the candidate points, each improved among the candidates."""
     found = []
@@ -48,7 +88,7 @@ def _seeds(points: np.ndarray, weight: np.ndarray, k: int, draw: np.random.Gener
 
 
 class _Passes:
-    """Passes over stored vectors; each sums by (k, cluster) inside the tasks, so a model's worth of numbers returns."""
+    """Passes over stored blocks of vectors; each sums by (k, cluster) inside the tasks, so a model's worth of numbers returns."""
 
     def __init__(self, vectors: DataFrame):
         self.vectors, self.count = vectors, 0
@@ -59,18 +99,14 @@ class _Passes:
 
         def add_up(batches):
             totals = {k: np.zeros((len(c), c.shape[1] + 2)) for k, c in centres.items()}
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x = np.stack(pdf["_v"])
+            for x in _blocks(batches):
                 for k, c in centres.items():
                     at, cost = _nearest(x, c)
-                    part = [np.ones(len(x)), cost, *(x - c[at]).T]
+                    part = [np.ones(len(x)), cost, *(x[:, j] - c[at, j] for j in range(c.shape[1]))]
                     totals[k] += np.stack([np.bincount(at, p, len(c)) for p in part], axis=1)
-            lines = [(k, i, j, v) for k, t in totals.items() for (i, j), v in np.ndenumerate(t) if v]
-            yield pd.DataFrame(lines, columns=["k", "c", "j", "v"])
+            yield _lines(["k", "c", "j", "v"], [(k, i, j, v) for k, t in totals.items() for (i, j), v in np.ndenumerate(t) if v])
 
-        found = self.vectors.mapInPandas(add_up, "k INT, c INT, j INT, v DOUBLE").groupBy("k", "c", "j").agg(F.sum("v").alias("v"))
+        found = self.vectors.mapInArrow(add_up, "k INT, c INT, j INT, v DOUBLE").groupBy("k", "c", "j").agg(F.sum("v").alias("v"))
         out = {k: np.zeros((len(c), c.shape[1] + 2)) for k, c in centres.items()}
         for r in found.collect():
             out[r.k][r.c, r.j] = r.v
@@ -82,11 +118,11 @@ class _Passes:
 
         def draw(batches):
             chance = np.random.default_rng([seed, TaskContext.get().partitionId()])
-            for pdf in batches:
-                if len(pdf):
-                    yield pdf[chance.random(len(pdf)) < share * _nearest(np.stack(pdf["_v"]), centres)[1]]
+            for x in _blocks(batches):
+                chosen = x[chance.random(len(x)) < share * _nearest(x, centres)[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(chosen.tolist(), pa.list_(pa.float64()))], ["_v"])
 
-        rows = [r[0] for r in self.vectors.mapInPandas(draw, self.vectors.schema).collect()]
+        rows = [r[0] for r in self.vectors.mapInArrow(draw, "_v ARRAY<DOUBLE>").collect()]
         return np.array(rows).reshape(len(rows), centres.shape[1])
 
     def silhouettes(self, means: dict[int, np.ndarray], spread: dict[int, np.ndarray], rows: dict[int, np.ndarray],
@@ -96,25 +132,22 @@ class _Passes:
 
         def judge(batches):
             totals = dict.fromkeys(means, 0.0)
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x = np.stack(pdf["_v"])
+            for x in _blocks(batches):
                 for k, m in means.items():
                     at, n = _nearest(x, centres[k])[0], rows[k]
-                    far = np.stack([((x - c) ** 2).sum(axis=1) for c in m], axis=1) + spread[k]
-                    far[:, n == 0] = np.inf
+                    far = np.stack([_distances(x, c) + s for c, s in zip(m, spread[k])])
+                    far[n == 0] = np.inf
                     each, size = np.arange(len(x)), n[at]
-                    own = far[each, at] * size / np.maximum(size - 1, 1)
-                    far[each, at] = np.inf
-                    other = far.min(axis=1)
+                    own = far[at, each] * size / np.maximum(size - 1, 1)
+                    far[at, each] = np.inf
+                    other = far.min(axis=0)
                     most = np.maximum(own, other)
                     with np.errstate(invalid="ignore"):
                         value = np.where((size > 1) & (most > 0), (other - own) / most, 0.0)
                     totals[k] += float(value.sum())
-            yield pd.DataFrame(list(totals.items()), columns=["k", "v"])
+            yield _lines(["k", "v"], list(totals.items()))
 
-        found = self.vectors.mapInPandas(judge, "k INT, v DOUBLE").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        found = self.vectors.mapInArrow(judge, "k INT, v DOUBLE").groupBy("k").agg(F.sum("v").alias("v")).collect()
         return {r.k: r.v for r in found}
 
 
@@ -137,12 +170,14 @@ def kmeans_sweep_shared(
         raise ValueError("every k is 1 or more")
     shape = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("cost", T.DoubleType()), T.StructField("silhouette", T.DoubleType())])
     column = F.col(features) if isinstance(df.schema[features].dataType, T.ArrayType) else vector_to_array(features)
-    vectors = stored(df.where(F.col(features).isNotNull()).select(column.cast("array<double>").alias("_v")))
-    first = vectors.first()
+    vectors = df.where(F.col(features).isNotNull()).select(column.cast("array<double>").alias("_v"))
+    # a pass reads blocks: a row per vector would cost it more than the distances
+    blocks = stored(vectors.mapInArrow(_pack, "n INT, b BINARY").repartition(df.sparkSession.sparkContext.defaultParallelism))
+    first = blocks.first()
     if first is None:
         return df.sparkSession.createDataFrame([], shape)
-    job = _Passes(vectors)
-    points = np.array([first[0]])
+    job = _Passes(blocks)
+    points = np.frombuffer(first.b).reshape(-1, first.n)[:, :1].T
     for i in range(ROUNDS):
         cost = job.sums({1: points})[1][:, 1].sum()
         if cost == 0:
