@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import hashed_diff
 from tidemark.operators.compare import frame_diffs
 from tidemark.operators.facet_index import facet_counts, facet_index
 from tidemark.operators.hashed_diff import frame_diffs_hashed
@@ -53,6 +54,17 @@ def test_only_changed_parts_are_joined(spark):
     assert frame_diffs_hashed(a, a.repartition(3), ["id"]).count() == 0
 
 
+def test_fine_digests_are_summed_in_tasks_of_bounded_rows(spark, monkeypatch):
+    a = spark.range(20_000).select("id", (F.col("id") % 5).alias("k"))
+    b = a.withColumn("k", F.when(F.col("id") % 4 == 0, 9).otherwise(F.col("k")))
+    held = []
+    monkeypatch.setattr(hashed_diff, "stored", lambda df: held.append(df) or df)
+    monkeypatch.setattr(hashed_diff, "FINE_ROWS", 2_000, raising=False)
+    assert frame_diffs_hashed(a, b, ["id"]).count() == 5_000
+    # about 20 tasks for the 40,000 rows of both, in the stage that tells the parts
+    assert 15 <= held[0].rdd.getNumPartitions() <= 20
+
+
 def test_nulls_repeats_and_empty(spark):
     shape = "k INT, v STRING, w STRING"
     a = spark.createDataFrame([(None, "x", None), (1, None, "x"), (2, "y", "y")], shape)

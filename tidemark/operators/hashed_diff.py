@@ -10,6 +10,8 @@ from tidemark.session import stored
 
 #: Parts of a level.
 PARTS = 4096
+#: Rows of both frames whose hashes a task sums by fine part.
+FINE_ROWS = 500_000
 
 
 def _hash(columns: list[str], salt: int) -> Column:
@@ -18,18 +20,26 @@ def _hash(columns: list[str], salt: int) -> Column:
     return F.xxhash64(F.lit(salt), *parts)
 
 
-def _digests(df: DataFrame, part: Column, columns: list[str]) -> DataFrame:
-    """Per part the rows and two sums of hashes: the same in any row order, and changed by a repeated row."""
-    sums = [F.sum(_hash(columns, salt).cast("decimal(20,0)")).alias(f"h{salt}") for salt in (1, 2)]
-    return df.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), *sums)
+def _unequal(a: DataFrame, b: DataFrame, part: Column, columns: list[str], tasks: int | None = None) -> DataFrame:
+    """The parts whose digests differ, as (part, rows).
 
-
-def _unequal(a: DataFrame, b: DataFrame, part: Column, columns: list[str]) -> DataFrame:
-    """The parts whose digests differ."""
-    sides = [_digests(df, part, columns).withColumn("side", F.lit(i)) for i, df in enumerate((a, b))]
-    # a part is equal when both frames have it and each digest has one value
-    told = F.count_distinct(F.struct("n", "h1", "h2"))
-    return sides[0].union(sides[1]).groupBy("part").agg(told.alias("kinds"), F.count(F.lit(1)).alias("sides")).where("kinds > 1 OR sides < 2").select("part")
+    A digest is the number of rows and the sums of the halves of two hashes: the same in any row order, and changed by a repeated
+    row. Rows of ``b`` count negative, so a part is equal when its sums are 0, and one aggregate serves both frames. With ``tasks``
+    the hashes are dealt to so many tasks before they are summed, for parts of so few rows that sums inside the tasks do not shrink them.
+    """
+    sides = [
+        df.select(part.alias("part"), F.lit(sign).cast("long").alias("n"), *[_hash(columns, salt).alias(f"h{salt}") for salt in (1, 2)])
+        for df, sign in ((a, 1), (b, -1))
+    ]
+    signed = sides[0].union(sides[1])
+    if tasks is not None:
+        signed = signed.repartition(tasks, "part")
+    # halves, as sums of whole hashes would not fit a long
+    halves = {f"{h}{side}": half for h in ("h1", "h2") for side, half in (
+        ("low", F.col(h).bitwiseAND(F.lit((1 << 32) - 1))), ("high", F.shiftright(h, 32)))}
+    sums = {"n": F.col("n"), **{name: F.col("n") * half for name, half in halves.items()}}
+    told = signed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(v).alias(f"sum_{c}") for c, v in sums.items()])
+    return told.where(" OR ".join(f"sum_{c} <> 0" for c in sums)).select("part", "rows")
 
 
 def frame_diffs_hashed(a: DataFrame, b: DataFrame, keys: list[str], joined: list[int] | None = None) -> DataFrame:
@@ -37,7 +47,8 @@ def frame_diffs_hashed(a: DataFrame, b: DataFrame, keys: list[str], joined: list
 
     Rows fall into parts by a hash of their keys. One aggregate digests ``PARTS`` parts of each frame, summed inside the tasks; the
     rows of parts that differ are digested again in ``PARTS`` finer parts each, and only the rows of fine parts that differ are
-    joined. Each frame is read three times, and what moves is the digests and about a fine part per changed row. Digests are two sums of
+    joined. Each frame is read three times; what moves is the digests of coarse parts, the hashes of rows of those that differ, in tasks
+    of about ``FINE_ROWS`` rows, and about a fine part per changed row. Digests are two sums of
     64-bit hashes and a count, so a changed part is missed with a chance near 2^-128. ``joined`` receives the
     number of rows joined. Key columns of one name need one type. Keys are meant to be unique: where both frames hold the same rows of
     a repeated key, nothing is reported.
@@ -48,9 +59,11 @@ def frame_diffs_hashed(a: DataFrame, b: DataFrame, keys: list[str], joined: list
     columns = [*keys, *[c for c in a.columns if c in b.columns and c not in keys]]
     coarse = F.pmod(_hash(keys, 0), F.lit(PARTS))
     fine = coarse * PARTS + F.pmod(F.shiftright(_hash(keys, 0), 20), F.lit(PARTS))
-    parts = [r[0] for r in _unequal(a, b, coarse, columns).collect()]  # at most PARTS numbers
+    found = _unequal(a, b, coarse, columns).collect()  # at most PARTS lines
+    parts = [r.part for r in found]
+    tasks = max(a.sparkSession.sparkContext.defaultParallelism, -(-sum(r.rows for r in found) // FINE_ROWS))
     a, b = (df.where(coarse.isin(parts) if parts else F.lit(False)) for df in (a, b))
-    changed = stored(_unequal(a, b, fine, columns))
+    changed = stored(_unequal(a, b, fine, columns, tasks).select("part"))
     a, b = (df.join(changed, fine == F.col("part"), "left_semi") for df in (a, b))
     if joined is not None:
         joined.append(a.count() + b.count())
