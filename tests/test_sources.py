@@ -7,6 +7,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tidemark import session
 from tidemark.operators.compare import append_history, frames_equal
 from tidemark.session import shared_dir, spread, stored
 from tidemark.sources import files, sections, synth
@@ -127,6 +128,15 @@ def test_no_section(spark):
     assert sections.read_sections(lines_of(spark, "C,x\nD,y\n")) == {}
 
 
+def test_lines_are_tagged_in_tasks_of_bounded_text(spark, tmp_path, monkeypatch):
+    for i in range(200):
+        (tmp_path / f"f{i}.txt").write_text(SAMPLE)
+    monkeypatch.setattr(session, "SPREAD_BYTES", 400)
+    tagged = sections.tag_sections(files.read_lines(spark, str(tmp_path)))
+    assert tagged.rdd.getNumPartitions() == -(-200 * len(SAMPLE) // 400) > spark.sparkContext.defaultParallelism
+    assert rows(sections.section_ranges(tagged).groupBy("start", "end").count()) == [(4, 31, 200)]
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 200_000])
 def test_sections_by_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(sections, "BLOCK_LINES", block)

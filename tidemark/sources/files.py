@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from tidemark.functions.calendar import parse_time
+from tidemark.session import bounded_tasks
 
 
 def scan_csv(
@@ -56,16 +57,18 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     A large file is read as many splits. ``split`` is the byte offset a split starts at and
     ``seq`` rises inside it, so a line's number is its rank in the split plus the lines of
-    earlier splits of the file; no file has to pass through one task.
+    earlier splits of the file; no file has to pass through one task. The lines are dealt by split to tasks of about 8 MB of
+    text: shuffled lines are so small by their repeated paths that tasks joined up by shuffled bytes would hold far more.
     """
-    raw = spark.read.text(path).select(
+    text = spark.read.text(path)
+    raw = text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("text"),
     )
     inside = Window.partitionBy("file", "split").orderBy("seq")
-    ranked = raw.withColumn("_rank", F.row_number().over(inside).cast("bigint"))
+    ranked = raw.repartition(bounded_tasks(text), "file", "split").withColumn("_rank", F.row_number().over(inside).cast("bigint"))
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         raw.groupBy("file", "split").agg(F.count(F.lit(1)).alias("_n"))
