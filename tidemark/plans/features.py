@@ -4,7 +4,8 @@ only matrices as large as the number of features reach the driver."""
 from __future__ import annotations
 
 import re
-from math import prod
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
@@ -166,23 +167,39 @@ def tree_importance(
     return _rows(df.sparkSession, lines, "feature STRING, importance DOUBLE")
 
 
-def _snapped(model, features: list[str]) -> tuple[dict[str, Column], int]:
-    """Per feature a value that every tree treats as the row's own, and the number of cells these values can form.
-
-    The thresholds of all trees cut a feature into intervals; the upper end of its interval stands for a value.
-    """
+def _intervals(model, features: list[str]) -> dict[str, list[float]]:
+    """Per feature the upper ends of the intervals between the thresholds of all trees; every tree treats the values of one alike."""
     cuts = {f: set() for f in features}
     for i, cut in re.findall(r"If \(feature (\d+) <= (\S+)\)", model.toDebugString):
         cuts[features[int(i)]].add(float(cut))
+    return {f: [*sorted(c), float("inf")] for f, c in cuts.items()}
+
+
+class _Cells:
+    """Cells of the intervals of several features, numbered by one digit per feature."""
+
+    def __init__(self, ends: dict[str, list[float]]):
+        self.ends, self.steps, self.count = ends, {}, 1
+        for f, held in ends.items():
+            self.steps[f] = self.count
+            self.count *= len(held)
+
+    def number(self) -> Column:
+        """The cell of a row, from its features."""
+        def place(f: str, first: int, last: int) -> Column:
+            if first == last:
+                return F.lit(first * self.steps[f]).cast("long")
+            half = (first + last) // 2
+            return F.when(F.col(f) <= self.ends[f][half], place(f, first, half)).otherwise(place(f, half + 1, last))
+
+        return reduce(add, [place(f, 0, len(held) - 1) for f, held in self.ends.items()])
 
-    def end(f: str, ends: list[float]) -> Column:
-        if len(ends) == 1:
-            return F.lit(ends[0])
-        half = len(ends) // 2
-        return F.when(F.col(f) <= ends[half - 1], end(f, ends[:half])).otherwise(end(f, ends[half:]))
+    def digit(self, cell: str, f: str) -> Column:
+        return F.expr(f"({cell} div {self.steps[f]}L) % {len(self.ends[f])}L")
 
-    ends = {f: [*sorted(c), float("inf")] for f, c in cuts.items()}
-    return {f: end(f, e) for f, e in ends.items()}, prod(len(e) for e in ends.values())
+    def values(self, cell: str) -> dict[str, Column]:
+        """Per feature a value of the cell."""
+        return {f: F.element_at(F.array(*map(F.lit, held)), (self.digit(cell, f) + 1).cast("int")) for f, held in self.ends.items()}
 
 
 def permutation_importance(
@@ -206,40 +223,37 @@ def permutation_importance(
     model = forest(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
     size, mean = rows.agg(F.count(F.lit(1)), F.avg(target)).first()
     groups = max(1, -(-size // GROUP_ROWS))
-    ends, cells = _snapped(model, features)
-    few = cells <= CELLS
-    if few:
-        rows = rows.withColumns(ends)
+    cells = _Cells(_intervals(model, features))
+    few = cells.count <= CELLS
+    # what passes from row to row: a cell, or all features
+    value = cells.number() if few else F.struct(*features)
+    drawn = rows.select(F.col(target).alias("_t"), value.alias("_own"), "_row")
 
     def shuffled(repeat: int) -> DataFrame:
-        drawn = rows.withColumns({
+        placed = drawn.withColumns({
             "_g": F.floor(uniform(F.col("_row"), F.lit(seed), F.lit(repeat), F.lit("g")) * groups),
             "_o": uniform(F.col("_row"), F.lit(seed), F.lit(repeat), F.lit("o")),
         })
         ring = Window.partitionBy("_g").orderBy("_o")
-        first = F.first(F.struct(*features)).over(
-            ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        moved = drawn.withColumn("_next", F.coalesce(F.lead(F.struct(*features)).over(ring), first))
+        first = F.first("_own").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        moved = placed.withColumn("_next", F.coalesce(F.lead("_own").over(ring), first))
         # one copy of a row per feature, with that feature taken from the next row
         copies = F.array(*[
-            F.struct(F.lit(f).alias("_f"), *[
-                (F.col(f"_next.{c}") if c == f else F.col(c)).alias(c) for c in features
-            ]) for f in features
+            F.col("_own") + (cells.digit("_next", f) - cells.digit("_own", f)) * cells.steps[f] if few
+            else F.struct(*[F.col(f"{'_next' if c == f else '_own'}.{c}").alias(c) for c in features]) for f in features
         ])
-        return moved.select(target, F.explode(copies).alias("_c")).select(target, "_c.*").withColumn(
-            "_repeat", F.lit(repeat))
+        return moved.select("_t", F.posexplode(copies).alias("_f", "_own")).withColumn("_repeat", F.lit(repeat))
 
     def scored(copies: DataFrame) -> DataFrame:
-        """The score by feature and repeat."""
+        """The score by number of the feature and repeat."""
         # a target from its mean keeps the squares small; a class is told by its value
-        off = F.col(target) - F.lit(float(mean)) if task == "regression" else F.col(target)
-        lines = copies.withColumn("_t", off)
-        keys = ["_f", "_repeat", *features, *([] if task == "regression" else ["_t"])]
+        lines = copies.withColumn("_t", F.col("_t") - F.lit(float(mean))) if task == "regression" else copies
         sums = {"_n": F.lit(1.0), "_s": F.col("_t"), "_q": F.col("_t") * F.col("_t")}
         if few:
-            lines = lines.groupBy(*keys).agg(*[F.sum(v).alias(c) for c, v in sums.items()])
+            keys = ["_f", "_repeat", "_own", *([] if task == "regression" else ["_t"])]
+            lines = lines.groupBy(*keys).agg(*[F.sum(v).alias(c) for c, v in sums.items()]).withColumns(cells.values("_own"))
         else:
-            lines = lines.withColumns(sums)
+            lines = lines.select("*", "_own.*").withColumns(sums)
         found = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(lines))
         if task != "regression":
             score = F.sum(F.when(F.col("prediction") == F.col("_t"), F.col("_n")).otherwise(0.0)) / F.sum("_n")
@@ -248,11 +262,12 @@ def permutation_importance(
             score = 1 - F.sum(F.col("_q") - 2 * guess * F.col("_s") + guess * guess * F.col("_n")) / F.sum("_q")
         return found.groupBy("_f", "_repeat").agg(score.alias("score"))
 
-    base = scored(rows.select(*features, target, F.lit("").alias("_f"), F.lit(0).alias("_repeat"))).first()["score"]
+    base = scored(drawn.withColumns({"_f": F.lit(0), "_repeat": F.lit(0)})).first()["score"]
     union = shuffled(0)
     for r in range(1, repeats):
         union = union.unionByName(shuffled(r))
-    drops = scored(union).groupBy(F.col("_f").alias("feature")).agg(
+    named = F.element_at(F.array(*map(F.lit, features)), F.col("_f") + 1)
+    drops = scored(union).groupBy(named.alias("feature")).agg(
         F.avg(F.lit(float(base)) - F.col("score")).alias("perm_score"),
         F.stddev_pop(F.lit(float(base)) - F.col("score")).alias("perm_score_std"),
     )
