@@ -104,6 +104,20 @@ def test_tree_importance(tree_frame, task, target):
     assert got[0]["feature"] == "u" and sum(r["importance"] for r in got) == pytest.approx(1)
 
 
+def test_tasks_of_a_forest_fit_are_bounded_by_rows(tree_frame, monkeypatch):
+    seen = []
+
+    class Seen(features.RandomForestRegressor):
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return super().fit(df)
+
+    monkeypatch.setattr(features, "RandomForestRegressor", Seen)
+    monkeypatch.setattr(features, "FIT_ROWS", 100, raising=False)
+    features.permutation_importance(tree_frame, ["v", "u"], "t", repeats=1, trees=2, depth=2)
+    assert seen == [15]
+
+
 def test_tasks_of_a_boosted_fit_are_bounded_by_rows(tree_frame, monkeypatch):
     seen = []
 
