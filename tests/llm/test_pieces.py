@@ -96,3 +96,47 @@ def test_table_round_trip_and_library(pieces, spark):
     back = S.decode(coded.selectExpr("doc_id", "text", "pieces.ids AS ids"), pieces, out="back").collect()
     assert all(r.back == (r.text or "") for r in back)
     assert S.encode(docs.limit(0), pieces).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 9])
+def test_n_best_of_every_unit(pieces, spark, n):
+    ties = S.Pieces({p: (k, s) for k, (p, s) in enumerate([("a", -2.0), ("b", -1.0), ("aa", -4.0), ("ab", -3.0), ("ba", -3.0), ("aba", -6.0), ("bb", -1.0)])},
+                    list(range(7, 263)), -20.0, [b""] * 263)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(10).collect()] + TEXTS
+    tied = ["".join(u) for k in range(1, 8) for u in itertools.product("ab", repeat=k)] + ["ab" * 20, "b" * 64, "a" * 65, "xa"]
+    for table, units in (ties, tied), (pieces, list(dict.fromkeys(u for t in texts for u in S.text_units(t, pieces)))):
+        solver = S.Solver(table)
+        found = solver.nbest(units, n)
+        ends = np.cumsum(found.count)
+        for k, u in enumerate(units):
+            want = S.unit_nbest(u, table, n)
+            assert found.scores[k].tolist() == [s for s, _ in want] + [-np.inf] * (n - len(want))
+            assert tuple(found.ids[ends[k] - found.count[k]:ends[k]].tolist()) == want[0][1]
+            ids = [i for _, i in found.listed[k]] if k in found.listed else [solver.ids_of(u, int(m)) for m in found.masks[k, :len(want)]]
+            assert ids == [i for _, i in want]
+    assert len(solver.nbest([], n).ids) == 0
+
+
+def test_every_segmentation_is_given_and_decoded(pieces, spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None, "the in to the in to"])], "doc_id long, text string")
+    for n in (1, 4, 6):
+        for r in S.all_ids(S.encode(docs, pieces, n)).collect():
+            want = S.nbest(r.text or "", pieces, n)
+            assert r.all_ids == [ids for _, ids in want] and r.pieces.scores == [s for s, _ in want]
+            assert r.pieces.exact and all(S.restored(ids, pieces).decode() == (r.text or "") for ids in r.all_ids)
+    # a segmentation other than the best one that does not give the text is told
+    broken = S.Pieces(pieces.ids, pieces.byte_ids, pieces.byte_score, list(pieces.raw))
+    worst = set(S.nbest("the in to", pieces, 4)[3][1]) - set(S.nbest("the in to", pieces, 4)[0][1])
+    for number in worst:
+        broken.raw[number] = b"?"
+    broken.__post_init__()
+    one = docs.selectExpr("'the in to' AS text").limit(1)
+    assert [S.encode(one, broken, n).first().pieces.exact for n in (1, 4)] == [True, False]
+
+
+def test_query_gives_all_four(spark, sf):
+    from tidemark.llm.queries import op4_sentencepiece_nbest
+
+    found = op4_sentencepiece_nbest(spark, sf).collect()
+    assert found and all(len(r.others) == len(r.scores) - 1 and r.exact for r in found)
+    assert sum(len(r.others) for r in found) > 2 * len(found)
